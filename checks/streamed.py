@@ -54,7 +54,7 @@ def _(spark, d):
 @query(
     "enrich_stream",
     duck(
-        """SELECT t.id, t.action, t.instance_id, m.delivery FROM (SELECT delivery, CASE WHEN json_valid(body) THEN
+        """SELECT t.id, t.action, t.instance_id FROM (SELECT DISTINCT CASE WHEN json_valid(body) THEN
         CAST(json_extract(body, '$.id') AS BIGINT) END AS id FROM messages) m JOIN tasks t ON t.id = m.id
         WHERE t.state <= 0""",
         "messages", "tasks",
@@ -62,8 +62,9 @@ def _(spark, d):
 )
 def _(spark, d):
     tasks = shared(spark, d, "tasks").select("id", "action", "instance_id", "state")
-    known = streams.enrich_stream(_messages(spark, d), tasks)
-    return _appended(spark, "enrich", known.select("id", "action", "instance_id", "delivery"))
+    once = streams.dedupe_deliveries(_messages(spark, d), "ts", "1 hour", spread=("delivery", 8))
+    known = streams.enrich_stream(once.select("id"), tasks)
+    return _appended(spark, "enrich", known.select("id", "action", "instance_id"))
 
 
 @query(

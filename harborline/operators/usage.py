@@ -10,16 +10,12 @@ from harborline.operators.ordered import hot_cuts, last_where, running, running_
 LEDGER = ["project_id", "instance_id", "plan_id", "seq", "started_at", "finished_at"]
 
 
-def usage_ledger(changes: DataFrame) -> DataFrame:
+def usage_ledger(changes: DataFrame, cuts: DataFrame | None | str = "detect") -> DataFrame:
     """Each plan change closes the open interval at its own time and opens a new one."""
     following = running(
-        changes.withColumnRenamed("ts", "started_at"),
-        ["instance_id"],
-        ["started_at", "seq"],
-        backward=True,
-        finished_at=last_where(F.col("started_at")),
+        changes, ["instance_id"], ["ts", "seq"], backward=True, cuts=cuts, finished_at=last_where(F.col("ts"))
     )
-    return following.select(*LEDGER)
+    return following.withColumnRenamed("ts", "started_at").select(*LEDGER)
 
 
 def ledger_upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
@@ -28,6 +24,11 @@ def ledger_upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     Only intervals that reach the instance's first new change are redone. A change that
     is already in the ledger (a redelivery) adds nothing.
     """
+    # Look for hot instances in the inputs, which is cheaper than in the joined rows.
+    places = ledger.select("instance_id", F.col("started_at").alias("ts"), "seq").unionByName(
+        changes.select("instance_id", "ts", "seq")
+    )
+    cuts = hot_cuts(places, ["instance_id"], ["ts", "seq"])
     # A redelivery carries the same instance, time and number, so it falls out here.
     fresh = changes.join(
         ledger.select("instance_id", F.col("started_at").alias("ts"), "seq"),
@@ -46,7 +47,7 @@ def ledger_upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     redone = marked.where(reached).select(
         "project_id", "instance_id", "plan_id", "seq", F.col("started_at").alias("ts")
     )
-    return kept.unionByName(usage_ledger(redone.unionByName(fresh)))
+    return kept.unionByName(usage_ledger(redone.unionByName(fresh), cuts))
 
 
 def open_usages(ledger: DataFrame) -> DataFrame:
