@@ -377,7 +377,7 @@ def _(spark, d):
 @query(
     "retry_bursts",
     duck(
-        """, s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
+        """, s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
         FROM attempts WINDOW w AS (PARTITION BY target ORDER BY ts, seq)),
         b AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY target ORDER BY ts, seq) AS BIGINT) AS burst FROM s),
         n AS (SELECT *, row_number() OVER (PARTITION BY target, burst ORDER BY ts, seq) AS no FROM b),
@@ -442,6 +442,31 @@ def _(spark, d):
     return _steps(spark, d, "action").select("task_id", "action", "idx", "step", "command", "condition")
 
 
+ASKED_METADATA = """concat('{"instance_id":', id, CASE WHEN id % 2 = 0 THEN ',"plan_id":1' ELSE '' END,
+    CASE WHEN id % 3 = 0 THEN ',"new_password":"x"' ELSE '' END, CASE WHEN id % 5 = 0 THEN ',"whitelist":[]' ELSE '' END,
+    CASE WHEN id % 7 = 0 THEN ',"eviction_policy":null' ELSE '' END, '}')"""
+
+
+@query(
+    "expand_workflow_all_kinds",
+    duck(
+        f""", {DEFS_SQL}, t AS (SELECT id, {ASKED} AS action, {ASKED_METADATA} AS metadata FROM instances)
+        SELECT t.id AS task_id, t.action, CAST(row_number() OVER (PARTITION BY t.id ORDER BY d.idx) AS INTEGER) AS idx,
+        d.step, d.command, array_to_string(d.wants, ' ') AS wants, array_to_string(d.provides, ' ') AS provides
+        FROM t JOIN defs d ON d.action = t.action
+        WHERE d.condition IS NULL OR json_exists(t.metadata, concat('$.', d.condition))""",
+        "instances",
+    ),
+)
+def _(spark, d):
+    asked = shared(spark, d, "instances").selectExpr("id", f"{ASKED} AS action", f"{ASKED_METADATA} AS metadata")
+    steps = workflow.expand_workflow(asked, definitions(spark))
+    return steps.select(
+        "task_id", "action", "idx", "step", "command",
+        F.array_join("wants", " ").alias("wants"), F.array_join("provides", " ").alias("provides"),
+    )
+
+
 @query(
     "unmet_wants",
     duck(

@@ -118,7 +118,7 @@ def _(spark, d):
 @query(
     "session_bursts",
     duck(
-        """, s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
+        """, s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
         FROM attempts WINDOW w AS (PARTITION BY target ORDER BY ts, seq)),
         b AS (SELECT *, sum(starts) OVER (PARTITION BY target ORDER BY ts, seq) AS burst FROM s)
         SELECT target, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS closes_at, count(*) AS attempts,

@@ -99,15 +99,16 @@ def transition_counts(transitions: DataFrame) -> DataFrame:
 
 
 def retry_bursts(attempts: DataFrame, gap: str, max_attempts: int) -> DataFrame:
-    """Attempts on a target that follow each other within `gap` form a burst.
+    """Attempts on a target that are no further apart than `gap` form a burst.
 
     Per burst: attempts, the number of the first success, and whether the allowed
-    attempts ran out without one. A distance of exactly `gap` starts a new burst.
+    attempts ran out without one. A distance of exactly `gap` still joins two attempts,
+    as it does in a session window.
     """
     keys, order = ["target"], ["ts", "seq"]
     cuts = hot_cuts(attempts, keys, order)
     spaced = running(attempts, keys, order, cuts=cuts, previous=last_where(F.col("ts")))
-    starts = F.col("previous").isNull() | (F.col("ts") >= F.col("previous") + F.expr(f"INTERVAL {gap}"))
+    starts = F.col("previous").isNull() | (F.col("ts") > F.col("previous") + F.expr(f"INTERVAL {gap}"))
     numbered = running(
         spaced.withColumn("starts", F.when(starts, 1).otherwise(0)),
         keys,
