@@ -644,14 +644,7 @@ def _(spark, d):
 )
 def _(spark, d):
     nodes = fx.nodes(spark, d)
-    # A master lets in its replicas in order, and each replica lets in the master.
-    replicas = nodes.where("node_seq > 1")
-    master = (F.col("instance_id") * 100 + 1).alias("destination_id")
-    to_master = replicas.select(master, (F.col("node_seq") - 1).alias("position"), F.col("id").alias("source_id"))
-    to_replica = replicas.select(
-        F.col("id").alias("destination_id"), F.lit(1).cast("long").alias("position"), (F.col("instance_id") * 100 + 1).alias("source_id")
-    )
-    lists = network.peer_allowlist(to_master.unionByName(to_replica), nodes)
+    lists = network.peer_allowlist(fx.peer_requests(nodes), nodes)
     return lists.select("destination_id", "part", F.array_join("ips", ",").alias("ips"))
 
 

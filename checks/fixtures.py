@@ -167,7 +167,6 @@ def derive(source: DataFrame, name: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = read(spark, folder, "lineitem")
-    # Cut by the leading order column alone where needed: the rest only settles ties.
     return running(lines, ["l_orderkey"], NODE_ORDER, node_seq=running_count())
 
 
@@ -203,9 +202,19 @@ def with_node_whitelist(nodes_: DataFrame) -> DataFrame:
 
 def target_nodes(nodes_: DataFrame) -> DataFrame:
     """Targets: healthy nodes, and ids of nodes that no longer exist."""
-    live = nodes_.where("healthy").select(F.col("id").alias("node_id"))
-    stale = nodes_.where("line_number = 7").select((F.col("id") + 90).alias("node_id"))
-    return live.unionByName(stale)
+    live = F.when(F.col("healthy"), F.col("id"))
+    stale = F.when(F.col("line_number") == 7, F.col("id") + 90)
+    return nodes_.select(F.explode(F.array_compact(F.array(live, stale))).alias("node_id"))
+
+
+def peer_requests(nodes_: DataFrame) -> DataFrame:
+    """A master lets in its replicas in order, and each replica lets in the master."""
+    replica, master = F.col("id"), F.col("instance_id") * 100 + 1
+    to_master = F.struct(master.alias("destination_id"), (F.col("node_seq") - 1).alias("position"), replica.alias("source_id"))
+    to_replica = F.struct(
+        replica.alias("destination_id"), F.lit(1).cast("long").alias("position"), master.alias("source_id")
+    )
+    return nodes_.where("node_seq > 1").select(F.inline(F.array(to_master, to_replica)))
 
 
 # ---- the same inputs for DuckDB ---------------------------------------------------

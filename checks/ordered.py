@@ -429,9 +429,16 @@ def steps_sql(action: str) -> str:
     WHERE d.condition IS NULL OR json_exists(t.metadata, concat('$.', d.condition)))"""
 
 
+def _tasks(spark, d, action=TASK_ACTION):
+    return shared(spark, d, "tasks").withColumn("action", F.expr(action))
+
+
 def _steps(spark, d, action=TASK_ACTION):
-    tasks = shared(spark, d, "tasks").withColumn("action", F.expr(action))
-    return workflow.expand_workflow(tasks, definitions(spark))
+    return workflow.expand_workflow(_tasks(spark, d, action), definitions(spark))
+
+
+def _per_task(spark, d, analyse, keep=None):
+    return workflow.analyse_tasks(_tasks(spark, d), definitions(spark), analyse, keep)
 
 
 @query(
@@ -478,7 +485,9 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.unmet_wants(_steps(spark, d), "given", ["task_id"])
+    not_given = lambda row, given: ~F.array_contains(given, row["key"])
+    found = _per_task(spark, d, lambda steps_, by: workflow.unmet_wants(steps_, [], by), not_given)
+    return found.select("task_id", "idx", "step", "key")
 
 
 @query(
@@ -491,7 +500,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.required_inputs(_steps(spark, d), ["task_id"])
+    return _per_task(spark, d, workflow.required_inputs).select("task_id", "key")
 
 
 @query(
@@ -506,7 +515,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.step_edges(_steps(spark, d), ["task_id"])
+    edges = _per_task(spark, d, workflow.step_edges)
+    return edges.select("task_id", "key", "from_idx", "from_step", "to_idx", "to_step")
 
 
 @query(
@@ -534,7 +544,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.duplicate_steps(_steps(spark, d), ["task_id"])
+    return _per_task(spark, d, workflow.duplicate_steps).select("task_id", "step", "uses")
 
 
 @query(

@@ -71,12 +71,13 @@ def encode_metadata(nodes: DataFrame) -> DataFrame:
 
 def decode_metadata(nodes: DataFrame) -> DataFrame:
     """The fields of `metadata`; a field that was left out becomes its empty value."""
-    m = F.from_json("metadata", METADATA_SCHEMA)
+    parsed = nodes.withColumn("__m", F.from_json("metadata", METADATA_SCHEMA))  # once per row
+    m = F.col("__m")
 
     def text(name: str) -> Column:
         return F.coalesce(m[name], F.lit(""))
 
-    return nodes.withColumns(
+    return parsed.withColumns(
         {
             "role": text("role"),
             "record_id": text("record_id"),
@@ -87,7 +88,7 @@ def decode_metadata(nodes: DataFrame) -> DataFrame:
             "scaleway_snapshots": F.coalesce(m["scaleway_snapshots"], F.array().cast("array<string>")),
             "exporter_password": text("prometheus_exporter_password"),
         }
-    )
+    ).drop("__m")
 
 
 def plan_details(plans: DataFrame, column: str = "details") -> DataFrame:

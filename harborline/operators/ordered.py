@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.session import cut_lineage
+from harborline.session import cut_lineage, local_table
 
 # A group is cut only if it has more rows than this; a task sorts as many with ease.
 ROWS_PER_PIECE = 2_000_000
@@ -130,7 +130,7 @@ def hot_cuts(
         return None
     pieces = sum(-(-count // target) for count in hot.values())
     hot_rows = sum(hot.values())
-    hashes = df.sparkSession.createDataFrame([(h,) for h in hot], f"{HASH} long")
+    hashes = local_table(df.sparkSession, [(h,) for h in hot], f"{HASH} long")
     in_hot = hashed.join(F.broadcast(hashes), HASH, "left_semi")
     share = min(1.0, SAMPLES_PER_PIECE * pieces / hot_rows)
     every = max(1, int(target * share))

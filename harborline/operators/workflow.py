@@ -8,9 +8,9 @@ table with such steps and the columns `by` that group them: ["action"] for defin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.documents import CONDITION_KEYS, metadata_map
@@ -18,34 +18,81 @@ from harborline.operators.ordered import last_where, running
 from harborline.session import is_small
 
 
+ENTRY = ["idx", "step", "command", "wants", "provides", "condition"]
+
+
+def _steps_by_action(defs: DataFrame) -> DataFrame:
+    """One row per action with its steps as an array, in order."""
+    return defs.groupBy("action").agg(F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("flow"))
+
+
+def _unfold(rows: DataFrame, present: str) -> DataFrame:
+    """The steps of `flow` whose condition is among `present`, numbered from 1."""
+    due = F.filter("flow", lambda s: s["condition"].isNull() | F.array_contains(F.col(present), s["condition"]))
+    kept = [c for c in rows.columns if c != "flow"]
+    return rows.select(*kept, F.posexplode(due).alias("pos", "s")).select(
+        *kept, (F.col("pos") + 1).alias("idx"), *[f"s.{name}" for name in ENTRY[1:]]
+    )
+
+
+def _with_given(tasks: DataFrame) -> DataFrame:
+    keys = F.map_keys(metadata_map(F.col("metadata")))
+    return tasks.select(F.col("id").alias("task_id"), "action", keys.alias("given"))
+
+
 def expand_workflow(tasks: DataFrame, defs: DataFrame) -> DataFrame:
     """Steps of each task, numbered from 1. A task with an unknown action has none.
 
     The steps of an action travel as one array beside the task, are filtered by the
     task's keys and numbered by their place in what is left: no shuffle of the tasks.
     """
-    entry = F.struct("idx", "step", "command", "wants", "provides", "condition")
-    flows = defs.groupBy("action").agg(F.array_sort(F.collect_list(entry)).alias("flow"))
+    flows = _steps_by_action(defs)
     if is_small(defs):
         flows = F.broadcast(flows)
-    keys = F.map_keys(metadata_map(F.col("metadata")))
-    due = F.filter("flow", lambda s: s["condition"].isNull() | F.array_contains(F.col("given"), s["condition"]))
-    return (
-        tasks.select(F.col("id").alias("task_id"), "action", keys.alias("given"))
-        .join(flows, "action")
-        .select("task_id", "action", "given", F.posexplode(due).alias("pos", "s"))
-        .select(
-            "task_id",
-            "action",
-            "given",
-            (F.col("pos") + 1).alias("idx"),
-            "s.step",
-            "s.command",
-            "s.wants",
-            "s.provides",
-            "s.condition",
-        )
+    return _unfold(_with_given(tasks).join(flows, "action"), "given")
+
+
+def analyse_tasks(
+    tasks: DataFrame,
+    defs: DataFrame,
+    analyse: Callable[[DataFrame, list[str]], DataFrame],
+    keep: Callable[[Column, Column], Column] | None = None,
+    max_variants: int = 20_000,
+) -> DataFrame:
+    """A check below, per task: its result with task_id and action in front.
+
+    The steps of a task depend only on its action and on which of that action's
+    conditions it meets. So the check is done once per such variant, and tasks are joined
+    to the result; tasks are not shuffled. The variants are counted first (they follow
+    from the definitions alone); were there too many, the tasks are expanded instead.
+    `keep` may drop a row of the result by the keys its task was given.
+    """
+    flows = _steps_by_action(defs).withColumn(
+        "conditions", F.array_sort(F.array_distinct(F.array_compact(F.transform("flow", lambda s: s["condition"]))))
     )
+    variants = F.lit(2.0) ** F.size("conditions")
+    if not is_small(defs) or (flows.agg(F.sum(variants).alias("n")).first().n or 0) > max_variants:
+        by = ["task_id", "action", "given"]
+        found = analyse(expand_workflow(tasks, defs), by)
+        result = [c for c in found.columns if c not in by]
+        if keep:
+            found = found.where(keep(F.struct(*result), F.col("given")))
+        return found.drop("given")
+
+    # Bit i of the variant's number says whether condition i is met.
+    number = F.explode(F.sequence(F.lit(0), variants.cast("int") - 1))
+    listed = flows.select("action", "flow", "conditions", number.alias("number"))
+    met = F.expr("filter(conditions, (c, i) -> (number & shiftleft(1, i)) <> 0)")
+    steps = _unfold(listed.select("action", "flow", met.alias("variant")), "variant")
+    by = ["action", "variant"]
+    found = analyse(steps, by)
+    result = F.struct(*[c for c in found.columns if c not in by])
+    found = found.groupBy(*by).agg(F.collect_list(result).alias("found"))
+    conditions = F.broadcast(flows.select("action", "conditions"))
+    marked = _with_given(tasks).join(conditions, "action")
+    marked = marked.withColumn("variant", F.expr("filter(conditions, c -> array_contains(given, c))"))
+    rows = F.col("found") if keep is None else F.filter("found", lambda row: keep(row, F.col("given")))
+    return marked.join(F.broadcast(found), by).select("task_id", "action", F.inline(rows))
 
 
 def _wanted(steps: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harborline.session import local_table
+
 # Database kinds, and those that can have a replica.
 KINDS = ["redis", "keydb", "keydb-pro", "pg", "mysql"]
 REPLICATED_KINDS = ["redis", "keydb", "pg"]
@@ -48,8 +50,8 @@ def action_names() -> list[str]:
 
 def action_catalogue(spark: SparkSession) -> DataFrame:
     """The 60 known actions, one row each."""
-    return spark.createDataFrame([(name,) for name in action_names()], "action string")
+    return local_table(spark, [(name,) for name in action_names()], "action string")
 
 
 def command_roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(COMMAND_ROLES.items()), "command string, role string")
+    return local_table(spark, list(COMMAND_ROLES.items()), "command string, role string")

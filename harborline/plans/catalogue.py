@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.plans.actions import KINDS, REPLICATED_KINDS
+from harborline.session import local_table
 
 DEFINITION_SCHEMA = (
     "action string, idx int, step string, command string, "
@@ -521,7 +522,7 @@ def definition_rows() -> list[tuple]:
 
 
 def definitions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(definition_rows(), DEFINITION_SCHEMA)
+    return local_table(spark, definition_rows(), DEFINITION_SCHEMA)
 
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harborline.session import local_table
+
 # Clouds with a provisioning adapter, in the order test inputs number them.
 CLOUDS = [
     "hetzner", "scw", "aws", "gcp", "linode", "azure", "upcloud", "vultr",
@@ -30,4 +32,4 @@ def cloud_registry(spark: SparkSession, site_users: dict[str, str]) -> DataFrame
         raise ValueError(f"site_users has no login for {', '.join(missing)}")
     users = {**SSH_USERS, **{cloud: site_users[cloud] for cloud in SITE_LOGIN_CLOUDS}}
     rows = [(cloud, cloud, users.get(cloud)) for cloud in CLOUDS]
-    return spark.createDataFrame(rows, "cloud string, adapter string, ssh_user string")
+    return local_table(spark, rows, "cloud string, adapter string, ssh_user string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from harborline.session import local_table
+
 # Versions that have default settings.
 DEFAULT_VERSIONS = ["10", "11", "12"]
 
@@ -41,4 +43,4 @@ def tuning_table(spark: SparkSession) -> DataFrame:
     texts = "shared_buffers string, effective_cache_size string, maintenance_work_mem string, wal_buffers string, work_mem string"
     workers = "max_worker_processes int, max_parallel_workers_per_gather int, max_parallel_workers int"
     rows = [(False, *size) for size in TUNED_SIZES]
-    return spark.createDataFrame(rows, f"rotational boolean, vcpu int, memory long, {texts}, {workers}")
+    return local_table(spark, rows, f"rotational boolean, vcpu int, memory long, {texts}, {workers}")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Runtime settings every job here relies on. All can be set on a live session.
 RUNTIME_CONF = {
@@ -64,6 +68,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of fixed values that travels in the plan: its size is known to the planner."""
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrow = pa.table(
+        [pa.array(list(values), type=to_arrow_type(f.dataType)) for values, f in zip(columns, fields)],
+        names=fields.names,
+    )
+    return spark.createDataFrame(arrow, schema=fields)
+
+
 def is_small(df: DataFrame, max_rows: int = 20_000) -> bool:
     """Whether `df` has at most `max_rows` rows, looking at no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows

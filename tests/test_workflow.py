@@ -104,3 +104,22 @@ def test_large_definition_tables_are_not_broadcast(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("check", ["step_edges", "required_inputs", "duplicate_steps", "unmet_wants"])
+def test_analysis_by_variant_equals_analysis_of_expanded_tasks(spark, check):
+    rows = []
+    for i, action in enumerate([*action_names(), "unknown"]):
+        for bits in range(16):
+            keys = [k for j, k in enumerate(["new_password", "eviction_policy", "plan_id", "whitelist"]) if bits >> j & 1]
+            rows.append((i * 16 + bits, action, "{" + ",".join(f'"{k}":null' for k in ["instance_id", *keys]) + "}"))
+    tasks, defs = spark.createDataFrame(rows, "id long, action string, metadata string"), definitions(spark)
+    analyse, keep = getattr(workflow, check), None
+    if check == "unmet_wants":
+        analyse = lambda steps, by: workflow.unmet_wants(steps, [], by)
+        keep = lambda row, given: ~F.array_contains(given, row["key"])
+    few = workflow.analyse_tasks(tasks, defs, analyse, keep)
+    many = workflow.analyse_tasks(tasks, defs, analyse, keep, max_variants=10)
+    assert few.count() > 0
+    assert sorted(map(str, few.select(*many.columns).collect())) == sorted(map(str, many.collect()))
+    assert "Exchange hashpartitioning(task_id" not in few._jdf.queryExecution().executedPlan().toString()
