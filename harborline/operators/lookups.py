@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.functions.rules import host_port, port_of, threads, usable_bytes
+from harborline.functions.rules import host_port, threads, usable_bytes
 from harborline.plans.clouds import cloud_registry
 from harborline.plans.tuning import DEFAULT_VERSIONS, SIZE_SETTINGS, tuning_table
 
@@ -14,6 +14,11 @@ def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_semi").select(*df.columns)
 
 
+def lookup_key(df: DataFrame, key: str, value) -> DataFrame:
+    """Rows of one key: a filter that the scan can use."""
+    return df.where(F.col(key) == F.lit(value))
+
+
 def pending_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks that are not finished yet."""
     return tasks.where(F.col("state") <= 0)
@@ -168,7 +173,3 @@ def config_params(nodes: DataFrame, instances: DataFrame, plans: DataFrame) -> D
         .join(masters, "instance_id", "left")
         .select("node_id", F.inline(F.filter(listed, lambda p: p["value"].isNotNull())))
     )
-
-
-def port_rows(instances: DataFrame) -> DataFrame:
-    return instances.select("id", "kind", port_of(F.col("kind")).alias("service_port"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.rules import AGENT_PORT, SSH_PORT, dns_name, port_of
-from harborline.operators.ordered import chunked_lists
+from harborline.operators.ordered import chunked_lists, hot_cuts, running, running_count
 
 
 def peer_allowlist(requests: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def peer_allowlist(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     sources = nodes.select(F.col("id").alias("source_id"), "ip4")
     resolved = requests.join(sources, "source_id")
-    return chunked_lists(resolved, ["destination_id"], "position", "ip4", "ips")
+    cuts = hot_cuts(requests, ["destination_id"], ["position", "source_id"])
+    placed = running(resolved, ["destination_id"], ["position", "source_id"], cuts=cuts, place=running_count())
+    return chunked_lists(placed, ["destination_id"], "place", "ip4", "ips")
 
 
 def dns_cutover(pairs: DataFrame, nodes: DataFrame, domain: str) -> DataFrame:

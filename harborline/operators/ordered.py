@@ -21,9 +21,14 @@ from harborline.session import cut_lineage, local_table
 
 # A group is cut only if it has more rows than this; a task sorts as many with ease.
 ROWS_PER_PIECE = 2_000_000
-# Upper bound for hot keys, and for their pieces: this is what may be broadcast.
-MAX_PIECES = 4096
-SAMPLES_PER_PIECE = 64
+# Bounds: of the keys looked at, and of the pieces all of them are cut into. The cut
+# points, one per piece, are what is broadcast: some megabytes at most.
+MAX_HOT_KEYS = 2048
+MAX_PIECES = 32_768
+SAMPLES_PER_PIECE = 32
+# Size of the frequent-items sketch: it finds every key with more than about one
+# 2,300th of all rows, and takes some 100 kB per task.
+SKETCH_ITEMS = 4 * MAX_HOT_KEYS
 
 PIECE = "__piece"
 CUTS = "__cuts"
@@ -114,12 +119,12 @@ def hot_cuts(
         if size is not None and size <= _advisory_bytes(df):
             return None  # all of it fits in one ordinary partition
     hashed = df.select(F.xxhash64(*keys).alias(HASH), F.struct(*order).alias("__at"))
-    sketch = f"approx_top_k_accumulate({HASH}, {4 * MAX_PIECES})"
+    sketch = f"approx_top_k_accumulate({HASH}, {SKETCH_ITEMS})"
     found = (
         hashed.groupBy((F.spark_partition_id() % 256).alias("__g"))
         .agg(F.count(F.lit(1)).alias("n"), F.expr(sketch).alias("s"))
-        .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {4 * MAX_PIECES})").alias("s"))
-        .selectExpr("n", f"approx_top_k_estimate(s, {MAX_PIECES}) AS top")
+        .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
+        .selectExpr("n", f"approx_top_k_estimate(s, {MAX_HOT_KEYS}) AS top")
         .first()
     )
     if not found.n:
@@ -150,7 +155,7 @@ def with_piece(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: D
     """Add the piece number: how many cut points lie at or before the row, -1 if not cut."""
     at = F.struct(*order)
     # Binary search with built-in expressions: halving steps over the sorted array.
-    steps = F.array(*[F.lit(2**i) for i in range(MAX_PIECES.bit_length() + 1, -1, -1)])
+    steps = F.array(*[F.lit(2**i) for i in range(MAX_PIECES.bit_length(), -1, -1)])
     found = F.aggregate(
         steps,
         F.lit(0),

@@ -57,21 +57,23 @@ def analyse_tasks(
     defs: DataFrame,
     analyse: Callable[[DataFrame, list[str]], DataFrame],
     keep: Callable[[Column, Column], Column] | None = None,
-    max_variants: int = 20_000,
+    max_steps: int = 200_000,
 ) -> DataFrame:
     """A check below, per task: its result with task_id and action in front.
 
     The steps of a task depend only on its action and on which of that action's
     conditions it meets. So the check is done once per such variant, and tasks are joined
-    to the result; tasks are not shuffled. The variants are counted first (they follow
-    from the definitions alone); were there too many, the tasks are expanded instead.
+    to the result; tasks are not shuffled. The steps of all variants are counted first
+    (they follow from the definitions alone); beyond `max_steps` of them, too many to
+    broadcast, the tasks are expanded instead.
     `keep` may drop a row of the result by the keys its task was given.
     """
     flows = _steps_by_action(defs).withColumn(
         "conditions", F.array_sort(F.array_distinct(F.array_compact(F.transform("flow", lambda s: s["condition"]))))
     )
     variants = F.lit(2.0) ** F.size("conditions")
-    if not is_small(defs) or (flows.agg(F.sum(variants).alias("n")).first().n or 0) > max_variants:
+    size = flows.agg(F.sum(variants * F.size("flow")).alias("steps"))
+    if not is_small(defs) or (size.first().steps or 0) > max_steps:
         by = ["task_id", "action", "given"]
         found = analyse(expand_workflow(tasks, defs), by)
         result = [c for c in found.columns if c not in by]

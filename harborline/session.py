@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -47,15 +48,21 @@ def local_session(cpus: int, memory: str = "16g") -> SparkSession:
     return spark
 
 
+@functools.cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="harborline-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
+    """A fresh path under the shared folder that the session names for checkpoints.
 
-    Only where the cluster names none (a test session) is a local folder made.
+    Only a local session, as in tests, may do without one; it gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="harborline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _test_folder()
     return f"{root.rstrip('/')}/harborline/{label}-{uuid.uuid4().hex}"
 
 

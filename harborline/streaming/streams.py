@@ -73,7 +73,8 @@ def live_ledger_writer(changes: DataFrame, path: str, checkpoint: str) -> DataSt
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("project_id", "instance_id", "plan_id", "seq", "ts")
+        # Read the batch's files once; several of the writes below use it.
+        batch = batch.select("project_id", "instance_id", "plan_id", "seq", "ts").persist()
         ledger_schema = (
             "project_id long, instance_id long, plan_id long, seq long, started_at timestamp, finished_at timestamp"
         )
@@ -94,6 +95,7 @@ def live_ledger_writer(changes: DataFrame, path: str, checkpoint: str) -> DataSt
         written = spark.read.schema(ledger_schema).parquet(merged)
         written.where("finished_at IS NOT NULL").write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
         written.where("finished_at IS NULL").write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        batch.unpersist()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

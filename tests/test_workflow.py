@@ -119,7 +119,7 @@ def test_analysis_by_variant_equals_analysis_of_expanded_tasks(spark, check):
         analyse = lambda steps, by: workflow.unmet_wants(steps, [], by)
         keep = lambda row, given: ~F.array_contains(given, row["key"])
     few = workflow.analyse_tasks(tasks, defs, analyse, keep)
-    many = workflow.analyse_tasks(tasks, defs, analyse, keep, max_variants=10)
+    many = workflow.analyse_tasks(tasks, defs, analyse, keep, max_steps=10)
     assert few.count() > 0
     assert sorted(map(str, few.select(*many.columns).collect())) == sorted(map(str, many.collect()))
     assert "Exchange hashpartitioning(task_id" not in few._jdf.queryExecution().executedPlan().toString()
