@@ -634,11 +634,12 @@ def _(spark, d):
 @query(
     "peer_allowlist",
     duck(
-        """SELECT destination_id, 0 AS part, string_agg(ip4, ',' ORDER BY position) AS ips FROM (
+        """SELECT destination_id, CAST((position - 1) // 1000 AS INTEGER) AS part,
+        string_agg(ip4, ',' ORDER BY position) AS ips FROM (
         SELECT m.id AS destination_id, s.node_seq - 1 AS position, s.ip4 FROM nodes m JOIN nodes s
         ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1
         UNION ALL SELECT s.id, 1, m.ip4 FROM nodes m JOIN nodes s
-        ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1) GROUP BY destination_id""",
+        ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1) GROUP BY ALL""",
         "nodes",
     ),
 )

@@ -60,9 +60,12 @@ def _(spark, d):
 @query(
     "instance_topology",
     duck(
-        """SELECT instance_id, 0 AS part, count(*) AS nodes, max(ip4) FILTER (WHERE role = 'master') AS master_ip,
-        string_agg(ip4, ',' ORDER BY node_seq) FILTER (WHERE role = 'slave') AS slave_ips
-        FROM nodes GROUP BY instance_id""",
+        """, t AS (SELECT instance_id, count(*) AS nodes, max(ip4) FILTER (WHERE role = 'master') AS master_ip
+        FROM nodes GROUP BY instance_id),
+        l AS (SELECT instance_id, CAST((node_seq - 2) // 1000 AS INTEGER) AS part,
+        string_agg(ip4, ',' ORDER BY node_seq) AS slave_ips FROM nodes WHERE role = 'slave' GROUP BY ALL)
+        SELECT t.instance_id, coalesce(l.part, 0) AS part, nodes, master_ip, slave_ips
+        FROM t LEFT JOIN l ON l.instance_id = t.instance_id""",
         "nodes",
     ),
 )

@@ -32,6 +32,7 @@ SKETCH_ITEMS = 4 * MAX_HOT_KEYS
 
 PIECE = "__piece"
 CUTS = "__cuts"
+STEPS = "__steps"
 HASH = "__hash"
 
 
@@ -148,24 +149,29 @@ def hot_cuts(
         .groupBy(HASH)
         .agg(F.array_sort(F.collect_set("__at")).alias(CUTS))
     )
-    return cut_lineage(cuts)
+    # Steps of a binary search in the array: the powers of two up to its length.
+    powers = F.array(*[F.lit(2**i) for i in range(MAX_PIECES.bit_length(), -1, -1)])
+    return cut_lineage(cuts.withColumn(STEPS, F.filter(powers, lambda p: p <= F.size(CUTS))))
 
 
-def with_piece(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame) -> DataFrame:
-    """Add the piece number: how many cut points lie at or before the row, -1 if not cut."""
+def with_piece(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame, hot_only: bool = False
+) -> DataFrame:
+    """Add the piece number: how many cut points lie at or before the row, -1 if not cut.
+
+    `hot_only` keeps the rows of cut groups alone.
+    """
     at = F.struct(*order)
-    # Binary search with built-in expressions: halving steps over the sorted array.
-    steps = F.array(*[F.lit(2**i) for i in range(MAX_PIECES.bit_length(), -1, -1)])
     found = F.aggregate(
-        steps,
+        STEPS,
         F.lit(0),
         lambda pos, step: F.when(F.get(F.col(CUTS), pos + step - 1) <= at, pos + step).otherwise(pos),
     )
     return (
         df.withColumn(HASH, F.xxhash64(*keys))
-        .join(F.broadcast(cuts), HASH, "left")
-        .withColumn(PIECE, F.when(F.col(CUTS).isNull(), -1).otherwise(found))
-        .drop(HASH, CUTS)
+        .join(F.broadcast(cuts), HASH, "inner" if hot_only else "left")
+        .withColumn(PIECE, found if hot_only else F.when(F.col(CUTS).isNull(), -1).otherwise(found))
+        .drop(HASH, CUTS, STEPS)
     )
 
 
@@ -203,7 +209,7 @@ def running(
         "*", *[m.over_rows().over(frame(window, m)).alias(f"__in_{n}") for n, m in metrics.items()]
     )
     totals = (
-        pieced.where(F.col(PIECE) >= 0)
+        with_piece(df, keys, order, cuts, hot_only=True)
         .groupBy(*keys, PIECE)
         .agg(*[m.total(F.struct(*order), backward).alias(f"__all_{n}") for n, m in metrics.items()])
     )
