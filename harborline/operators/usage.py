@@ -21,33 +21,25 @@ def usage_ledger(changes: DataFrame, cuts: DataFrame | None | str = "detect") ->
 def ledger_upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     """Ledger after a batch of changes; equals `usage_ledger` over all of them.
 
-    Only intervals that reach the instance's first new change are redone. A change that
-    is already in the ledger (a redelivery) adds nothing.
+    Only intervals that reach the instance's first change of the batch are redone; the
+    others are passed on as they are, so a small batch does not shuffle a large ledger.
+    A change that is in the ledger already (a redelivery) reaches its own interval, and
+    the two fall together.
     """
-    # Look for hot instances in the inputs, which is cheaper than in the joined rows.
-    places = ledger.select("instance_id", F.col("started_at").alias("ts"), "seq").unionByName(
-        changes.select("instance_id", "ts", "seq")
-    )
-    cuts = hot_cuts(places, ["instance_id"], ["ts", "seq"])
-    # A redelivery carries the same instance, time and number, so it falls out here.
-    fresh = changes.join(
-        ledger.select("instance_id", F.col("started_at").alias("ts"), "seq"),
-        ["instance_id", "ts", "seq"],
-        "left_anti",
-    )
-    fresh = fresh.groupBy("instance_id", "ts", "seq").agg(
-        F.min(F.struct("project_id", "plan_id")).alias("__row")
-    ).select("instance_id", "ts", "seq", "__row.project_id", "__row.plan_id")
-    first = fresh.groupBy("instance_id").agg(F.min("ts").alias("__first"))
+    first = changes.groupBy("instance_id").agg(F.min("ts").alias("__first"))
     marked = ledger.join(first, "instance_id", "left")
     reached = F.col("__first").isNotNull() & (
         F.col("finished_at").isNull() | (F.col("finished_at") >= F.col("__first"))
     )
     kept = marked.where(~reached).select(*LEDGER)
-    redone = marked.where(reached).select(
-        "project_id", "instance_id", "plan_id", "seq", F.col("started_at").alias("ts")
-    )
-    return kept.unionByName(usage_ledger(redone.unionByName(fresh), cuts))
+    redone = marked.where(reached).withColumnRenamed("started_at", "ts")
+    columns = ["project_id", "instance_id", "plan_id", "ts", "seq"]
+    points = redone.select(*columns).unionByName(changes.select(*columns))
+    # Hot instances are looked for before the rows are shuffled.
+    cuts = hot_cuts(points, ["instance_id"], ["ts", "seq"])
+    once = points.groupBy("instance_id", "ts", "seq").agg(F.min(F.struct("project_id", "plan_id")).alias("__row"))
+    once = once.select("instance_id", "ts", "seq", "__row.project_id", "__row.plan_id")
+    return kept.unionByName(usage_ledger(once, cuts))
 
 
 def open_usages(ledger: DataFrame) -> DataFrame:

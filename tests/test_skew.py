@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import fixtures
 from checks.compare import TABLES, compare, duck_connection
-from harborline.operators import ordered
+from harborline.operators import lookups, ordered
 
 HOT_ORDER, HOT_USER = 10**9, 7
 
@@ -65,3 +66,28 @@ def test_query_on_skewed_tables(spark, con, skewed, small_pieces, name):
     ok, note = compare(spark, con, skewed, name)
     assert ok, note
     assert small_pieces or name not in ORDERED
+
+
+def test_join_on_a_hot_key_is_split(spark, skewed, tmp_path):
+    """No side is broadcast, and what counts as skewed is made small, to see AQE split it."""
+    fixtures.nodes(spark, skewed).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes").repartition(6)
+    instances = fixtures.shared(spark, skewed, "instances")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = lookups.monitoring_targets(nodes, instances)
+        count = len(joined.collect())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert "skew=true" in plan
+    assert count == nodes.join(instances, nodes["instance_id"] == instances["id"]).count()
