@@ -39,7 +39,7 @@ def _(spark, d):
     lines = fx.read(spark, d, "lineitem").selectExpr(*[f"{v} AS {k}" for k, v in columns.items()])
     suppliers = fx.read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
     nations = fx.read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-    nodes = lines.join(suppliers.join(nations, "n_nationkey"), "s_suppkey")
+    nodes = lines.join(suppliers, "s_suppkey").join(nations, "n_nationkey")
     return reports.fleet_capacity(nodes, shared(spark, d, "instances"), shared(spark, d, "plans"))
 
 

@@ -48,7 +48,7 @@ def update_by_key(
 
 def delete_by_key(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Remove matching rows; a key that is not there changes nothing."""
-    return base.join(keys.select(key), key, "left_anti").select(*base.columns)
+    return base.join(keys.select(key).distinct(), key, "left_anti").select(*base.columns)
 
 
 def insert_if_absent(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -58,7 +58,7 @@ def insert_if_absent(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
         one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*")
     else:
         one = new.select(key).distinct()
-    return base.unionByName(one.join(base.select(key), key, "left_anti"))
+    return base.unionByName(one.join(base.select(key).distinct(), key, "left_anti"))
 
 
 def latest_state(changes: DataFrame, key: str, order_cols: Sequence[str], value: str) -> DataFrame:

@@ -11,7 +11,9 @@ from harborline.plans.tuning import DEFAULT_VERSIONS, SIZE_SETTINGS, tuning_tabl
 
 
 def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key), key, "left_semi").select(*df.columns)
+    """Rows whose key is among `keys`. These are made distinct first, map-side, so that a
+    key that is asked for very often does not weigh on the join."""
+    return df.join(keys.select(key).distinct(), key, "left_semi").select(*df.columns)
 
 
 def lookup_key(df: DataFrame, key: str, value) -> DataFrame:

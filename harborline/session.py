@@ -24,6 +24,11 @@ RUNTIME_CONF = {
     # Session windows merge inside each map task first, so that a hot key reaches
     # its reducer as a few sessions and not as all of its rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Streaming state on disk with incremental uploads: it may outgrow executor memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
