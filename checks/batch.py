@@ -118,15 +118,15 @@ def _(spark, d):
 @query(
     "update_by_key",
     duck(
-        """SELECT id, name, project_id, CASE WHEN id % 3 = 0 THEN 2 ELSE state END AS state,
-        CASE WHEN id % 3 = 0 THEN NULL ELSE license_key END AS license_key FROM instances""",
+        """SELECT id, name, project_id, CASE WHEN state = 5 THEN 2 ELSE state END AS state,
+        CASE WHEN state = 5 THEN NULL ELSE license_key END AS license_key FROM instances""",
         "instances",
     ),
 )
 def _(spark, d):
     instances = shared(spark, d, "instances").select("id", "name", "project_id", "state", "license_key")
     cleared = F.lit(None).cast("string").alias("license_key")
-    new = instances.where("id % 3 = 0").select("id", F.lit(2).alias("state"), cleared)
+    new = instances.where("state = 5").select("id", F.lit(2).alias("state"), cleared)
     return changes.update_by_key(instances, new, "id", ["state", "license_key"])
 
 

@@ -103,7 +103,7 @@ def _(spark, d):
     "recovery_action",
     duck(
         f""", h AS (SELECT instance_id, count(*) AS nodes, bool_and(healthy) FILTER (WHERE role = 'master') AS m,
-        bool_and(healthy) FILTER (WHERE role = 'slave') AS s FROM nodes WHERE node_seq <= 2 GROUP BY instance_id),
+        bool_and(healthy) FILTER (WHERE role = 'slave') AS s FROM nodes GROUP BY instance_id),
         a AS (SELECT h.instance_id, h.nodes, CASE WHEN m AND coalesce(s, true) THEN NULL
         WHEN s IS NULL THEN concat('recover-', i.kind, '-master-', CASE WHEN m THEN 'true' ELSE 'false' END)
         ELSE concat('recover-', i.kind, '-master-', CASE WHEN m THEN 'true' ELSE 'false' END, '-slave-',
@@ -113,8 +113,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    nodes = fx.nodes(spark, d).where("node_seq <= 2")
-    return reports.recovery_action(nodes, shared(spark, d, "instances"))
+    return reports.recovery_action(fx.nodes(spark, d), shared(spark, d, "instances"))
 
 
 @query(
@@ -175,6 +174,21 @@ def _(spark, d):
     return saga.saga_outcome(fx.task_steps(spark, d))
 
 
+@query(
+    "task_results",
+    duck(
+        f"""{EFFECTIVE}, r AS (SELECT task_id, max(task_state) AS state FROM o GROUP BY task_id),
+        t AS (SELECT id, {ASKED} AS action FROM instances)
+        SELECT t.id, t.action, t.action IN ({ACTIONS_SQL}) AS known_action, coalesce(r.state, 1) AS state
+        FROM t LEFT JOIN r ON r.task_id = t.id""",
+        "task_steps", "instances",
+    ),
+)
+def _(spark, d):
+    asked = shared(spark, d, "instances").selectExpr("id", f"{ASKED} AS action")
+    return saga.task_results(asked, saga.saga_outcome(fx.task_steps(spark, d)))
+
+
 @query(
     "undo_plan",
     duck(
@@ -253,11 +267,11 @@ def _(spark, d):
 
 @query("ledger_upsert", duck(f"{LEDGER_SQL} SELECT * FROM ledger", "usage_changes"))
 def _(spark, d):
-    # Every seventh change comes in the second batch, so some fall into closed intervals;
-    # some of the first batch are delivered again.
+    # The ledger has the purchases; then all changes come, so sign-ups fall into closed
+    # intervals and purchases are delivered again.
     rows = shared(spark, d, "usage_changes")
-    first = usage.usage_ledger(rows.where("seq % 7 <> 0"))
-    return usage.ledger_upsert(first, rows.where("seq % 7 = 0 OR seq % 5 = 0"))
+    purchases = fx.derive(fx.read(spark, d, "events").where("event_type = 'purchase'"), "usage_changes")
+    return usage.ledger_upsert(usage.usage_ledger(purchases), rows)
 
 
 @query("open_usages", duck(f"{LEDGER_SQL} SELECT * FROM ledger WHERE finished_at IS NULL", "usage_changes"))
@@ -270,7 +284,7 @@ def _(spark, d):
     duck(
         f"""{LEDGER_SQL}, broken AS (SELECT * FROM ledger UNION ALL SELECT project_id, instance_id, plan_id,
         seq + 1000000, started_at + INTERVAL 1 SECOND, CASE WHEN seq % 2 = 0 THEN started_at + INTERVAL 2 SECOND END
-        FROM ledger WHERE seq % 50 = 0),
+        FROM ledger WHERE plan_id = 7),
         v AS (SELECT *, max(coalesce(finished_at, TIMESTAMP '9999-12-31')) OVER (PARTITION BY instance_id
         ORDER BY started_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM broken)
         SELECT instance_id, count(*) FILTER (WHERE finished_at IS NULL) AS open_rows,
@@ -281,7 +295,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ledger = _ledger(spark, d)
-    wrong = ledger.where("seq % 50 = 0").selectExpr(
+    wrong = ledger.where("plan_id = 7").selectExpr(
         "project_id",
         "instance_id",
         "plan_id",

@@ -32,7 +32,6 @@ SKETCH_ITEMS = 4 * MAX_HOT_KEYS
 
 PIECE = "__piece"
 CUTS = "__cuts"
-STEPS = "__steps"
 HASH = "__hash"
 
 
@@ -149,9 +148,7 @@ def hot_cuts(
         .groupBy(HASH)
         .agg(F.array_sort(F.collect_set("__at")).alias(CUTS))
     )
-    # Steps of a binary search in the array: the powers of two up to its length.
-    powers = F.array(*[F.lit(2**i) for i in range(MAX_PIECES.bit_length(), -1, -1)])
-    return cut_lineage(cuts.withColumn(STEPS, F.filter(powers, lambda p: p <= F.size(CUTS))))
+    return cut_lineage(cuts)
 
 
 def with_piece(
@@ -161,18 +158,20 @@ def with_piece(
 
     `hot_only` keeps the rows of cut groups alone.
     """
+    longest = cuts.agg(F.max(F.size(CUTS)).alias("n")).first().n or 0
     at = F.struct(*order)
-    found = F.aggregate(
-        STEPS,
-        F.lit(0),
-        lambda pos, step: F.when(F.get(F.col(CUTS), pos + step - 1) <= at, pos + step).otherwise(pos),
-    )
-    return (
+    pieced = (
         df.withColumn(HASH, F.xxhash64(*keys))
         .join(F.broadcast(cuts), HASH, "inner" if hot_only else "left")
-        .withColumn(PIECE, found if hot_only else F.when(F.col(CUTS).isNull(), -1).otherwise(found))
-        .drop(HASH, CUTS, STEPS)
+        .withColumn(PIECE, F.lit(0))
     )
+    # Binary search, one projection per halving: compiled code, unlike a lambda.
+    for step in [2**i for i in range(longest.bit_length() - 1, -1, -1)]:
+        cut = F.get(F.col(CUTS), F.col(PIECE) + (step - 1))
+        pieced = pieced.withColumn(PIECE, F.col(PIECE) + F.when(cut <= at, step).otherwise(0))
+    if not hot_only:
+        pieced = pieced.withColumn(PIECE, F.when(F.col(CUTS).isNull(), -1).otherwise(F.col(PIECE)))
+    return pieced.drop(HASH, CUTS)
 
 
 def running(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.operators.ordered import hot_cuts, running, running_count
+from harborline.plans.actions import action_catalogue
 
 STAGES = ["done", "failed", "undone", "undone_failed"]
 
@@ -97,6 +98,19 @@ def saga_outcome(steps: DataFrame, rows_per_piece: int | None = None) -> DataFra
     )
 
 
+def task_results(tasks: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Final state of every task. One that ran no steps is ok, even when that is because
+    no workflow knows its action, which `known_action` tells."""
+    states = outcome.groupBy("task_id").agg(F.max("task_state").alias("__state"))
+    # Sixty rows, fixed in the catalogue: always small enough to broadcast.
+    known = F.broadcast(action_catalogue(tasks.sparkSession).withColumn("__known", F.lit(True)))
+    return (
+        tasks.join(states, tasks["id"] == states["task_id"], "left")
+        .join(known, "action", "left")
+        .select("id", "action", F.col("__known").isNotNull().alias("known_action"), F.coalesce("__state", F.lit(1)).alias("state"))
+    )
+
+
 def undo_plan(steps: DataFrame, rows_per_piece: int | None = None) -> DataFrame:
     """Order in which a failed task undoes its steps, the failing one first."""
     stack = _places(steps, rows_per_piece).where(F.col("last_idx").isNotNull())

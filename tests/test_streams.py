@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import changes as batch_changes
-from harborline.operators import timeline, usage
+from harborline.operators import timeline, usage, workflow
+from harborline.plans.catalogue import definitions
 from harborline.sources import sinks
 from harborline.sources.tables import as_event_time, decode_messages, task_stream
 from harborline.streaming import streams
@@ -157,3 +158,38 @@ def test_discovery_files(spark, tmp_path):
         '{"labels":{"node_id":"1","instance_id":"2","kind":"pg","job":"node","__scheme__":"https"},'
         '"targets":["10.0.0.1:6666"]}'
     ]
+
+
+def test_tasks_run_through_from_message_to_steps(spark, feed, tmp_path):
+    """Messages in, steps to run out: decode, drop copies, look up, expand."""
+
+    def batch(*bodies):
+        return spark.createDataFrame([(b, BASE) for b in bodies], "body string, ts timestamp")
+
+    tasks = spark.createDataFrame(
+        [(1, "destroy-pg-1", 0, "{}"), (2, "destroy-pg-2", 1, "{}"), (3, "nope", 0, "{}"), (4, "update-pg-1-to-1", 0, '{"whitelist":[]}')],
+        "id long, action string, state int, metadata string",
+    )
+    stream = decode_messages(feed(batch('{"id": 1}', "{bad", '{"id": 2}'), batch('{"id": 1}', '{"id": 3}', '{"id": 4}', '{"id": 9}')))
+    once = streams.dedupe_deliveries(stream.where(~F.col("is_malformed")), "ts", "1 hour")
+    steps = workflow.expand_workflow(streams.enrich_stream(once.select("id"), tasks), definitions(spark))
+    streams.run_to_end(streams.append_rows(steps.select("task_id", "idx", "step"), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    got = sorted((r.task_id, r.idx, r.step) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [
+        (1, 1, "destroy-monitor-1"), (1, 2, "destroy-dns-1"), (1, 3, "destroy-node-1"),
+        (4, 1, "update-whitelist"), (4, 2, "finish"),
+    ]
+
+
+def test_live_ledger_goes_on_after_a_restart(spark, feed, tmp_path):
+    rows = events(spark).withColumn("project_id", F.lit(1).cast("long")).drop("state", "ok")
+    stream = as_event_time(feed(*thirds(rows)), "ts")
+    writer = lambda: streams.live_ledger_writer(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    query = writer().trigger(processingTime="0 seconds").start()
+    while not (query.lastProgress and query.lastProgress["batchId"] >= 0):
+        query.awaitTermination(1)
+    query.stop()  # somewhere in the middle
+    streams.run_to_end(writer())
+    ledger = usage.usage_ledger(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    closed = spark.read.parquet(f"{tmp_path}/out/closed").drop("batch").select(*usage.LEDGER)
+    assert text(closed) == text(ledger.where("finished_at IS NOT NULL"))
