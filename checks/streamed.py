@@ -51,22 +51,34 @@ def _(spark, d):
     return _appended(spark, "dedupe", once.select("id"))
 
 
-@query(
-    "enrich_stream",
-    duck(
-        """SELECT t.id, t.action, t.instance_id FROM (SELECT DISTINCT CASE WHEN json_valid(body) THEN
-        CAST(json_extract(body, '$.id') AS BIGINT) END AS id FROM messages) m JOIN tasks t ON t.id = m.id
-        WHERE t.state <= 0""",
-        "messages", "tasks",
-    ),
+PENDING_ASKED = duck(
+    """SELECT t.id, t.action, t.instance_id FROM (SELECT DISTINCT CASE WHEN json_valid(body) THEN
+    CAST(json_extract(body, '$.id') AS BIGINT) END AS id FROM messages) m JOIN tasks t ON t.id = m.id
+    WHERE t.state <= 0""",
+    "messages", "tasks",
 )
-def _(spark, d):
-    tasks = shared(spark, d, "tasks").select("id", "action", "instance_id", "state")
+
+
+def _asked_once(spark, d):
+    """Each id once, and the task table to look it up in."""
     once = streams.dedupe_deliveries(_messages(spark, d), "ts", "1 hour", spread=("delivery", 8))
-    known = streams.enrich_stream(once.select("id"), tasks)
+    return once.select("id"), shared(spark, d, "tasks").select("id", "action", "instance_id", "state")
+
+
+@query("enrich_stream", PENDING_ASKED)
+def _(spark, d):
+    known = streams.enrich_stream(*_asked_once(spark, d))
     return _appended(spark, "enrich", known.select("id", "action", "instance_id"))
 
 
+@query("enrich_writer", PENDING_ASKED)
+def _(spark, d):
+    where = shared_dir(spark, "enrich-batches")
+    writer = streams.enrich_writer(*_asked_once(spark, d), f"{where}/rows", f"{where}/checkpoint")
+    streams.run_to_end(writer)
+    return spark.read.parquet(f"{where}/rows").select("id", "action", "instance_id")
+
+
 @query(
     "live_state",
     duck(

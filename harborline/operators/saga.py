@@ -107,7 +107,12 @@ def task_results(tasks: DataFrame, outcome: DataFrame) -> DataFrame:
     return (
         tasks.join(states, tasks["id"] == states["task_id"], "left")
         .join(known, "action", "left")
-        .select("id", "action", F.col("__known").isNotNull().alias("known_action"), F.coalesce("__state", F.lit(1)).alias("state"))
+        .select(
+            "id",
+            "action",
+            F.col("__known").isNotNull().alias("known_action"),
+            F.coalesce("__state", F.lit(1)).alias("state"),
+        )
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from harborline.operators.usage import LEDGER, ledger_upsert
+from harborline.session import is_small
 
 
 def dedupe_deliveries(messages: DataFrame, ts: str, delay: str, spread: tuple[str, int] | None = None) -> DataFrame:
@@ -32,10 +33,32 @@ def dedupe_deliveries(messages: DataFrame, ts: str, delay: str, spread: tuple[st
 
 
 def enrich_stream(messages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Messages with their task; unknown ids and finished tasks fall out."""
+    """Messages with their task; unknown ids and finished tasks fall out.
+
+    Every batch reads all of `tasks`; where that is a large table use `enrich_writer`.
+    """
     return messages.join(tasks.where(F.col("state") <= 0), "id")
 
 
+def enrich_writer(messages: DataFrame, tasks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The same, written per batch, reading only the tasks that the batch's ids span.
+
+    The smallest and largest id of a batch become a filter on the scan, which skips files
+    and row groups: messages are about recent tasks. A batch of few ids is broadcast,
+    after counting it, so that the tasks are not shuffled.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        span = batch.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+        near = tasks.where(F.col("id").between(F.lit(span.low), F.lit(span.high)))
+        side = F.broadcast(batch) if is_small(batch, 200_000) else batch
+        enrich_stream(side, near).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def live_state(changes: DataFrame) -> DataFrame:
     """Current state per instance. Combined map-side, so a hot instance is no burden."""
     latest = F.max_by(F.struct("state", "ts", "seq"), F.struct("ts", "seq"))
@@ -118,7 +141,13 @@ def session_bursts(attempts: DataFrame, gap: str, delay: str) -> DataFrame:
         attempts.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("session"), "target")
         .agg(F.count(F.lit(1)).alias("attempts"), F.count_if("ok").alias("succeeded"))
-        .select("target", F.col("session.start").alias("started_at"), F.col("session.end").alias("closes_at"), "attempts", "succeeded")
+        .select(
+            "target",
+            F.col("session.start").alias("started_at"),
+            F.col("session.end").alias("closes_at"),
+            "attempts",
+            "succeeded",
+        )
     )
 
 

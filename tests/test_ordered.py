@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from harborline.operators.ordered import (
@@ -94,3 +96,16 @@ def test_chunked_lists_split_long_lists(spark):
     assert got[("a", 2)] == ["x21", "x22", "x23"]
     assert got[("b", 0)] == ["x24", "x25"]
     assert len(got) == 4
+
+
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.sampled_from([1, 1, 1, 2, None]), st.integers(0, 30)), min_size=1, max_size=80),
+    size=st.integers(2, 12),
+    backward=st.booleans(),
+)
+def test_any_cut_gives_the_same(spark, rows, size, backward):
+    df = spark.createDataFrame([(k, t, i, t % 7) for i, (k, t) in enumerate(rows)], "k long, ts long, seq long, v long")
+    whole = running(df, ["k"], ["ts", "seq"], backward=backward, cuts=None, **metrics())
+    cut = running(df, ["k"], ["ts", "seq"], backward=backward, rows_per_piece=size, **metrics())
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))

@@ -10,7 +10,7 @@ from harborline.session import shared_dir
 from harborline.sources.tables import scan_table
 
 # Streams write files while they are built, so their plan is only that of reading these.
-STREAMED = {"task_stream", "dedupe_deliveries", "enrich_stream", "live_state", "live_ledger", "windowed_tasks", "session_bursts"}
+STREAMED = {"windowed_tasks", "session_bursts", "task_stream", "dedupe_deliveries", "enrich_stream", "enrich_writer", "live_state", "live_ledger"}
 PYTHON = {"map_batches_step"}
 
 
