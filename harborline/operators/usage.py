@@ -37,8 +37,10 @@ def ledger_upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     points = redone.select(*columns).unionByName(changes.select(*columns))
     # Hot instances are looked for before the rows are shuffled.
     cuts = hot_cuts(points, ["instance_id"], ["ts", "seq"])
-    once = points.groupBy("instance_id", "ts", "seq").agg(F.min(F.struct("project_id", "plan_id")).alias("__row"))
-    once = once.select("instance_id", "ts", "seq", "__row.project_id", "__row.plan_id")
+    # A redelivery repeats all values, so any of them will do; minima of numbers hash.
+    once = points.groupBy("instance_id", "ts", "seq").agg(
+        F.min("project_id").alias("project_id"), F.min("plan_id").alias("plan_id")
+    )
     return kept.unionByName(usage_ledger(once, cuts))
 
 

@@ -40,61 +40,85 @@ def _with_given(tasks: DataFrame) -> DataFrame:
     return tasks.select(F.col("id").alias("task_id"), "action", keys.alias("given"))
 
 
-def expand_workflow(tasks: DataFrame, defs: DataFrame) -> DataFrame:
-    """Steps of each task, numbered from 1. A task with an unknown action has none.
-
-    The steps of an action travel as one array beside the task, are filtered by the
-    task's keys and numbered by their place in what is left: no shuffle of the tasks.
-    """
-    flows = _steps_by_action(defs)
-    if is_small(defs):
-        flows = F.broadcast(flows)
-    return _unfold(_with_given(tasks).join(flows, "action"), "given")
+# Steps of all variants together that may be broadcast.
+MAX_STEPS = 200_000
 
 
-def analyse_tasks(
-    tasks: DataFrame,
-    defs: DataFrame,
-    analyse: Callable[[DataFrame, list[str]], DataFrame],
-    keep: Callable[[Column, Column], Column] | None = None,
-    max_steps: int = 200_000,
-) -> DataFrame:
-    """A check below, per task: its result with task_id and action in front.
+def _variants(defs: DataFrame, max_steps: int) -> tuple[DataFrame, DataFrame] | None:
+    """Steps per (action, variant), and the conditions of each action.
 
     The steps of a task depend only on its action and on which of that action's
-    conditions it meets. So the check is done once per such variant, and tasks are joined
-    to the result; tasks are not shuffled. The steps of all variants are counted first
-    (they follow from the definitions alone); beyond `max_steps` of them, too many to
-    broadcast, the tasks are expanded instead.
-    `keep` may drop a row of the result by the keys its task was given.
+    conditions it meets: a variant is the array of those it meets. All variants follow
+    from the definitions, so their steps are counted first; None beyond `max_steps`.
     """
+    conditions = F.transform("flow", lambda s: s["condition"])
     flows = _steps_by_action(defs).withColumn(
-        "conditions", F.array_sort(F.array_distinct(F.array_compact(F.transform("flow", lambda s: s["condition"]))))
+        "conditions", F.array_sort(F.array_distinct(F.array_compact(conditions)))
     )
     variants = F.lit(2.0) ** F.size("conditions")
     size = flows.agg(F.sum(variants * F.size("flow")).alias("steps"))
     if not is_small(defs) or (size.first().steps or 0) > max_steps:
-        by = ["task_id", "action", "given"]
-        found = analyse(expand_workflow(tasks, defs), by)
-        result = [c for c in found.columns if c not in by]
-        if keep:
-            found = found.where(keep(F.struct(*result), F.col("given")))
-        return found.drop("given")
-
+        return None
     # Bit i of the variant's number says whether condition i is met.
     number = F.explode(F.sequence(F.lit(0), variants.cast("int") - 1))
     listed = flows.select("action", "flow", "conditions", number.alias("number"))
     met = F.expr("filter(conditions, (c, i) -> (number & shiftleft(1, i)) <> 0)")
     steps = _unfold(listed.select("action", "flow", met.alias("variant")), "variant")
+    return steps, flows.select("action", "conditions")
+
+
+def _to_tasks(tasks: DataFrame, found: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Each task with what was found for its variant, as an array of rows. Both sides that
+    are broadcast are bounded by the number of variants; the tasks are not shuffled."""
     by = ["action", "variant"]
-    found = analyse(steps, by)
-    result = F.struct(*[c for c in found.columns if c not in by])
-    found = found.groupBy(*by).agg(F.collect_list(result).alias("found"))
-    conditions = F.broadcast(flows.select("action", "conditions"))
-    marked = _with_given(tasks).join(conditions, "action")
+    row = F.struct(*[c for c in found.columns if c not in by])
+    arrays = found.groupBy(*by).agg(F.collect_list(row).alias("found"))
+    marked = _with_given(tasks).join(F.broadcast(conditions), "action")
     marked = marked.withColumn("variant", F.expr("filter(conditions, c -> array_contains(given, c))"))
+    return marked.join(F.broadcast(arrays), by)
+
+
+def expand_workflow(tasks: DataFrame, defs: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Steps of each task, numbered from 1. A task with an unknown action has none.
+
+    The steps travel as one array beside the task, so the tasks are not shuffled.
+    """
+    variants = _variants(defs, max_steps)
+    if variants is None:
+        flows = _steps_by_action(defs)
+        if is_small(defs):
+            flows = F.broadcast(flows)
+        return _unfold(_with_given(tasks).join(flows, "action"), "given").select("task_id", "action", "given", *ENTRY)
+    return _to_tasks(tasks, *variants).select("task_id", "action", "given", F.inline("found")).select(
+        "task_id", "action", "given", *ENTRY
+    )
+
+
+def analyse_tasks(
+    tasks: DataFrame,
+    defs: DataFrame,
+    analyse: Callable[[DataFrame, list[str]], DataFrame],
+    keep: Callable[[Column, Column], Column] | None = None,
+    max_steps: int = MAX_STEPS,
+) -> DataFrame:
+    """A check below, per task: its result with task_id and action in front.
+
+    It is done once per variant of an action, and tasks are joined to the result; with
+    too many variants the tasks are expanded instead. `keep` may drop a row of the result
+    by the keys its task was given.
+    """
+    variants = _variants(defs, max_steps)
+    if variants is None:
+        by = ["task_id", "action", "given"]
+        found = analyse(expand_workflow(tasks, defs, max_steps), by)
+        if keep:
+            row = F.struct(*[c for c in found.columns if c not in by])
+            found = found.where(keep(row, F.col("given")))
+        return found.drop("given")
+    steps, conditions = variants
+    marked = _to_tasks(tasks, analyse(steps, ["action", "variant"]), conditions)
     rows = F.col("found") if keep is None else F.filter("found", lambda row: keep(row, F.col("given")))
-    return marked.join(F.broadcast(found), by).select("task_id", "action", F.inline(rows))
+    return marked.select("task_id", "action", F.inline(rows))
 
 
 def _wanted(steps: DataFrame, by: Sequence[str]) -> DataFrame:

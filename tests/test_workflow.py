@@ -89,6 +89,20 @@ def test_expansion_drops_unknown_actions_and_renumbers(spark):
     assert steps.where("task_id = 4").first().step == "finish"
 
 
+def test_expansion_by_variant_equals_expansion_by_filter(spark):
+    keys = ["new_password", "eviction_policy", "plan_id", "whitelist"]
+    rows = []
+    for i, action in enumerate(action_names()):
+        for bits in range(16):
+            met = ",".join(f'"{k}":null' for j, k in enumerate(keys) if bits >> j & 1)
+            rows.append((i * 16 + bits, action, "{" + met + "}"))
+    tasks, defs = spark.createDataFrame(rows, "id long, action string, metadata string"), definitions(spark)
+    few = workflow.expand_workflow(tasks, defs)
+    many = workflow.expand_workflow(tasks, defs, max_steps=10)
+    assert few.columns == many.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 def test_definitions_from_a_file(spark, tmp_path):
     definitions(spark).write.json(f"{tmp_path}/defs")
     back = read_definitions(spark, f"{tmp_path}/defs")
