@@ -57,7 +57,7 @@ def _variants(defs: DataFrame, max_steps: int) -> tuple[DataFrame, DataFrame] |
     )
     variants = F.lit(2.0) ** F.size("conditions")
     size = flows.agg(F.sum(variants * F.size("flow")).alias("steps"))
-    if not is_small(defs) or (size.first().steps or 0) > max_steps:
+    if (size.first().steps or 0) > max_steps:
         return None
     # Bit i of the variant's number says whether condition i is met.
     number = F.explode(F.sequence(F.lit(0), variants.cast("int") - 1))

@@ -114,7 +114,7 @@ def test_large_definition_tables_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(workflow, "is_small", lambda df: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = workflow.expand_workflow(tasks, definitions(spark))._jdf.queryExecution().executedPlan().toString()
+        plan = workflow.expand_workflow(tasks, definitions(spark), max_steps=10)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan
