@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import fmindex, mixing
+from harborline.llm import fmindex, mixing, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,9 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 def op1_fm_decontaminate(spark, folder):
     found = fmindex.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op4_zstd_toxicity")
+def op4_zstd_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
