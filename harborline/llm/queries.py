@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import fmindex, mixing, toxicity
+from harborline.llm import fmindex, mixing, secret_scan, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op1_fm_decontaminate(spark, folder):
 def op4_zstd_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op5_crf_secrets")
+def op5_crf_secrets(spark, folder):
+    docs = table(spark, folder, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.fit(docs)).drop("clean_text")
