@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import fmindex, mixing, secret_scan, toxicity
+from harborline.llm import fmindex, html_text, mixing, secret_scan, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,9 @@ def op4_zstd_toxicity(spark, folder):
 def op5_crf_secrets(spark, folder):
     docs = table(spark, folder, "documents")
     return secret_scan.scan_secrets(docs, secret_scan.fit(docs)).drop("clean_text")
+
+
+@query("op10_dom_extract")
+def op10_dom_extract(spark, folder):
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
