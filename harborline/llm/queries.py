@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import fmindex, html_text, mixing, secret_scan, toxicity
+from harborline.llm import debruijn, fmindex, html_text, mixing, secret_scan, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,32 @@ def op5_crf_secrets(spark, folder):
 def op10_dom_extract(spark, folder):
     pages = table(spark, folder, "pages")
     return html_text.extract(pages, html_text.fit(pages))
+
+
+# Sequences of 35 words that begin in two places, and the words they cover.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), twice AS (SELECT g FROM places GROUP BY g HAVING count(*) > 1),
+gone AS (
+  SELECT r, list(DISTINCT p) AS ps FROM (
+    SELECT r, unnest(range(i, i + 35)) AS p FROM places WHERE g IN (SELECT g FROM twice)) GROUP BY r
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS k FROM (
+    SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) a
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT r AS r2, unnest(ps) AS p2 FROM gone) b WHERE a.r = b.r2 AND a.p = b.p2)
+  GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op2_debruijn_dedup", OP2_SQL)
+def op2_debruijn_dedup(spark, folder):
+    return debruijn.remove_repeats(table(spark, folder, "documents")).drop("clean_text")
