@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborline.llm.texts import sampled
+
 SAMPLE_PAGES = 400  # labelled pages to fit on
 SAMPLE_CHARS = 100_000  # pages to fit on are no longer than this
 BLOCK_PAGES = 400  # pages whose trees are solved side by side
@@ -378,7 +380,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int =
     labelled = pages.select("page_id", "html").where(
         F.lower("html").rlike(r"<(article|main)[\s>]") & (F.length("html") <= sample_chars)
     )
-    chosen = labelled.orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample_pages)
+    chosen = sampled(labelled, "page_id", sample_pages).orderBy("page_id")
     trees, truth = Trees(), []
     for i, row in enumerate(chosen.select("html").collect()):
         begin = len(trees.page)

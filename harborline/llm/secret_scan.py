@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import ALNUM, LOWER, blocks, byte_set, doc_rows, text_bytes, word_bounds
+from harborline.llm.texts import ALNUM, LOWER, blocks, byte_set, doc_rows, sampled, text_bytes, word_bounds
 
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCS = 6000  # documents to fit on
@@ -21,6 +21,7 @@ SAMPLE_CHARS = 20_000  # of each of them
 SAMPLE_CLEAN = 1500  # pieces of lines without a pattern's match
 LONGEST = 40  # tokens of a line in fitting; longer lines are fitted in pieces
 EPOCHS = 60
+FIT_BLOCK = 250  # documents made into training pieces at once
 
 ASSIGN, ACCESS, HEX, CRF = "assign", "access", "hex", "crf"
 KINDS = (ASSIGN, ACCESS, HEX, CRF)
@@ -267,50 +268,62 @@ def _gradient(field: Field, ids: list[np.ndarray], truth: np.ndarray, size: np.n
     return states, steps, start
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """A field fitted on at most `sample_docs` documents, in the order of a hash of their id.
+def _training_pieces(texts: list[str]):
+    """Pieces of lines of at most `LONGEST` tokens: features, states, sizes, and which hold a match.
 
-    The patterns' matches are its labels: a match's first token begins a secret, its others are
-    inside (of an assignment, the value's tokens). All pieces of the sample's lines with a match
-    are used, and some `SAMPLE_CLEAN` evenly from the others. Without any match nothing is tagged.
+    Of the pieces without a match every tenth is kept.
     """
-    chosen = docs.select("doc_id", "text").where("text is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
-    texts = [r[0] for r in chosen.select(F.substring("text", 1, sample_chars)).collect()]
     data, starts = text_bytes(pa.array(texts, pa.large_string()))
     lowered = LOWER[data].tobytes()
-    spans = base_spans(data, starts, lowered)
-    field = Field([np.zeros((n, 3)) for n in SIZES], np.zeros((3, 3)), np.zeros(3))
-    if not spans:
-        field.start[O] = 50.0
-        field.steps[:, O] = 50.0
-        return field
     tokens = tokens_of(data, starts, lowered)
     truth = np.zeros(len(tokens.begin), np.int64)
     raw = data.tobytes()
-    for text, a, kind, b in spans:
+    for text, a, kind, b in base_spans(data, starts, lowered):
         if kind == 0:
             a = ASSIGN_RE.match(raw, a, int(starts[text + 1])).start(2)
         i, j = np.searchsorted(tokens.end, a, "right"), np.searchsorted(tokens.begin, b, "left")
         truth[i:j] = I
         truth[i : i + 1] = B
+    if not len(truth):
+        none = np.zeros(0, np.int64)
+        return [np.zeros((0, LONGEST), np.int64)] * len(SIZES), np.zeros((0, LONGEST), np.int64), none, none > 0
     line_head = np.flatnonzero(np.diff(tokens.line, prepend=-1) != 0)
     within = np.arange(len(truth)) - line_head[tokens.line - 1]
     head = np.flatnonzero(within % LONGEST == 0)
     size = np.diff(np.append(head, len(truth)))
     marked = np.add.reduceat(truth, head) > 0
-    clean = np.flatnonzero(~marked)
-    keep = np.sort(np.concatenate([np.flatnonzero(marked), clean[:: max(1, len(clean) // SAMPLE_CLEAN)]]))
-    head, size = head[keep], size[keep]
-    order = np.argsort(-size, kind="stable")
-    head, size = head[order], size[order]
+    keep = marked | (np.arange(len(head)) % 10 == 0)
+    head, size, marked = head[keep], size[keep], marked[keep]
     grid = np.minimum(head[:, None] + np.arange(LONGEST), len(truth) - 1)
-    ids, goal = [f[grid] for f in tokens.features], truth[grid]
+    return [f[grid] for f in tokens.features], truth[grid], size, marked
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
+    """A field fitted on at most `sample_docs` documents, in the order of a hash of their id.
+
+    The patterns' matches are its labels: a match's first token begins a secret, its others are
+    inside (of an assignment, the value's tokens). All pieces of the sample's lines with a match
+    are used, and some `SAMPLE_CLEAN` evenly from the others. Without any match nothing is tagged.
+    """
+    usable = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).where("text is not null")
+    texts = [r[0] for r in sampled(usable, "doc_id", sample_docs).orderBy("doc_id").select("text").collect()]
+    pieces = [_training_pieces(texts[i : i + FIT_BLOCK]) for i in range(0, len(texts), FIT_BLOCK)]
+    field = Field([np.zeros((n, 3)) for n in SIZES], np.zeros((3, 3)), np.zeros(3))
+    if not any(marked.any() for *_, marked in pieces):
+        field.start[O] = 50.0
+        field.steps[:, O] = 50.0
+        return field
+    ids = [np.concatenate([p[0][f] for p in pieces]) for f in range(len(SIZES))]
+    goal, size, marked = (np.concatenate([p[i] for p in pieces]) for i in (1, 2, 3))
+    clean = np.flatnonzero(~marked)
+    keep = np.concatenate([np.flatnonzero(marked), clean[:: max(1, len(clean) // SAMPLE_CLEAN)]])
+    keep = keep[np.argsort(-size[keep], kind="stable")]  # longest first
+    ids, goal, size = [i[keep] for i in ids], goal[keep], size[keep]
     parts = [field.steps, field.start, *field.states]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for epoch in range(1, EPOCHS + 1):
         grads = [np.zeros_like(p) for p in parts]
-        for a in range(0, len(head), 500):
+        for a in range(0, len(size), 500):
             part = slice(a, a + 500)
             longest = int(size[part].max())
             states, steps, start = _gradient(

@@ -32,6 +32,13 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def sampled(rows: DataFrame, id_column: str, n: int) -> DataFrame:
+    """At most `n` rows, those whose ids come first by hash; only ids are put in order, not texts."""
+    ids = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_sampled"))
+    ids = ids.orderBy(F.xxhash64("_sampled"), "_sampled").limit(n).distinct()
+    return rows.join(F.broadcast(ids), F.col(id_column) == F.col("_sampled")).drop("_sampled").limit(n)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of anything but ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

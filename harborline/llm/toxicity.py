@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import LOWER, NOT_SPACE, blocks, spread, text_bytes, word_bounds
+from harborline.llm.texts import LOWER, NOT_SPACE, blocks, sampled, spread, text_bytes, word_bounds
 
 WINDOW = 16  # words compressed at once
 SAMPLE_DOCS = 2500  # labelled documents of each class to fit on
@@ -162,11 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     prior = (counts.get(1, 0) + 1) / (total + 2) if total else 0.0
     texts: dict[int, list[bytes]] = {}
     for label in (0, 1):
-        chosen = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_docs)
+        chosen = sampled(usable.where(F.col("toxic") == label), "label_id", sample_docs)
         found = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(
             F.broadcast(chosen.select("label_id").distinct()), F.col("doc_id") == F.col("label_id")
         )
-        rows = found.where("text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
+        rows = found.where("text is not null").limit(sample_docs).orderBy("doc_id", F.xxhash64("text"))
         texts[label] = [r["text"] for r in rows.select("text").collect()]
     if not texts[0] or not texts[1]:
         return Model(b"", [], np.zeros(0), prior)
