@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import debruijn, fmindex, html_text, mixing, secret_scan, toxicity
+from harborline.llm import debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 @query("op2_debruijn_dedup", OP2_SQL)
 def op2_debruijn_dedup(spark, folder):
     return debruijn.remove_repeats(table(spark, folder, "documents")).drop("clean_text")
+
+
+@query("op6_suffix_levels")
+def op6_suffix_levels(spark, folder):
+    return suffix_levels.remove_repeats(table(spark, folder, "documents")).drop("clean")
