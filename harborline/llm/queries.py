@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, toxicity
+from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,28 @@ def op2_debruijn_dedup(spark, folder):
 @query("op6_suffix_levels")
 def op6_suffix_levels(spark, folder):
     return suffix_levels.remove_repeats(table(spark, folder, "documents")).drop("clean")
+
+
+# All pairs by cosine, components by repeated spreading of the least id.
+OP8_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN low ON e.vec_id = low.x LEFT JOIN n ON e.vec_id = n.x
+"""
+
+
+@query("op8_cover_tree_dedup", OP8_SQL)
+def op8_cover_tree_dedup(spark, folder):
+    return cover_tree.near_duplicates(table(spark, folder, "embeddings"))
