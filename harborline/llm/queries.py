@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, toxicity
+from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, token_groups, toxicity
+from harborline.llm.texts import KEY
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +151,30 @@ FROM embeddings e JOIN low ON e.vec_id = low.x LEFT JOIN n ON e.vec_id = n.x
 @query("op8_cover_tree_dedup", OP8_SQL)
 def op8_cover_tree_dedup(spark, folder):
     return cover_tree.near_duplicates(table(spark, folder, "embeddings"))
+
+
+# Sets as lists of whole shingle texts, pairs over shared shingles, least id spread over links.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS t
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.r <> b.r GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)
+), reach AS (
+  SELECT r AS x, r AS y FROM d UNION SELECT q.x, l.y FROM reach q JOIN links l ON q.y = l.x
+), low AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) JOIN low ON low.x = d.r
+"""
+
+
+@query("op7_token_groups", OP7_SQL)
+def op7_token_groups(spark, folder):
+    return token_groups.jaccard_components(table(spark, folder, "documents")).drop(*KEY)
