@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.texts import (
-    ALNUM, covered, doc_rows, gathered, span_codes, spread, text_bytes, word_bounds, word_codes,
+    ALNUM, by_blocks, covered, doc_rows, gathered, span_codes, spread, text_bytes, word_bounds, word_codes,
 )
 
 WINDOW = 10
@@ -310,3 +310,16 @@ def decontaminate(
             yield _search_shard(shard, blocks, with_text)
 
     return docs.select("doc_id", "text").mapInArrow(search, SCHEMA)
+
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES
+) -> Column:
+    """The text without its spans of benchmark words as a column of `docs`; null stays null."""
+    blocks = benchmark_blocks(benchmark, window)
+
+    def clean(shard: pa.RecordBatch) -> pa.Array:
+        ids = pa.nulls(shard.num_rows, pa.int64())
+        return _search_shard(shard.append_column("doc_id", ids), blocks, True).column("clean_text")
+
+    return by_blocks(clean, shard_bytes, "string")(docs["text"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.texts import KEY, keyed, word_count
@@ -100,24 +100,27 @@ def balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "lambda", F.exp("lambda").alias("rate"), "steps")
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, buckets: int = BUCKETS
-) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, rate, copies, taken.
+def _sized(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Documents with their size in words and their place in the order of copies."""
+    order = F.xxhash64(F.lit("mix"), *KEY)
+    rows = keyed(docs, "doc_id", *[c for c in columns if c != "doc_id"])
+    return rows.withColumns({"_size": word_count(F.col("text")), "_order": order}).withColumn(
+        "_bucket", F.expr(f"shiftrightunsigned(`_order`, 32) % {BUCKETS}")
+    )
+
+
+def mixing_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """One row a source: plan_source, source_size, target, rate, whole, extra and where the extra copies end.
 
-    Rates are rounded into whole copies: every document of a source gets floor(rate); the rest of
+    Rates are rounded into whole copies: every document of a source gets `whole` = floor(rate); the rest of
     the source's target goes, one more copy each, to documents in the order of a hash of id and
     text, as long as they stay within the target; then to the one further document that fits the
     rest best. To find where they end no source is sorted: sizes are summed by hash bucket first,
-    and only the bucket in which the target falls is put in order, 1/`buckets` of its source.
+    and only the bucket in which the target falls is put in order, 1/`BUCKETS` of its source.
     Rows that are equal in id and text stand or fall together.
-
-    Null text or text without words: size 0, taken 0, any number of copies is 0 words. A null
-    source is a source of its own, last in order. Null ids are allowed. An empty table gives no rows.
-    Extra columns are not looked at. No document is taken more than `most` times.
     """
-    rows = keyed(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", *KEY, word_count(F.col("text")).alias("size")
+    rows = _sized(docs, ("source", "text")).select(
+        "source", F.col("_size").alias("size"), F.col("_order").alias("order"), F.col("_bucket").alias("bucket")
     )
     rows = cut_lineage(rows)
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"))
@@ -133,10 +136,6 @@ def mix_sources(
     )
     plan = plan.withColumn("extra", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     plan = _fixed(plan.withColumn("extra", F.when(F.col("whole") >= most, 0.0).otherwise(F.col("extra"))))
-    order = F.xxhash64(F.lit("mix"), *KEY)
-    rows = rows.select("doc_id", "source", "size", order.alias("order")).withColumn(
-        "bucket", F.expr(f"shiftrightunsigned(`order`, 32) % {int(buckets)}")
-    )
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("words").over(along))
@@ -171,10 +170,7 @@ def mix_sources(
             F.col("extra") - F.coalesce("last_reach", F.col("edge_upto") - F.col("edge_words"), F.lit(0)),
         )
     )
-    more = (F.col("extra") > 0) & (
-        F.coalesce(F.col("bucket") < F.col("edge_bucket"), F.lit(True))
-        | ((F.col("bucket") == F.col("edge_bucket")) & F.coalesce(F.col("order") <= F.col("last_order"), F.lit(False)))
-    )
+    more = _in_order(F.col("bucket"), F.col("order"))
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     # What is missing then goes to the one further document whose size is nearest to it.
     spare = joined.where((F.col("gap") > 0) & ~more).groupBy("plan_source", "gap", "order").agg(
@@ -185,10 +181,35 @@ def mix_sources(
     )
     spare = spare.select(F.col("plan_source").alias("spare_source"), F.col("best.order").alias("spare_order"))
     plan = _fixed(plan.join(spare, F.col("plan_source").eqNullSafe(F.col("spare_source")), "left").drop("spare_source"))
-    full = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    more = more | F.coalesce(F.col("order") == F.col("spare_order"), F.lit(False))
+    return plan
+
+
+def _in_order(bucket: Column, order: Column) -> Column:
+    """Whether a document gets one more copy by its place in the order."""
+    return (F.col("extra") > 0) & (
+        F.coalesce(bucket < F.col("edge_bucket"), F.lit(True))
+        | ((bucket == F.col("edge_bucket")) & F.coalesce(order <= F.col("last_order"), F.lit(False)))
+    )
+
+
+def apply_plan(docs: DataFrame, plan: DataFrame, columns: Sequence[str] = ("doc_id", "source", "text")) -> DataFrame:
+    """`columns` of every document, and size, source_size, target, rate, copies, taken by its source's plan."""
+    full = _sized(docs, columns).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    spare = F.coalesce(F.col("_order") == F.col("spare_order"), F.lit(False))
+    more = _in_order(F.col("_bucket"), F.col("_order")) | spare
     copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
     return full.select(
-        "doc_id", "source", "size", "source_size", "target", "rate",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        *columns, F.col("_size").alias("size"), "source_size", "target", "rate",
+        copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
     )
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, rate, copies, taken.
+
+    Targets of the sources, entropy-balanced rates, and whole copies: see `source_targets`,
+    `balance` and `mixing_plan`. Null text or text without words: size 0, taken 0, whatever its
+    copies. A null source is a source of its own, last in order. Null ids are allowed. An empty
+    table gives no rows. Extra columns are not looked at. No document is taken more than `most` times.
+    """
+    return apply_plan(docs, mixing_plan(docs, weights, most)).drop("text")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, token_groups, toxicity
-from harborline.llm.texts import KEY
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,4 +176,6 @@ FROM d LEFT JOIN n USING (r) JOIN low ON low.x = d.r
 
 @query("op7_token_groups", OP7_SQL)
 def op7_token_groups(spark, folder):
-    return token_groups.jaccard_components(table(spark, folder, "documents")).drop(*KEY)
+    return token_groups.jaccard_components(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )

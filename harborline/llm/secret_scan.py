@@ -10,10 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import ALNUM, LOWER, blocks, byte_set, doc_rows, sampled, text_bytes, word_bounds
+from harborline.llm.texts import ALNUM, LOWER, blocks, by_blocks, byte_set, doc_rows, sampled, text_bytes, word_bounds
 
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCS = 6000  # documents to fit on
@@ -426,3 +426,14 @@ def scan_secrets(docs: DataFrame, field: Field, with_text: bool = False, block_b
             yield _scan_block(block, shared.value, with_text)
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+
+
+def redacted(docs: DataFrame, field: Field, block_bytes: int = BLOCK_BYTES) -> Column:
+    """The text without its secrets as a column of `docs`; null stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def clean(block: pa.RecordBatch) -> pa.Array:
+        ids = pa.nulls(block.num_rows, pa.int64())
+        return _scan_block(block.append_column("doc_id", ids), shared.value, True).column("clean_text")
+
+    return by_blocks(clean, block_bytes, "string")(docs["text"])

@@ -7,7 +7,7 @@ of bytes, or one longer text: no text is ever cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,21 @@ def sampled(rows: DataFrame, id_column: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(ids), F.col(id_column) == F.col("_sampled")).drop("_sampled").limit(n)
 
 
+def by_blocks(fn: Callable[[pa.RecordBatch], pa.Array], max_bytes: int, type_: str) -> Callable[[Column], Column]:
+    """A column computed from whole texts, block by block, beside all other columns of a row.
+
+    `fn` gets batches with one column, text, and returns one value a row; null texts come to it as null.
+    """
+
+    @F.arrow_udf(type_)
+    def run(column: pa.Array) -> pa.Array:
+        batch = pa.record_batch({"text": column})
+        parts = [fn(block) for block in blocks(iter([batch]), max_bytes)]
+        return pa.chunked_array(parts).combine_chunks() if parts else column
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of anything but ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

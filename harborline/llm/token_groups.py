@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from harborline.llm.components import components
 from harborline.llm.stored import Stored
 from harborline.llm.texts import (
-    KEY, NOT_SPACE, blocks, doc_rows, gathered, keyed, mix, rolling, span_codes, text_bytes, word_bounds, word_codes,
+    KEY, NOT_SPACE, blocks, doc_rows, gathered, keyed, mix, rolling, span_codes, text_bytes, word_bounds, word_codes, word_count,
 )
 
 NGRAM = 5
@@ -177,7 +177,7 @@ def _open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (least doc_id reachable), and its key.
+    """One row a document: doc_id, n_shingles, component_id (least doc_id reachable), its group and its key.
 
     A document's set is its distinct word shingles; two link if they share `percent` % of their union.
     Documents with equal sets are one class. Any two linked sets share a token among the first
@@ -302,11 +302,31 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     lows = lows.join(roots, F.col("class") == F.col("node"), "left")
     lows = stored.keep(lows.select("class", "low", F.coalesce("root", "class").alias("root")))
     best = lows.groupBy("root").agg(F.min("low").alias("component"))
-    best = lows.join(best, "root").select(F.col("class").alias("_class"), "component")
+    best = lows.join(best, "root").select(F.col("class").alias("_class"), F.col("root").alias("group"), "component")
     out = named.join(best, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("group", "class")).alias("group"),
         *KEY,
     )
+
+
+def keep_one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each group of linked documents: the least id, rows without one last.
+
+    Of rows that are equal in id and text one stays. Texts without words are linked with nothing, so all stay.
+    """
+    members = jaccard_components(docs, ngram, percent).where(F.col("group").isNotNull())
+    least = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEY)).alias("least"))
+    least = least.select(F.col(f"least.{KEY[0]}").alias("_least_id"), F.col(f"least.{KEY[1]}").alias("_least_text"))
+    rows = keyed(docs, "doc_id", *[c for c in docs.columns if c != "doc_id"])
+    alone = word_count(F.col("text")) == 0
+    rows = rows.withColumn("_alone", F.when(alone, F.monotonically_increasing_id()).otherwise(-1))
+    kept = rows.join(
+        least.hint("shuffle_hash"),
+        (F.col(KEY[0]) == F.col("_least_id")) & (F.col(KEY[1]) == F.col("_least_text")),
+        "left",
+    ).where("_alone >= 0 or _least_id is not null")
+    return kept.dropDuplicates([*KEY, "_alone"]).select(*docs.columns)

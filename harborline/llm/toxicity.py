@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import LOWER, NOT_SPACE, blocks, sampled, spread, text_bytes, word_bounds
+from harborline.llm.texts import LOWER, NOT_SPACE, blocks, by_blocks, sampled, spread, text_bytes, word_bounds
 
 WINDOW = 16  # words compressed at once
 SAMPLE_DOCS = 2500  # labelled documents of each class to fit on
@@ -206,3 +206,9 @@ def score_toxicity(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def toxicity_score(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES) -> Column:
+    """The score as a column of `docs`, to be used beside its other columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return by_blocks(lambda block: pa.array(shared.value.score(block.column("text"))), block_bytes, "double")(docs["text"])
