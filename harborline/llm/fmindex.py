@@ -68,13 +68,14 @@ class WaveletMatrix:
         return symbol, i
 
 
-def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of all suffixes, by doubling; after the first sort only equal ones are sorted again."""
     n = len(symbols)
     if n == 0:
         return np.zeros(0, np.int64)
+    bits = (int(symbols.max()) + 1).bit_length()
     width = max(1, 62 // bits)
-    padded = np.concatenate([symbols, np.zeros(width, symbols.dtype)])
+    padded = np.concatenate([symbols + 1, np.zeros(width, symbols.dtype)])  # 0: behind the end
     key = np.zeros(n, np.int64)
     for j in range(width):
         key = (key << bits) | padded[j : j + n]
@@ -124,7 +125,7 @@ class FMIndex:
         self.begin = first[:-1] + np.arange(docs)  # of each text, with the marks counted
         symbols = np.zeros(len(codes) + docs, np.int32)
         symbols[np.arange(len(codes)) + doc_rows(first)] = number
-        order = suffix_array(symbols, bits)
+        order = suffix_array(symbols)
         self.size = len(symbols)
         self.counts = np.zeros(len(self.alphabet) + 2, np.int64)
         np.cumsum(np.bincount(symbols, minlength=len(self.alphabet) + 1), out=self.counts[1:])
