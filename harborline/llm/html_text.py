@@ -300,6 +300,9 @@ def prior_weights() -> list[np.ndarray]:
             if flags & (TAG_ASIDE | NAME_ASIDE | PAGE_HEADER):
                 value = -5.0
             weights[family][flags] = scale * value
+    weights[0][TAG_NUMBER["#text"]] = 1.0
+    for length in range(len(LEAF_LENGTHS) + 1):
+        weights[4][(6 + length) * 4 + 2 : (6 + length) * 4 + 4] = -1.5, -3.0  # mostly or only links
     return weights
 
 
