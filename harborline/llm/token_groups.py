@@ -149,6 +149,28 @@ def _star(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.record_batch({"a": batch.column("class"), "b": batch.column("pivot")}).filter(pa.array(good, pa.bool_()))
 
 
+def _qualifying(queries: DataFrame, percent: int) -> DataFrame:
+    """Queries that may share enough with a member of the group, by the count of shared prefix tokens.
+
+    Of two sets, one's prefix ends first in the order of tokens; what of it is shared lies in the other's prefix
+    too. So their overlap is at most the shared prefix tokens and what that set has behind its
+    prefix, and must be `percent`/(100 + `percent`) of both sizes. The bound is loosest at the
+    smallest or largest member that can link by size; one is left for rounding.
+    """
+
+    def needed(n: str, m: str) -> str:
+        both = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+        return f"{both} - ({percent} * greatest({n}, {m}) + 99) div 100"
+
+    window = queries.withColumns(
+        {
+            "low": F.expr(f"greatest(least_n, ({percent} * n + 99) div 100)"),
+            "high": F.expr(f"least(most_n, (100 * n) div {percent})"),
+        }
+    ).where("low <= high")
+    return window.where(F.expr(f"shared >= least({needed('n', 'low')}, {needed('n', 'high')})"))
+
+
 def _open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
     """Queries that link to a member of the group: the bound first, then the members' sets."""
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("member_tokens")]
@@ -186,10 +208,11 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     counted over all texts, and matters for speed alone.
 
     Classes with equal min-hashes are put together and compared with one of them each; what links is a
-    first partition into groups of similar documents. Then the matrix: the tokens of each group (at most `GROUP_ROWS`
-    members; larger ones in parts) against queries from other, smaller groups. A group that shares a token is
-    checked by its token union: a query that shares less than `percent` % of its own tokens with all
-    members together is dropped. Qualifying groups are opened and their sets compared. All pairs of
+    first partition into groups of similar documents. Then the matrix: the prefix tokens of each group (at most
+    `GROUP_ROWS` members; larger ones in parts) against queries from other, smaller groups. The
+    number of shared ones bounds the overlap (see `_qualifying`). Of the groups left the whole token
+    union is made: a query that shares less than `percent` % of its own tokens with all members
+    together is dropped. Qualifying groups are opened and their sets compared. All pairs of
     different groups that can link are met in one of the two directions, so no link between groups is lost;
     links within a group need no further look, as it is connected. A group with very many queries meets them in several tasks.
 
@@ -225,25 +248,26 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     prefix = stored.keep(prefix.join(hits, F.col("token") == F.col("hit")).drop("hit").distinct())
     stored.drop(hits)
 
-    # The classes that share a token, one document of each, and their sets.
+    # The classes that share a token, and one document of each.
     active = prefix.select(F.col("class").alias("active")).distinct()
-    example = named.where("n > 0").groupBy("class", *[f"g{i}" for i in range(MINHASHES)]).agg(
+    example = named.where("n > 0").groupBy("class", "n", *[f"g{i}" for i in range(MINHASHES)]).agg(
         F.min(F.struct(*KEY)).alias("example")
     )
     example = stored.keep(example.join(active, F.col("class") == F.col("active")).drop("active"))
-    texts = rows.select("text", *KEY).join(
-        example.select("class", F.col(f"example.{KEY[0]}").alias("_e1"), F.col(f"example.{KEY[1]}").alias("_e2")).hint(
-            "shuffle_hash"
-        ),
-        (F.col(KEY[0]) == F.col("_e1")) & (F.col(KEY[1]) == F.col("_e2")),
-    )
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
             yield _set_rows(block, ngram)
 
-    sets = texts.select("class", "text").mapInArrow(make_sets, "class long, tokens binary")
-    sets = stored.keep(sets.groupBy("class").agg(F.first("tokens").alias("tokens")))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(class, tokens) of the classes in `wanted` (class), from the text of one document each."""
+        chosen = example.join(wanted.distinct(), "class").select(
+            "class", F.col(f"example.{KEY[0]}").alias("_e1"), F.col(f"example.{KEY[1]}").alias("_e2")
+        )
+        same = (F.col(KEY[0]) == F.col("_e1")) & (F.col(KEY[1]) == F.col("_e2"))
+        texts = rows.select("text", *KEY).join(chosen.hint("shuffle_hash"), same)
+        sets = texts.select("class", "text").mapInArrow(make_sets, "class long, tokens binary")
+        return stored.keep(sets.groupBy("class").agg(F.first("tokens").alias("tokens")))
 
     # First partition: each class against one of those with the same min-hash.
     grouped = example.select(
@@ -252,19 +276,23 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     pivots = grouped.groupBy("by", "group").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     pairs = grouped.join(pivots, ["by", "group"]).where("class != pivot").select("class", "pivot").distinct()
     pairs = stored.keep(pairs)
+    sets = sets_of(pairs.select("class").unionAll(pairs.select(F.col("pivot").alias("class"))))
     pivot_sets = sets.select(F.col("class").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
     stars = pairs.join(sets, "class").join(pivot_sets, "pivot").mapInArrow(
         lambda batches: _star(batches, percent), "a long, b long"
     )
     stars = stored.keep(stars)
-    groups = example.select("class").join(
+    stored.drop(sets, pairs)
+    groups = example.select("class", "n").join(
         components(stars, stored), F.col("class") == F.col("node"), "left"
-    ).select("class", F.coalesce("root", "class").alias("group"))
+    ).select("class", "n", F.coalesce("root", "class").alias("group"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
     groups = groups.join(sizes, "group").withColumn(
         "part", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP_ROWS)).cast("int")
     )
     groups = stored.keep(groups)
+    parts = groups.groupBy("group", "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    groups = stored.keep(groups.join(parts, ["group", "part"]))
 
     # The matrix of tokens and groups, for tokens that more than one group has.
     marked = stored.keep(prefix.join(groups, "class"))
@@ -273,14 +301,20 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     )
     between = stored.keep(between.where("low != high").select("token", "largest"))
     marked = stored.keep(marked.join(between, "token"))
-    matrix = marked.select("token", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part"))
+    matrix = marked.select(
+        "token", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part"),
+        "least_n", "most_n",
+    ).distinct()
     # Smaller groups ask larger ones, so members of a token's largest group ask nobody.
-    asks = marked.where("group != largest.group").select("token", "class", "group", "size")
-    queries = asks.join(matrix.distinct(), "token").where(
-        "group != to and (size < to_size or (size = to_size and group < to))"
-    )
-    queries = stored.keep(queries.select("class", "to", "to_part").distinct())
+    asks = marked.where("group != largest.group").select("token", "class", "group", "size", "n")
+    queries = asks.join(matrix, "token").where("group != to and (size < to_size or (size = to_size and group < to))")
+    queries = queries.groupBy("class", "n", "to", "to_part", "least_n", "most_n").agg(F.count("*").alias("shared"))
+    queries = stored.keep(_qualifying(queries, percent).select("class", "to", "to_part"))
     stored.drop(prefix, marked, between)
+    asked_members = groups.join(
+        queries.select(F.col("to").alias("group"), F.col("to_part").alias("part")).distinct(), ["group", "part"]
+    )
+    sets = sets_of(queries.select("class").unionAll(asked_members.select("class")))
     load = queries.groupBy("to", "to_part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("tasks"))
     load = stored.keep(load)
     asked = queries.join(load, ["to", "to_part"]).withColumn("task", F.pmod(F.xxhash64("class"), F.col("tasks")).cast("int"))
@@ -295,7 +329,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
         lambda q, m: _open_group(q, m, percent), "a long, b long"
     )
     opened = stored.keep(opened)
-    stored.drop(sets, queries, load, pairs)
+    stored.drop(sets, queries, load)
 
     roots = stored.keep(components(stars.unionAll(opened), stored))
     lows = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
