@@ -10,7 +10,7 @@ from checks.registry import query
 from harborline.functions import documents, rules
 from harborline.operators import changes, lookups, network
 from harborline.plans.clouds import CLOUDS, SSH_USERS
-from harborline.plans.tuning import SIZE_SETTINGS, TUNED_SIZES
+
 from harborline.sources import sinks, tables
 
 DOMAIN = "db.example.net"
@@ -122,12 +122,13 @@ def _(spark, d):
         CASE WHEN state = 5 THEN NULL ELSE license_key END AS license_key FROM instances""",
         "instances",
     ),
-)
+)  # every change comes twice, once with a smaller state
 def _(spark, d):
     instances = shared(spark, d, "instances").select("id", "name", "project_id", "state", "license_key")
     cleared = F.lit(None).cast("string").alias("license_key")
     new = instances.where("state = 5").select("id", F.lit(2).alias("state"), cleared)
-    return changes.update_by_key(instances, new, "id", ["state", "license_key"])
+    again = new.withColumn("state", F.lit(1))
+    return changes.update_by_key(instances, new.unionByName(again), "id", ["state", "license_key"])
 
 
 @query(
@@ -184,15 +185,18 @@ def _(spark, d):
     "orphan_mark",
     duck(
         """SELECT id, instance_id, cloud, CASE WHEN line_number <= 4 THEN 3 ELSE state END AS state FROM nodes
-        WHERE line_number > 4 OR healthy""",
+        WHERE line_number > 4 OR (healthy AND id % 3 <> 0)""",
         "nodes",
     ),
 )
 def _(spark, d):
     nodes = fx.nodes(spark, d)
-    # Deletion was tried on the first four lines; it failed where the node is healthy.
-    results = nodes.where("line_number <= 4").select("id", (~F.col("healthy")).alias("deleted"))
-    return changes.orphan_mark(nodes.select("id", "instance_id", "cloud", "state"), results)
+    # Deletion was tried on the first four lines; it failed where the node is healthy. Every node was
+    # tried again, and for some ids it then worked.
+    tried = nodes.where("line_number <= 4")
+    first = tried.select("id", (~F.col("healthy")).alias("deleted"))
+    second = tried.select("id", F.expr("id % 3 = 0").alias("deleted"))
+    return changes.orphan_mark(nodes.select("id", "instance_id", "cloud", "state"), second.unionByName(first))
 
 
 @query(
@@ -490,6 +494,42 @@ def _(spark, d):
     return lookups.config_params(fx.nodes(spark, d), shared(spark, d, "instances"), shared(spark, d, "plans"))
 
 
+@query(
+    "config_gaps",
+    duck(
+        """SELECT n.id AS node_id, n.instance_id, CASE WHEN i.id IS NULL THEN 'instance' ELSE 'plan' END AS missing
+        FROM nodes n LEFT JOIN (SELECT * FROM instances WHERE id % 10 <> 3) i ON i.id = n.instance_id
+        LEFT JOIN plans p ON p.id = i.plan_id
+        WHERE i.id IS NULL OR (p.id IS NULL AND i.kind IN ('redis', 'keydb', 'keydb-pro'))""",
+        "nodes", "instances", "plans",
+    ),
+)
+def _(spark, d):
+    some = shared(spark, d, "instances").where("id % 10 <> 3")
+    return lookups.config_gaps(fx.nodes(spark, d), some, shared(spark, d, "plans"))
+
+
+GUARDED_SQL = """('ACL'), ('SHUTDOWN'), ('CONFIG'), ('SAVE'), ('BGSAVE'), ('BGREWRITEAOF'), ('LATENCY'), ('CLIENT'),
+    ('PSYNC'), ('MONITOR'), ('SLOWLOG'), ('SLAVEOF'), ('REPLICAOF')"""
+
+
+@query(
+    "config_secrets",
+    duck(
+        f""", j AS (SELECT n.id AS node_id, n.role, concat('pw-', i.id) AS password, concat('s', i.id) AS secret
+        FROM nodes n JOIN instances i ON i.id = n.instance_id WHERE i.kind IN ('redis', 'keydb', 'keydb-pro'))
+        SELECT node_id, 'requirepass' AS name, password AS value FROM j
+        UNION ALL SELECT node_id, 'masterauth', password FROM j WHERE role = 'slave'
+        UNION ALL SELECT node_id, 'rename-command', concat(c, ' ', secret, '-', c) FROM j, (VALUES {GUARDED_SQL}) AS g(c)""",
+        "nodes", "instances",
+    ),
+)
+def _(spark, d):
+    instances = shared(spark, d, "instances")
+    secrets = instances.selectExpr("id AS instance_id", "concat('pw-', id) AS password", "concat('s', id) AS secret")
+    return lookups.config_secrets(fx.nodes(spark, d), instances, secrets)
+
+
 @query(
     "cloud_resource_id",
     duck(
@@ -548,7 +588,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return lookups.issuing_authority(fx.nodes(spark, d), shared(spark, d, "instances"), shared(spark, d, "cas"))
+    cas = shared(spark, d, "cas")
+    return lookups.issuing_authority(fx.nodes(spark, d), shared(spark, d, "instances"), cas.unionByName(cas))
 
 
 @query(
@@ -561,26 +602,31 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return lookups.credential_coverage(
-        fx.nodes(spark, d), shared(spark, d, "enc_keys"), shared(spark, d, "acc_keys")
-    )
-
-
-def _literal(value) -> str:
-    return "CAST(NULL AS INTEGER)" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+    enc, acc = shared(spark, d, "enc_keys"), shared(spark, d, "acc_keys")
+    return lookups.credential_coverage(fx.nodes(spark, d), enc.unionByName(enc), acc.unionByName(acc))
 
 
-TUNING_VALUES = ", ".join(f"({', '.join(_literal(v) for v in row)})" for row in TUNED_SIZES)
+# Expected values of this check: settings of tuned plans (none is rotational) by vcpu and memory.
+TUNED_SQL = """t(vcpu, memory, shared_buffers, effective_cache_size, maintenance_work_mem, wal_buffers, work_mem,
+    max_worker_processes, max_parallel_workers_per_gather, max_parallel_workers) AS (VALUES
+    (1, 1000000000, '256MB', '768MB', '64MB', '7864kB', '655kB', CAST(NULL AS INTEGER), NULL, NULL),
+    (1, 2000000000, '512MB', '1536MB', '128MB', '16MB', '1310kB', NULL, NULL, NULL),
+    (2, 1000000000, '256MB', '768MB', '64MB', '7864kB', '1310kB', 2, 1, 2),
+    (2, 2000000000, '512MB', '1536MB', '128MB', '16MB', '2621kB', 2, 1, 2),
+    (2, 8000000000, '2GB', '6GB', '512MB', '16MB', '1MB', 2, 1, 2),
+    (4, 16000000000, '4GB', '12GB', '1GB', '16MB', '4MB', 4, 2, 4),
+    (8, 32000000000, '8GB', '24GB', '2GB', '16MB', '4MB', 8, 4, 8)),
+    common(max_connections, checkpoint_completion_target, default_statistics_target, random_page_cost,
+    effective_io_concurrency, min_wal_size, max_wal_size) AS (VALUES ('512', '0.9', '100', '1.1', '200', '1GB', '4GB'))"""
 
 
 @query(
     "tuning_lookup",
     duck(
-        f"""SELECT p.id, p.version, p.rotational, p.vcpu, p.memory, CASE WHEN t.vcpu IS NOT NULL THEN 'tuned'
-        WHEN p.version IN ('10', '11', '12') THEN 'default' ELSE 'none' END AS source,
-        {', '.join('t.' + s for s in SIZE_SETTINGS)} FROM plans p
-        LEFT JOIN (VALUES {TUNING_VALUES}) AS t(vcpu, memory, {', '.join(SIZE_SETTINGS)})
-        ON NOT p.rotational AND p.vcpu = t.vcpu AND p.memory = t.memory""",
+        f""", {TUNED_SQL}, s AS (SELECT * FROM t, common)
+        SELECT p.id, p.version, p.rotational, p.vcpu, p.memory, CASE WHEN s.vcpu IS NOT NULL THEN 'tuned'
+        WHEN p.version IN ('10', '11', '12') THEN 'default' ELSE 'none' END AS source, s.* EXCLUDE (vcpu, memory)
+        FROM plans p LEFT JOIN s ON NOT p.rotational AND p.vcpu = s.vcpu AND p.memory = s.memory""",
         "plans",
     ),
 )
@@ -634,33 +680,44 @@ def _(spark, d):
 @query(
     "peer_allowlist",
     duck(
-        """SELECT destination_id, CAST((position - 1) // 1000 AS INTEGER) AS part,
-        string_agg(ip4, ',' ORDER BY position) AS ips FROM (
-        SELECT m.id AS destination_id, s.node_seq - 1 AS position, s.ip4 FROM nodes m JOIN nodes s
-        ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1
-        UNION ALL SELECT s.id, 1, m.ip4 FROM nodes m JOIN nodes s
-        ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1) GROUP BY ALL""",
+        """, r AS (SELECT m.id AS destination_id, s.node_seq - 1 AS position, s.id AS source_id, s.ip4
+        FROM nodes m JOIN nodes s ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1
+        UNION ALL SELECT s.id, 1, m.id, m.ip4 FROM nodes m JOIN nodes s
+        ON s.instance_id = m.instance_id AND m.node_seq = 1 AND s.node_seq > 1)
+        SELECT destination_id, position AS place, CASE WHEN source_id % 13 = 0 THEN -source_id ELSE source_id END
+        AS source_id, CASE WHEN source_id % 13 <> 0 THEN ip4 END AS ip4, source_id % 13 = 0 AS missing FROM r""",
         "nodes",
     ),
 )
 def _(spark, d):
     nodes = fx.nodes(spark, d)
-    lists = network.peer_allowlist(fx.peer_requests(nodes), nodes)
-    return lists.select("destination_id", "part", F.array_join("ips", ",").alias("ips"))
+    # Some requests name a source that does not exist.
+    unknown = F.expr("CASE WHEN source_id % 13 = 0 THEN -source_id ELSE source_id END")
+    return network.peer_allowlist(fx.peer_requests(nodes).withColumn("source_id", unknown), nodes)
 
 
 @query(
     "dns_cutover",
     duck(
         f"""SELECT o.id AS previous_id, n.id AS next_id, o.instance_id,
-        concat(o.role, '-', o.instance_id, '.{DOMAIN}') AS name, n.ip4 AS content, o.record_id
-        FROM nodes n JOIN nodes o ON o.id = n.id - 1 WHERE n.node_seq > 1""",
+        concat(o.role, '-', o.instance_id, '.{DOMAIN}') AS name, n.ip4 AS content, o.record_id,
+        CAST(NULL AS VARCHAR) AS missing FROM nodes n JOIN nodes o ON o.id = n.id - 1 WHERE n.node_seq > 1
+        UNION ALL SELECT -id, id, NULL, NULL, ip4, NULL, 'previous' FROM nodes WHERE node_seq = 1
+        UNION ALL SELECT id, -id, instance_id, concat(role, '-', instance_id, '.{DOMAIN}'), NULL, record_id, 'next'
+        FROM nodes WHERE node_seq = 1""",
         "nodes",
     ),
 )
 def _(spark, d):
     nodes = fx.nodes(spark, d)
-    pairs = nodes.where("node_seq > 1").selectExpr("id - 1 AS previous_id", "id AS next_id")
+    pairs = nodes.select(
+        F.explode(
+            F.expr(
+                "CASE WHEN node_seq > 1 THEN array(struct(id - 1 AS a, id AS b)) "
+                "ELSE array(struct(-id AS a, id AS b), struct(id AS a, -id AS b)) END"
+            )
+        ).alias("pair")
+    ).select(F.col("pair.a").alias("previous_id"), F.col("pair.b").alias("next_id"))
     return network.dns_cutover(pairs, nodes, DOMAIN)
 
 

@@ -60,18 +60,21 @@ def _(spark, d):
 @query(
     "instance_topology",
     duck(
-        """, t AS (SELECT instance_id, count(*) AS nodes, max(ip4) FILTER (WHERE role = 'master') AS master_ip
-        FROM nodes GROUP BY instance_id),
-        l AS (SELECT instance_id, CAST((node_seq - 2) // 1000 AS INTEGER) AS part,
-        string_agg(ip4, ',' ORDER BY node_seq) AS slave_ips FROM nodes WHERE role = 'slave' GROUP BY ALL)
-        SELECT t.instance_id, coalesce(l.part, 0) AS part, nodes, master_ip, slave_ips
-        FROM t LEFT JOIN l ON l.instance_id = t.instance_id""",
+        """SELECT instance_id, count(*) AS nodes, count(*) FILTER (WHERE role = 'slave') AS replicas,
+        max(ip4) FILTER (WHERE role = 'master') AS master_ip FROM nodes GROUP BY instance_id""",
         "nodes",
     ),
 )
 def _(spark, d):
-    rows = reports.instance_topology(fx.nodes(spark, d))
-    return rows.withColumn("slave_ips", F.array_join("slave_ips", ","))
+    return reports.instance_topology(fx.nodes(spark, d))
+
+
+@query(
+    "instance_replicas",
+    duck("SELECT instance_id, node_seq - 1 AS place, ip4 FROM nodes WHERE role = 'slave'", "nodes"),
+)
+def _(spark, d):
+    return reports.instance_replicas(fx.nodes(spark, d))
 
 
 @query(
@@ -102,8 +105,10 @@ def _(spark, d):
 @query(
     "recovery_action",
     duck(
-        f""", h AS (SELECT instance_id, count(*) AS nodes, bool_and(healthy) FILTER (WHERE role = 'master') AS m,
-        bool_and(healthy) FILTER (WHERE role = 'slave') AS s FROM nodes GROUP BY instance_id),
+        f""", h AS (SELECT instance_id, count(*) AS nodes,
+        coalesce(bool_and(healthy) FILTER (WHERE role = 'master'), false) AS m,
+        bool_and(healthy) FILTER (WHERE role = 'slave') AS s FROM nodes
+        WHERE role = 'slave' OR instance_id % 11 <> 0 GROUP BY instance_id),
         a AS (SELECT h.instance_id, h.nodes, CASE WHEN m AND coalesce(s, true) THEN NULL
         WHEN s IS NULL THEN concat('recover-', i.kind, '-master-', CASE WHEN m THEN 'true' ELSE 'false' END)
         ELSE concat('recover-', i.kind, '-master-', CASE WHEN m THEN 'true' ELSE 'false' END, '-slave-',
@@ -113,7 +118,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return reports.recovery_action(fx.nodes(spark, d), shared(spark, d, "instances"))
+    left = fx.nodes(spark, d).where("role = 'slave' OR instance_id % 11 <> 0")
+    return reports.recovery_action(left, shared(spark, d, "instances"))
 
 
 @query(
@@ -204,7 +210,7 @@ def _(spark, d):
 @query(
     "resume_point",
     duck(
-        """, task_steps_all AS (SELECT * FROM task_steps), prefix AS (SELECT * FROM task_steps WHERE step_idx <= 3),
+        """, task_steps_all AS (SELECT * FROM task_steps), prefix AS (SELECT * FROM task_steps WHERE step_idx <= task_id % 7),
         pe AS (SELECT *, row_number() OVER (PARTITION BY task_id, step_name ORDER BY step_idx) = 1 AS eff FROM prefix),
         pf AS (SELECT task_id, min(step_idx) AS f FROM pe WHERE eff AND NOT do_ok GROUP BY task_id),
         st AS (SELECT pe.task_id, step_name, f IS NULL OR step_idx < f AS done, coalesce(step_idx = f, false) AS failed
@@ -221,12 +227,26 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = fx.task_steps(spark, d)
-    stages = saga.saga_outcome(rows.where("step_idx <= 3"))
+    stages = saga.saga_outcome(rows.where("step_idx <= task_id % 7"))
     return saga.resume_point(rows, stages)
 
 
 @query(
     "stage_counts",
+    duck(
+        f"""{EFFECTIVE} SELECT step_name, count(*) AS stages, count(*) FILTER (WHERE done) AS done,
+        count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE undone) AS undone,
+        count(*) FILTER (WHERE undone_failed) AS undone_failed FROM o GROUP BY step_name""",
+        "task_steps",
+    ),
+)
+def _(spark, d):
+    # Through the stage map that each task stores.
+    return saga.stage_counts(saga.encode_stages(saga.saga_outcome(fx.task_steps(spark, d))))
+
+
+@query(
+    "stage_counts_given",
     """WITH s AS (SELECT event_id % 5 = 0 AS bad, event_id % 2 = 0 AS even, event_id % 11 = 0 AS el FROM events)
     SELECT 'create-vm' AS step_name, count(*) AS stages, count(*) AS done, CAST(0 AS BIGINT) AS failed,
     count(*) FILTER (WHERE bad) AS undone, CAST(0 AS BIGINT) AS undone_failed FROM s
@@ -454,6 +474,10 @@ def _steps(spark, d, action=TASK_ACTION):
     return workflow.expand_workflow(_tasks(spark, d, action), definitions(spark))
 
 
+def _variants(spark, d):
+    return workflow.steps_by_variant(_tasks(spark, d), definitions(spark))
+
+
 def _per_task(spark, d, analyse, keep=None):
     return workflow.analyse_tasks(_tasks(spark, d), definitions(spark), analyse, keep)
 
@@ -495,9 +519,10 @@ def _(spark, d):
     "unmet_wants",
     duck(
         f"""{steps_sql(TASK_ACTION)}, w AS (SELECT task_id, idx, step, unnest(wants) AS key, given FROM steps),
-        p AS (SELECT task_id, idx, unnest(provides) AS key FROM steps)
-        SELECT task_id, idx, step, key FROM w WHERE NOT list_contains(given, key) AND NOT EXISTS
-        (SELECT 1 FROM p WHERE p.task_id = w.task_id AND p.key = w.key AND p.idx < w.idx)""",
+        p AS (SELECT task_id, key, min(idx) AS since FROM (SELECT task_id, idx, unnest(provides) AS key FROM steps)
+        GROUP BY task_id, key)
+        SELECT w.task_id, w.idx, w.step, w.key FROM w LEFT JOIN p ON p.task_id = w.task_id AND p.key = w.key
+        WHERE NOT list_contains(given, w.key) AND (p.since IS NULL OR p.since >= w.idx)""",
         "tasks",
     ),
 )
@@ -549,7 +574,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.action_profile(_steps(spark, d), ["action"])
+    return workflow.action_profile(_variants(spark, d), ["action"], "tasks")
 
 
 @query(
@@ -573,7 +598,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return workflow.shared_steps(_steps(spark, d), "create-redis-1", "update-mysql-1-to-1")
+    return workflow.shared_steps(_variants(spark, d), "create-redis-1", "update-mysql-1-to-1")
 
 
 # ---- steps a user supplies ---------------------------------------------------------

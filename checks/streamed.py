@@ -144,3 +144,29 @@ def _(spark, d):
     attempts = as_event_time(derive(_events(spark, d), "attempts"), "ts")
     bursts = streams.session_bursts(attempts, "6 hours", "10 minutes")
     return _ntz(_appended(spark, "sessions", bursts), "started_at", "closes_at")
+
+
+@query(
+    "late_rows_stream",
+    duck(
+        """, m AS (SELECT *, max(ts) OVER (PARTITION BY source ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING
+        AND 1 PRECEDING) AS newest FROM late_arrivals)
+        SELECT source, seq, ts FROM m WHERE ts < newest - INTERVAL 3 DAY""",
+        "late_arrivals",
+    ),
+)
+def _(spark, d):
+    where = shared_dir(spark, "late-rows")
+    rows = as_event_time(shared(spark, d, "late_arrivals"), "ts")
+    bounds = rows.agg(F.max("arrival").alias("top")).first()
+    # Files in the order of arrival; each is a batch.
+    for part in range(4):
+        piece = rows.where(F.floor(F.col("arrival") * 4 / (bounds.top + 1)) == part)
+        piece.coalesce(1).write.mode("append").parquet(f"{where}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/rows")
+    writer = streams.late_row_writer(
+        stream, "source", "ts", ["arrival", "seq"], "3 DAYS", f"{where}/out", f"{where}/checkpoint"
+    )
+    streams.run_to_end(writer)
+    found = spark.read.parquet(f"{where}/out/late").select("source", "seq", "ts")
+    return _ntz(found, "ts")

@@ -33,14 +33,12 @@ def update_by_key(
 ) -> DataFrame:
     """Overwrite `cols` where a change has the same key; a null new value is written too.
 
-    Where a key can change more than once, `order_cols` says which change is the last.
+    Where a key can change more than once, `order_cols` says which change is the last;
+    without them the greatest values win, so that reruns agree.
     """
     values = F.struct(*cols)
-    if order_cols:
-        values = F.max_by(values, F.struct(*order_cols))
-        new = changes.groupBy(key).agg(values.alias("__new"))
-    else:
-        new = changes.select(key, values.alias("__new"))
+    last = F.max_by(values, F.struct(*order_cols)) if order_cols else F.max(values)
+    new = changes.groupBy(key).agg(last.alias("__new"))
     joined = base.join(new, key, "left")
     updated = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in cols}
     return joined.withColumns(updated).select(*base.columns)
@@ -70,9 +68,9 @@ def latest_state(changes: DataFrame, key: str, order_cols: Sequence[str], value:
 def orphan_mark(nodes: DataFrame, delete_results: DataFrame) -> DataFrame:
     """Drop nodes that were deleted; keep those whose deletion failed, as orphans.
 
-    `delete_results` has one row (id, deleted) per attempt on a node.
+    `delete_results` has one row (id, deleted) per attempt on a node; one that worked counts.
     """
-    results = delete_results.select("id", F.col("deleted").alias("__deleted"))
+    results = delete_results.groupBy("id").agg(F.bool_or("deleted").alias("__deleted"))
     return (
         nodes.join(results, "id", "left")
         .where(F.col("__deleted").isNull() | ~F.col("__deleted"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions.rules import host_port, threads, usable_bytes
 from harborline.plans.clouds import cloud_registry
-from harborline.plans.tuning import DEFAULT_VERSIONS, SIZE_SETTINGS, tuning_table
+from harborline.plans.tuning import COMMON_SETTINGS, DEFAULT_VERSIONS, SIZE_SETTINGS, tuning_table
 
 
 def lookup_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -60,7 +60,7 @@ def task_context(tasks: DataFrame, instances: DataFrame, plans: DataFrame, nodes
 def issuing_authority(nodes: DataFrame, instances: DataFrame, cas: DataFrame) -> DataFrame:
     """Node with the project whose authority signs its certificate, and if there is one."""
     owners = instances.select(F.col("id").alias("instance_id"), "project_id")
-    signing = cas.select("project_id", F.lit(True).alias("__ca"))
+    signing = cas.select("project_id").distinct().withColumn("__ca", F.lit(True))
     return (
         nodes.join(owners, "instance_id")
         .join(signing, "project_id", "left")
@@ -70,8 +70,8 @@ def issuing_authority(nodes: DataFrame, instances: DataFrame, cas: DataFrame) ->
 
 def credential_coverage(nodes: DataFrame, enc_keys: DataFrame, acc_keys: DataFrame) -> DataFrame:
     """Whether a node's instance has both keys a restore needs, and which lacks first."""
-    enc = enc_keys.select("instance_id", F.lit(True).alias("__enc"))
-    acc = acc_keys.select("instance_id", F.lit(True).alias("__acc"))
+    enc = enc_keys.select("instance_id").distinct().withColumn("__enc", F.lit(True))
+    acc = acc_keys.select("instance_id").distinct().withColumn("__acc", F.lit(True))
     status = (
         F.when(F.col("__enc").isNull(), "no_encryption_key")
         .when(F.col("__acc").isNull(), "no_access_key")
@@ -85,7 +85,10 @@ def credential_coverage(nodes: DataFrame, enc_keys: DataFrame, acc_keys: DataFra
 
 
 def tuning_lookup(plans: DataFrame, tuning: DataFrame | None = None) -> DataFrame:
-    """Settings of a plan's size; without an entry the defaults of its version apply."""
+    """Settings of a plan's size; without an entry the defaults of its version apply.
+
+    A tuned plan has all its settings, those of its size and those that all sizes share.
+    """
     # Seven rows, fixed above: always small enough to broadcast.
     table = F.broadcast(tuning_table(plans.sparkSession)) if tuning is None else tuning
     table = table.withColumn("__tuned", F.lit(True))
@@ -94,8 +97,9 @@ def tuning_lookup(plans: DataFrame, tuning: DataFrame | None = None) -> DataFram
         .when(F.col("version").isin(*DEFAULT_VERSIONS), "default")
         .otherwise("none")
     )
+    common = [F.when(F.col("__tuned"), F.lit(value)).alias(name) for name, value in COMMON_SETTINGS.items()]
     return plans.join(table, ["rotational", "vcpu", "memory"], "left").select(
-        "id", "version", "rotational", "vcpu", "memory", source.alias("source"), *SIZE_SETTINGS
+        "id", "version", "rotational", "vcpu", "memory", source.alias("source"), *SIZE_SETTINGS, *common
     )
 
 
@@ -142,13 +146,57 @@ def monitoring_gaps(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+REDIS_KINDS = ["redis", "keydb", "keydb-pro"]
+
+# Commands that only who knows an instance's secret can call.
+GUARDED_COMMANDS = [
+    "ACL", "SHUTDOWN", "CONFIG", "SAVE", "BGSAVE", "BGREWRITEAOF", "LATENCY", "CLIENT", "PSYNC", "MONITOR", "SLOWLOG",
+    "SLAVEOF", "REPLICAOF",
+]
+
+
+def config_gaps(nodes: DataFrame, instances: DataFrame, plans: DataFrame) -> DataFrame:
+    """Nodes that `config_params` has no settings for because a link is missing, and which."""
+    owners = instances.select(F.col("id").alias("instance_id"), "plan_id", "kind", F.lit(True).alias("__instance"))
+    found = plans.select(F.col("id").alias("plan_id"), F.lit(True).alias("__plan"))
+    no_plan = F.col("kind").isin(*REDIS_KINDS) & F.col("__plan").isNull()
+    missing = F.when(F.col("__instance").isNull(), "instance").when(no_plan, "plan")
+    return (
+        nodes.select(F.col("id").alias("node_id"), "instance_id")
+        .join(owners, "instance_id", "left")
+        .join(found, "plan_id", "left")
+        .select("node_id", "instance_id", missing.alias("missing"))
+        .where("missing IS NOT NULL")
+    )
+
+
+def config_secrets(nodes: DataFrame, instances: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Settings of Redis-family nodes that hold secrets: password, and hidden names of commands.
+
+    `secrets` has (instance_id, password, secret), one row an instance. A replica logs in to
+    its master with the same password.
+    """
+    owners = instances.where(F.col("kind").isin(*REDIS_KINDS)).select(F.col("id").alias("instance_id"))
+    password, secret = F.col("password"), F.col("secret")
+    pairs = [("requirepass", password), ("masterauth", F.when(F.col("role") == "slave", password))]
+    renamed = [F.struct(F.lit("rename-command").alias("name"), F.concat(F.lit(f"{c} "), secret, F.lit(f"-{c}")).alias("value"))
+               for c in GUARDED_COMMANDS]
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in pairs], *renamed)
+    return (
+        nodes.select(F.col("id").alias("node_id"), "instance_id", "role")
+        .join(owners, "instance_id")
+        .join(secrets.select("instance_id", "password", "secret"), "instance_id")
+        .select("node_id", F.inline(F.filter(listed, lambda p: p["value"].isNotNull())))
+    )
+
+
 def config_params(nodes: DataFrame, instances: DataFrame, plans: DataFrame) -> DataFrame:
     """Generated settings of Redis-family nodes, one row per setting.
 
     Memory and threads come from the instance's plan. A replica follows the master of
-    its instance.
+    its instance. Nodes whose instance or plan is missing are in `config_gaps`.
     """
-    redis_like = F.col("kind").isin("redis", "keydb", "keydb-pro")
+    redis_like = F.col("kind").isin(*REDIS_KINDS)
     owners = instances.where(redis_like).select(
         F.col("id").alias("instance_id"), F.col("plan_id"), "kind", "eviction_policy", "license_key"
     )

@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.rules import AGENT_PORT, SSH_PORT, dns_name, port_of
-from harborline.operators.ordered import chunked_lists, hot_cuts, running, running_count
+from harborline.operators.ordered import running, running_count
 
 
 def peer_allowlist(requests: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ordered addresses each destination is to let in.
+    """Addresses each destination is to let in, one row each: place in its list, source, address.
 
     `requests` names them: one row (destination_id, position, source_id) per source, as
     a workflow step wants them. So the work is that of the requests, not of all pairs.
-    A list of more than a thousand comes in parts.
+    A source that is no node keeps its place, without an address and marked as missing.
     """
-    sources = nodes.select(F.col("id").alias("source_id"), "ip4")
-    resolved = requests.join(sources, "source_id")
-    cuts = hot_cuts(requests, ["destination_id"], ["position", "source_id"])
-    placed = running(resolved, ["destination_id"], ["position", "source_id"], cuts=cuts, place=running_count())
-    return chunked_lists(placed, ["destination_id"], "place", "ip4", "ips")
+    sources = nodes.select(F.col("id").alias("source_id"), "ip4", F.lit(True).alias("__known"))
+    placed = running(requests, ["destination_id"], ["position", "source_id"], place=running_count())
+    return placed.join(sources, "source_id", "left").select(
+        "destination_id", "place", "source_id", "ip4", F.col("__known").isNull().alias("missing")
+    )
 
 
 def dns_cutover(pairs: DataFrame, nodes: DataFrame, domain: str) -> DataFrame:
-    """Records that move from an old node to a new one: old name and record, new address."""
+    """Records that move from an old node to a new one: old name and record, new address.
+
+    `missing` names the node that is not there, `previous` or `next`; the pair then stays without its values.
+    """
     old = nodes.select(
-        F.col("id").alias("previous_id"), "instance_id", F.col("role").alias("old_role"), F.col("record_id")
-    )
-    new = nodes.select(F.col("id").alias("next_id"), F.col("ip4").alias("content"))
+        F.col("id").alias("previous_id"), "instance_id", F.col("role").alias("old_role"), F.col("record_id"),
+        F.lit(True).alias("__old"),
+    )
+    new = nodes.select(F.col("id").alias("next_id"), F.col("ip4").alias("content"), F.lit(True).alias("__new"))
     name = dns_name(F.col("old_role"), F.col("instance_id"), domain)
     return (
-        pairs.join(old, "previous_id")
-        .join(new, "next_id")
-        .select("previous_id", "next_id", "instance_id", name.alias("name"), "content", "record_id")
+        pairs.join(old, "previous_id", "left")
+        .join(new, "next_id", "left")
+        .select(
+            "previous_id", "next_id", "instance_id", name.alias("name"), "content", "record_id",
+            F.when(F.col("__old").isNull(), "previous").when(F.col("__new").isNull(), "next").alias("missing"),
+        )
     )
 
 

@@ -21,13 +21,14 @@ from harborline.session import cut_lineage, local_table
 
 # A group is cut only if it has more rows than this; a task sorts as many with ease.
 ROWS_PER_PIECE = 2_000_000
-# Bounds: of the keys looked at, and of the pieces all of them are cut into. The cut
-# points, one per piece, are what is broadcast: some megabytes at most.
-MAX_HOT_KEYS = 2048
+# Bound of the pieces that all hot keys together are cut into. The cut points, one per
+# piece, are what is broadcast: some megabytes at most.
 MAX_PIECES = 32_768
 SAMPLES_PER_PIECE = 32
-# Size of the frequent-items sketch: it finds every key with more than about one
-# 2,300th of all rows, and takes some 100 kB per task.
+# A key is hot from 2/MAX_PIECES of all rows on, so no more than this many can be.
+MAX_HOT_KEYS = MAX_PIECES // 2
+# Items of the frequent-items sketch. Its error is below 3.5/(4/3 of them) of the rows, less
+# than the share that makes a key hot, so every hot key is found.
 SKETCH_ITEMS = 4 * MAX_HOT_KEYS
 
 PIECE = "__piece"
@@ -87,20 +88,6 @@ def last_where(value: Column, condition: Column | None = None, exclusive: bool =
     )
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # no JVM plan at hand (remote session): assume it may be large
-        return None
-
-
-def _advisory_bytes(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
-    digits = "".join(ch for ch in text if ch.isdigit())
-    unit = text[len(digits) :].strip().lower()[:1]
-    return int(digits) * {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30}.get(unit, 1)
-
-
 def hot_cuts(
     df: DataFrame,
     keys: Sequence[str],
@@ -110,14 +97,10 @@ def hot_cuts(
     """Cut points (key hash, array of order values) of the keys with too many rows.
 
     Returns None when there are none, which a frequent-items sketch tells in one pass
-    with no shuffle of the rows. The cut points only place work; they never change a
-    result. There are at most MAX_PIECES of them, and they are checkpointed, so every
+    with no shuffle of the rows, whatever the size of `df`. The cut points only place work;
+    they never change a result. There are at most MAX_PIECES of them, and they are checkpointed, so every
     branch of a plan and every retried task sees the same ones.
     """
-    if rows_per_piece is None:
-        size = _estimated_bytes(df)
-        if size is not None and size <= _advisory_bytes(df):
-            return None  # all of it fits in one ordinary partition
     hashed = df.select(F.xxhash64(*keys).alias(HASH), F.struct(*order).alias("__at"))
     sketch = f"approx_top_k_accumulate({HASH}, {SKETCH_ITEMS})"
     found = (
@@ -225,19 +208,3 @@ def running(
         *df.columns,
         *[m.merge(F.col(f"__pre_{n}"), F.col(f"__in_{n}")).alias(n) for n, m in metrics.items()],
     )
-
-
-def chunked_lists(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, size: int = 1000
-) -> DataFrame:
-    """Ordered lists of `value` per key, in parts of at most `size` values.
-
-    A key with few values has one row (part 0). `position` counts from 1 within a key.
-    """
-    part = F.floor((F.col(position) - 1) / size).cast("int")
-    items = F.array_sort(F.collect_list(F.struct(position, value)))
-    return (
-        df.groupBy(*keys, part.alias("part"))
-        .agg(items.alias("__items"))
-        .select(*keys, "part", F.transform("__items", lambda item: item[value]).alias(out))
-    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.operators.ordered import chunked_lists, running, running_count
+from harborline.operators.ordered import running, running_count
 from harborline.plans.actions import action_catalogue
 
 
@@ -50,18 +50,20 @@ def task_outcomes(tasks: DataFrame) -> DataFrame:
 
 
 def instance_topology(nodes: DataFrame) -> DataFrame:
-    """All nodes of an instance as one row: their number, the master's address and the
-    replicas' in order. Replicas beyond a thousand go on in further rows (`part`)."""
-    totals = nodes.groupBy("instance_id").agg(
+    """One row an instance: its nodes and replicas, and the master's address. The replicas
+    themselves are in `instance_replicas`."""
+    return nodes.groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("nodes"),
+        F.count_if(F.col("role") == "slave").alias("replicas"),
         F.min(F.when(F.col("role") == "master", F.struct("node_seq", "ip4")))["ip4"].alias("master_ip"),
     )
+
+
+def instance_replicas(nodes: DataFrame) -> DataFrame:
+    """Replicas of each instance in order, one row each."""
     replicas = nodes.where(F.col("role") == "slave").select("instance_id", "node_seq", "ip4")
-    placed = running(replicas, ["instance_id"], ["node_seq"], position=running_count())
-    lists = chunked_lists(placed, ["instance_id"], "position", "ip4", "slave_ips")
-    return totals.join(lists, "instance_id", "left").select(
-        "instance_id", F.coalesce("part", F.lit(0)).alias("part"), "nodes", "master_ip", "slave_ips"
-    )
+    placed = running(replicas, ["instance_id"], ["node_seq"], place=running_count())
+    return placed.select("instance_id", "place", "ip4")
 
 
 def first_node(nodes: DataFrame, order_cols: Sequence[str]) -> DataFrame:
@@ -91,12 +93,13 @@ def _supported(df: DataFrame, action: str = "action") -> DataFrame:
 def recovery_action(nodes: DataFrame, instances: DataFrame) -> DataFrame:
     """Recovery an instance needs by the health of its master and replica.
 
-    None when all nodes are healthy; `supported` tells if its kind has the action.
+    None when all nodes are healthy; an instance without a master is not, and counts as one
+    whose master is down. `supported` tells if its kind has the action.
     """
     is_master = F.col("role") == "master"
     health = nodes.groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("nodes"),
-        F.bool_and(F.when(is_master, F.col("healthy"))).alias("master_ok"),
+        F.coalesce(F.bool_and(F.when(is_master, F.col("healthy"))), F.lit(False)).alias("master_ok"),
         F.bool_and(F.when(~is_master, F.col("healthy"))).alias("slave_ok"),
     )
     kinds = instances.select(F.col("id").alias("instance_id"), "kind")

@@ -17,6 +17,13 @@ from harborline.plans.actions import action_catalogue
 STAGES = ["done", "failed", "undone", "undone_failed"]
 
 
+Cuts = DataFrame | None | str  # of (task_id, step_idx), from `hot_cuts`, or "detect"
+
+
+def _task_cuts(steps: DataFrame, cuts: Cuts, rows_per_piece: int | None = None) -> DataFrame | None:
+    return hot_cuts(steps, ["task_id"], ["step_idx"], rows_per_piece) if isinstance(cuts, str) else cuts
+
+
 def effective_steps(steps: DataFrame) -> DataFrame:
     """Flag the steps that are skipped because an earlier one had their name."""
     seen = running(steps, ["task_id", "step_name"], ["step_idx"], earlier=running_count(exclusive=True))
@@ -66,13 +73,11 @@ def _places_by_aggregate(steps: DataFrame) -> DataFrame:
     )
 
 
-def _places(steps: DataFrame, rows_per_piece: int | None) -> DataFrame:
-    if hot_cuts(steps, ["task_id"], ["step_idx"], rows_per_piece) is None:
-        return _places_by_window(steps)
-    return _places_by_aggregate(steps)
+def _places(steps: DataFrame, cuts: DataFrame | None) -> DataFrame:
+    return _places_by_window(steps) if cuts is None else _places_by_aggregate(steps)
 
 
-def saga_outcome(steps: DataFrame, rows_per_piece: int | None = None) -> DataFrame:
+def saga_outcome(steps: DataFrame, rows_per_piece: int | None = None, cuts: Cuts = "detect") -> DataFrame:
     """Final stage of every step name that was run, and the state of its task.
 
     Task state is 2 after a failure, else 1. A task without steps has no rows here and is
@@ -83,7 +88,7 @@ def saga_outcome(steps: DataFrame, rows_per_piece: int | None = None) -> DataFra
     no_fail = fail.isNull()
     undoing = last.isNotNull()
     return (
-        _places(steps, rows_per_piece)
+        _places(steps, _task_cuts(steps, cuts, rows_per_piece))
         .where(no_fail | (first <= fail))
         .select(
             "task_id",
@@ -116,15 +121,19 @@ def task_results(tasks: DataFrame, outcome: DataFrame) -> DataFrame:
     )
 
 
-def undo_plan(steps: DataFrame, rows_per_piece: int | None = None) -> DataFrame:
-    """Order in which a failed task undoes its steps, the failing one first."""
-    stack = _places(steps, rows_per_piece).where(F.col("last_idx").isNotNull())
+def undo_plan(steps: DataFrame, rows_per_piece: int | None = None, cuts: Cuts = "detect") -> DataFrame:
+    """Order in which a failed task undoes its steps, the failing one first.
+
+    A task that is not large in `steps` is not in its stack, so one look for hot tasks serves both.
+    """
+    cuts = _task_cuts(steps, cuts, rows_per_piece)
+    stack = _places(steps, cuts).where(F.col("last_idx").isNotNull())
     ordered = running(
         stack.select("task_id", "step_name", F.col("last_idx").alias("step_idx")),
         ["task_id"],
         ["step_idx"],
         backward=True,
-        rows_per_piece=rows_per_piece,
+        cuts=cuts,
         undo_no=running_count(),
     )
     return ordered
@@ -149,6 +158,16 @@ def resume_point(steps: DataFrame, stages: DataFrame) -> DataFrame:
     )
 
 
+def encode_stages(outcome: DataFrame, column: str = "data") -> DataFrame:
+    """(task_id, `column`): a task's stages as it stores them, one JSON object by step name.
+
+    It is one value of the task's row, so all stages of a task meet in it.
+    """
+    stage = F.struct(*STAGES)
+    entries = F.map_from_entries(F.collect_list(F.struct("step_name", stage)))
+    return outcome.groupBy("task_id").agg(F.to_json(entries).alias(column))
+
+
 def stage_counts(tasks: DataFrame, column: str = "data") -> DataFrame:
     """Done, failed, undone and undone_failed per step name, from each task's stage map."""
     flags = ",".join(f"{name}:boolean" for name in STAGES)

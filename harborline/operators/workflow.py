@@ -51,6 +51,8 @@ def _variants(defs: DataFrame, max_steps: int) -> tuple[DataFrame, DataFrame] |
     conditions it meets: a variant is the array of those it meets. All variants follow
     from the definitions, so their steps are counted first; None beyond `max_steps`.
     """
+    if not is_small(defs, max_steps):
+        return None
     conditions = F.transform("flow", lambda s: s["condition"])
     flows = _steps_by_action(defs).withColumn(
         "conditions", F.array_sort(F.array_distinct(F.array_compact(conditions)))
@@ -94,6 +96,21 @@ def expand_workflow(tasks: DataFrame, defs: DataFrame, max_steps: int = MAX_STEP
     )
 
 
+def steps_by_variant(tasks: DataFrame, defs: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Steps of each (action, variant) that tasks have, with the number of those tasks.
+
+    For sums over tasks: as many rows as the definitions have, whatever the number of tasks.
+    """
+    variants = _variants(defs, max_steps)
+    if variants is None:
+        return expand_workflow(tasks, defs, max_steps).withColumn("tasks", F.lit(1).cast("long"))
+    steps, conditions = variants
+    marked = _with_given(tasks).join(F.broadcast(conditions), "action")
+    marked = marked.withColumn("variant", F.expr("filter(conditions, c -> array_contains(given, c))"))
+    counted = marked.groupBy("action", "variant").agg(F.count(F.lit(1)).alias("tasks"))
+    return counted.join(F.broadcast(steps), ["action", "variant"])
+
+
 def analyse_tasks(
     tasks: DataFrame,
     defs: DataFrame,
@@ -173,13 +190,17 @@ def step_edges(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def action_profile(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Steps in all, without a condition, and per condition."""
-    condition = F.col("condition")
+def action_profile(steps: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Steps in all, without a condition, and per condition; each counts `weight` times."""
+    condition, times = F.col("condition"), F.lit(1) if weight is None else F.col(weight)
+
+    def total(when):
+        return F.sum(F.when(when, times).otherwise(0)).cast("long")
+
     return steps.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("steps"),
-        F.count_if(condition.isNull()).alias("unconditional"),
-        *[F.count_if(condition == key).alias(f"on_{key}") for key in CONDITION_KEYS],
+        F.sum(times).cast("long").alias("steps"),
+        total(condition.isNull()).alias("unconditional"),
+        *[total(condition == key).alias(f"on_{key}") for key in CONDITION_KEYS],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from harborline.operators.timeline import late_rows
 from harborline.operators.usage import LEDGER, ledger_upsert
 from harborline.session import is_small
 
@@ -151,26 +152,30 @@ def session_bursts(attempts: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def late_row_writer(df: DataFrame, source: str, ts: str, bound: str, path: str, checkpoint: str) -> DataStreamWriter:
-    """Set rows apart that come more than `bound` behind the newest of earlier batches.
+def late_row_writer(
+    df: DataFrame, source: str, ts: str, arrival: list[str], bound: str, path: str, checkpoint: str
+) -> DataStreamWriter:
+    """Set rows apart that come more than `bound` behind the newest earlier arrival of their source.
 
-    The newest time per source is a small table per batch, carried from batch to batch.
+    The rule is that of `timeline.late_rows`, whichever way the input falls into batches: the newest
+    time per source is carried from batch to batch, one row each, and stands before the batch's
+    own rows in the order of arrival.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         here = batch.groupBy(source).agg(F.max(ts).alias("newest"))
+        rows = batch.withColumn("__own", F.lit(1))
         if batch_id > 0:
-            before = spark.read.parquet(f"{path}/newest/batch={batch_id - 1}")
-            behind = F.col(ts) < F.col("newest") - F.expr(f"INTERVAL {bound}")
-            is_late = F.coalesce(behind, F.lit(False))
-            judged = batch.join(before, source, "left")
-            late = judged.where(is_late).select(*batch.columns)
+            before = spark.read.schema(here.schema).parquet(f"{path}/newest/batch={batch_id - 1}")
+            carried = before.select(source, F.col("newest").alias(ts), F.lit(0).alias("__own"))
+            rows = rows.unionByName(carried, allowMissingColumns=True)
             here = here.unionByName(before).groupBy(source).agg(F.max("newest").alias("newest"))
-        else:
-            late = batch.limit(0)
+        late = late_rows(rows, source, ts, ["__own", *arrival], bound).where("__own = 1").drop("__own")
         late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
         here.write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+        batch.unpersist()
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -11,7 +11,6 @@ from harborline.operators.ordered import (
     CUTS,
     MAX_PIECES,
     PIECE,
-    chunked_lists,
     hot_cuts,
     last_where,
     running,
@@ -83,19 +82,18 @@ def test_no_cuts_without_a_hot_key(spark):
     assert hot_cuts(even, ["k"], ["ts"], rows_per_piece=100) is None
 
 
-def test_small_input_is_not_probed(spark, data):
-    lines = spark.read.parquet(f"{data}/lineitem.parquet")
-    assert hot_cuts(lines, ["l_returnflag"], ["l_orderkey"]) is None
+def test_rows_that_come_out_of_an_array_are_seen(spark):
+    """The planner takes this for a few rows; all of one key come out of an array."""
+    rows = spark.range(4).selectExpr("id % 2 AS k", "explode(sequence(1L, IF(id = 0, 30000L, 3L))) AS ts")
+    cuts = hot_cuts(rows, ["k"], ["ts"], rows_per_piece=1000)
+    assert [len(r[CUTS]) for r in cuts.collect()] and cuts.count() == 1
 
 
-def test_chunked_lists_split_long_lists(spark):
-    rows = spark.range(1, 26).selectExpr("CASE WHEN id <= 23 THEN 'a' ELSE 'b' END AS k", "id AS p", "concat('x', id) AS v")
-    rows = rows.withColumn("p", F.when(F.col("k") == "b", F.col("p") - 23).otherwise(F.col("p")))
-    got = {(r.k, r.part): r.vs for r in chunked_lists(rows, ["k"], "p", "v", "vs", size=10).collect()}
-    assert got[("a", 0)] == [f"x{i}" for i in range(1, 11)]
-    assert got[("a", 2)] == ["x21", "x22", "x23"]
-    assert got[("b", 0)] == ["x24", "x25"]
-    assert len(got) == 4
+def test_thousands_of_hot_keys_are_all_cut(spark):
+    rows = spark.range(5000 * 40).selectExpr("id % 5000 AS k", "id AS ts")
+    cuts = hot_cuts(rows, ["k"], ["ts"], rows_per_piece=30)
+    assert cuts.count() == 5000
+    assert sum(len(r[CUTS]) for r in cuts.collect()) <= MAX_PIECES
 
 
 @settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])

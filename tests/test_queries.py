@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import ORACLE, QUERIES
 from checks.compare import compare, duck_connection
 
 
@@ -13,14 +14,14 @@ def con(data):
     connection.close()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, data, name):
     ok, note = compare(spark, con, data, name)
     assert ok, note
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_flagship(spark):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.registry import QUERIES
 from checks import fixtures
 from checks.compare import TABLES, compare, duck_connection
 from harborline.operators import lookups, ordered
@@ -48,20 +49,19 @@ def small_pieces(monkeypatch):
         cut.append(True)
         return keep(cuts)
 
-    monkeypatch.setattr(ordered, "_estimated_bytes", lambda df: None)
     monkeypatch.setattr(ordered, "ROWS_PER_PIECE", 60)
     monkeypatch.setattr(ordered, "cut_lineage", counted)
     return cut
 
 
 ORDERED = {
-    "append_keyed", "instance_topology", "peer_allowlist", "effective_steps", "undo_plan", "usage_ledger", "usage_hours",
+    "append_keyed", "instance_replicas", "peer_allowlist", "late_rows_stream", "effective_steps", "undo_plan", "usage_ledger", "usage_hours",
     "open_usages", "ledger_violations", "latest_backup", "replay_set", "replay_order", "state_transitions", "late_rows",
     "transition_counts", "retry_bursts",
 }
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_on_skewed_tables(spark, con, skewed, small_pieces, name):
     ok, note = compare(spark, con, skewed, name)
     assert ok, note
