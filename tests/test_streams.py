@@ -122,16 +122,20 @@ def test_windows_drop_rows_behind_the_watermark(spark, feed, tmp_path):
     assert got == {BASE: 2, BASE + datetime.timedelta(hours=24): 2}  # hour 2 came too late
 
 
-def test_late_rows_against_earlier_batches(spark, feed, tmp_path):
-    def batch(*days):
-        rows = [(s, BASE + datetime.timedelta(days=x)) for s, x in days]
-        return spark.createDataFrame(rows, "source string, ts timestamp")
-
-    stream = feed(batch(("a", 10), ("b", 1)), batch(("a", 8), ("a", 6), ("b", 0)), batch(("b", 9), ("a", 10)), batch(("b", 2)))
-    writer = streams.late_row_writer(stream, "source", "ts", "3 DAYS", f"{tmp_path}/out", f"{tmp_path}/cp")
-    streams.run_to_end(writer)
-    late = spark.read.parquet(f"{tmp_path}/out/late").collect()
-    assert sorted((r.source, (r.ts - BASE).days) for r in late) == [("a", 6), ("b", 2)]
+def test_late_rows_do_not_depend_on_the_batches(spark, tmp_path):
+    """Rows are held against earlier ones of their own batch and of the batches before."""
+    days = [("a", 10), ("b", 1), ("a", 8), ("a", 6), ("b", 0), ("b", 9), ("a", 10), ("b", 2), ("c", 5), ("c", 1), ("c", 3)]
+    rows = [(s, BASE + datetime.timedelta(days=x), i) for i, (s, x) in enumerate(days)]
+    schema = "source string, ts timestamp, arrival int"
+    want = [("a", 6), ("b", 2), ("c", 1)]
+    for n, cuts in enumerate(([0, 11], [0, 2, 5, 7, 11], list(range(12)))):
+        out, folder = f"{tmp_path}/{n}", f"{tmp_path}/rows{n}"
+        for a, b in zip(cuts, cuts[1:]):
+            spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        streams.run_to_end(streams.late_row_writer(stream, "source", "ts", ["arrival"], "3 DAYS", f"{out}/out", f"{out}/cp"))
+        late = spark.read.parquet(f"{out}/out/late").collect()
+        assert sorted((r.source, (r.ts - BASE).days) for r in late) == want
 
 
 def test_notifications_stream(spark, feed, tmp_path):
