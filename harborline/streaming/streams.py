@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from harborline.operators.timeline import late_rows
 from harborline.operators.usage import LEDGER, ledger_upsert
-from harborline.session import is_small
+from harborline.session import is_small, remove_folder
 
 
 def dedupe_deliveries(messages: DataFrame, ts: str, delay: str, spread: tuple[str, int] | None = None) -> DataFrame:
@@ -66,11 +66,42 @@ def live_state(changes: DataFrame) -> DataFrame:
     return changes.groupBy("instance_id").agg(latest.alias("latest"))
 
 
-def live_state_writer(changes: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Write the instances that changed in each batch; `read_live_state` reduces them."""
+# Every so many batches a batch writes all of its state and not what changed alone.
+COMPACT_EVERY = 100
+
+
+def _last_whole(batch_id: int, every: int) -> int:
+    """The newest batch before this one that wrote all of its state."""
+    return max(batch_id - 1, 0) // every * every
+
+
+def _remove_older(spark: SparkSession, path: str, batch_id: int, every: int) -> None:
+    """Remove what came before the newest whole state, once the batch after that one runs."""
+    whole = _last_whole(batch_id, every)
+    if whole and batch_id == whole + 1:
+        for old in range(whole - every, whole):
+            remove_folder(spark, f"{path}/batch={old}")
+
+
+def live_state_writer(
+    changes: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY
+) -> DataStreamWriter:
+    """Write the instances that changed in each batch; `read_live_state` reduces them.
+
+    Every `compact_every`-th batch also takes in the rows of those before it, which are removed after
+    that: the reader has the changes of so many batches beside one row an instance.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("instance_id", "latest.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.select("instance_id", "latest.*")
+        if batch_id and batch_id % compact_every == 0:
+            since = F.col("batch").between(_last_whole(batch_id, compact_every), batch_id - 1)
+            rows = rows.unionByName(spark.read.parquet(path).where(since).select(*rows.columns))
+            latest = F.max_by(F.struct("state", "ts", "seq"), F.struct("ts", "seq"))
+            rows = rows.groupBy("instance_id").agg(latest.alias("latest")).select("instance_id", "latest.*")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _remove_older(spark, path, batch_id, compact_every)
 
     return (
         live_state(changes)
@@ -85,27 +116,42 @@ def read_live_state(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("instance_id").agg(F.max_by("state", F.struct("ts", "seq")).alias("state"))
 
 
-def live_ledger_writer(changes: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+LEDGER_SCHEMA = "project_id long, instance_id long, plan_id long, seq long, started_at timestamp, finished_at timestamp"
+
+
+def live_ledger_writer(
+    changes: DataFrame, path: str, checkpoint: str, buckets: int = 64, compact_every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """Streaming usage ledger: a change closes its instance's open interval.
 
-    Each batch of changes is merged with the open intervals the batch before it left, by
-    the same job as the batch ledger, so a hot instance is cut into pieces here as well.
-    Batch n writes closed/batch=n and open/batch=n and reads only open/batch=n-1: a batch
-    that is replayed after a failure writes the same rows again. A change older than
-    its instance's open interval goes to late/batch=n and does not reopen anything.
+    Each batch of changes is merged with the open intervals of its instances, by the same job as
+    the batch ledger, so a hot instance is cut into pieces here as well. Batch n writes
+    closed/batch=n, and to open/batch=n the open intervals of the instances it touched, one row each.
+    It reads those of earlier batches in the buckets of its instances only. Every `compact_every`-th
+    batch writes all open intervals, and what came before is removed after it. A batch that is replayed after a
+    failure reads what it read and writes the same rows again. A change older than its
+    instance's open interval goes to late/batch=n and does not reopen anything.
     """
+    bucket = F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def opened_before(spark: SparkSession, batch_id: int) -> DataFrame:
+        """The newest open interval of each instance, with its bucket."""
+        if batch_id == 0:
+            return spark.createDataFrame([], f"{LEDGER_SCHEMA}, bucket int")
+        rows = spark.read.schema(f"{LEDGER_SCHEMA}, batch int, bucket int").parquet(f"{path}/open")
+        rows = rows.where(F.col("batch").between(_last_whole(batch_id, compact_every), batch_id - 1))
+        newest = F.max_by(F.struct(*LEDGER), "batch")
+        return rows.groupBy("instance_id", "bucket").agg(newest.alias("row")).select("row.*", "bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Read the batch's files once; several of the writes below use it.
         batch = batch.select("project_id", "instance_id", "plan_id", "seq", "ts").persist()
-        ledger_schema = (
-            "project_id long, instance_id long, plan_id long, seq long, started_at timestamp, finished_at timestamp"
-        )
-        if batch_id == 0:
-            before = spark.createDataFrame([], ledger_schema)
-        else:
-            before = spark.read.schema(ledger_schema).parquet(f"{path}/open/batch={batch_id - 1}")
+        all_open = opened_before(spark, batch_id)
+        # At most `buckets` numbers, which prune the folders that are read.
+        touched = [r.bucket for r in batch.select(bucket).distinct().collect()]
+        mine = batch.select("instance_id").distinct()
+        before = all_open.where(F.col("bucket").isin(touched)).select(*LEDGER).join(mine, "instance_id", "left_semi")
         opened = before.select(
             "instance_id", F.struct(F.col("started_at").alias("ts"), F.col("seq")).alias("__opened")
         )
@@ -116,14 +162,25 @@ def live_ledger_writer(changes: DataFrame, path: str, checkpoint: str) -> DataSt
         # Written once and read back, so that both parts come from the same rows.
         merged = f"{path}/merged/batch={batch_id}"
         after.select(*LEDGER).write.mode("overwrite").parquet(merged)
-        written = spark.read.schema(ledger_schema).parquet(merged)
+        written = spark.read.schema(LEDGER_SCHEMA).parquet(merged)
         written.where("finished_at IS NOT NULL").write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
-        written.where("finished_at IS NULL").write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        still = written.where("finished_at IS NULL").select(*LEDGER, bucket)
+        if batch_id and batch_id % compact_every == 0:
+            still = still.unionByName(all_open.join(mine, "instance_id", "left_anti").select(*LEDGER, "bucket"))
+        still.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/open/batch={batch_id}")
         batch.unpersist()
+        remove_folder(spark, merged)
+        _remove_older(spark, f"{path}/open", batch_id, compact_every)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def read_open_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Open intervals of a live ledger: the newest that any batch wrote for each instance."""
+    rows = spark.read.schema(f"{LEDGER_SCHEMA}, batch int, bucket int").parquet(f"{path}/open")
+    return rows.groupBy("instance_id").agg(F.max_by(F.struct(*LEDGER), "batch").alias("row")).select("row.*")
+
+
 def windowed_tasks(tasks: DataFrame, ts: str, size: str, slide: str, delay: str) -> DataFrame:
     """Tasks per action in event-time windows; rows behind the watermark are dropped."""
     return (

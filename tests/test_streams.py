@@ -1,6 +1,7 @@
 """Streams over several files: state crosses batches, and results equal the batch jobs'."""
 
 import datetime
+import os
 import random
 
 import pytest
@@ -66,12 +67,42 @@ def test_live_ledger_equals_batch(spark, feed, tmp_path):
     streams.run_to_end(streams.live_ledger_writer(stream, f"{tmp_path}/out", f"{tmp_path}/cp"))
     ledger = usage.usage_ledger(rows.withColumn("ts", F.col("ts").cast("timestamp")))
     closed = spark.read.parquet(f"{tmp_path}/out/closed").drop("batch").select(*usage.LEDGER)
-    opened = spark.read.parquet(f"{tmp_path}/out/open/batch=2").select(*usage.LEDGER)
+    opened = streams.read_open_intervals(spark, f"{tmp_path}/out")
     assert text(closed) == text(ledger.where("finished_at IS NOT NULL"))
     assert text(opened) == text(usage.open_usages(ledger))
     assert spark.read.parquet(f"{tmp_path}/out/late").count() == 0
 
 
+def test_live_tables_write_what_changed_and_are_compacted(spark, feed, tmp_path):
+    """Ten batches of a few instances each, whole state every fourth batch."""
+    rows = events(spark, n=100).withColumn("project_id", F.lit(1).cast("long"))
+    first = rows.selectExpr("project_id", "seq + 1000 AS instance_id", "plan_id", "seq", "ts", "state")
+    small = [rows.where(f"seq >= {a} AND seq < {a + 3}").select(*first.columns) for a in range(0, 27, 3)]
+    every = [first, *small]
+    stream = as_event_time(feed(*every), "ts")
+    out = f"{tmp_path}/ledger"
+    writer = streams.live_ledger_writer(stream.drop("state"), out, out + "-cp", buckets=8, compact_every=4)
+    streams.run_to_end(writer)
+    # Batch 8 wrote all of it, batch 9 the instances it touched; what came before is gone.
+    written = {b: spark.read.parquet(f"{out}/open/batch={b}").count() for b in (8, 9)}
+    assert written[9] <= 3 and written[8] > 100 and not os.path.exists(f"{out}/open/batch=7")
+    everything = every[0]
+    for more in small:
+        everything = everything.unionByName(more)
+    ledger = usage.usage_ledger(everything.drop("state").withColumn("ts", F.col("ts").cast("timestamp")))
+    assert text(streams.read_open_intervals(spark, out)) == text(usage.open_usages(ledger))
+    closed = spark.read.parquet(f"{out}/closed").drop("batch").select(*usage.LEDGER)
+    assert text(closed) == text(ledger.where("finished_at IS NOT NULL"))
+
+    out = f"{tmp_path}/state"
+    changes = stream.select("instance_id", "ts", "seq", "state")
+    streams.run_to_end(streams.live_state_writer(changes, out, out + "-cp", compact_every=4))
+    got = streams.read_live_state(spark, out).select("instance_id", "state")
+    assert text(got) == text(batch_changes.latest_state(everything, "instance_id", ["ts", "seq"], "state"))
+    kept = {f for f in os.listdir(out) if f.startswith("batch=")}
+    assert kept == {"batch=8", "batch=9"}
+
+
 def test_live_ledger_sets_late_changes_apart(spark, feed, tmp_path):
     schema = "project_id long, instance_id long, plan_id long, seq long, ts timestamp"
     hour = datetime.timedelta(hours=1)
