@@ -15,7 +15,7 @@ from harborline.llm.stored import Stored
 from harborline.llm.texts import KEY, blocks, covered, keyed, text_bytes
 
 WINDOW = 400
-RUNS = (256, 400)  # bytes of a suffix by which it is put in order, in each round
+RUNS = (200, 368, 400)  # bytes of a suffix by which it is put in order, in each round
 BATCHES = 4
 BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean binary"
