@@ -21,7 +21,9 @@ WINDOW = 16  # words compressed at once
 SAMPLE_DOCS = 2500  # labelled documents of each class to fit on
 SAMPLE_CHARS = 20_000  # of each of them
 DICTIONARY = 16_384  # bytes of the ordinary dictionary
-TIERS = (4.0, 12.0, 60.0)  # least ratio of rates for a piece to enter each toxic dictionary
+# For a piece to enter each toxic dictionary: least ratio of its rates, and least share of the
+# strongest evidence that any piece has.
+TIERS = ((4.0, 0.0), (12.0, 0.0), (60.0, 0.1), (60.0, 0.3))
 EVIDENCE = 14.0  # least likelihood ratio of such a piece
 STEPS = (1, 2, 3, 4, 6)  # bytes saved from which a window counts
 CALL = 20_000  # windows handed to the compressor at once
@@ -118,13 +120,14 @@ def _toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         return 2 * (x * math.log(x / (a * share)) + (y * math.log(y / (b * share)) if y else 0))
 
     ratio = {piece: (n / a) / ((usual[piece] + 0.5) / b) for piece, n in seen.items()}
-    strength = {p: evidence(p) for p in seen if ratio[p] >= TIERS[0]}
+    strength = {p: evidence(p) for p in seen if ratio[p] >= TIERS[0][0]}
     ranked = sorted((p for p in strength if strength[p] >= EVIDENCE), key=lambda p: (-strength[p], p))
+    strongest = max(strength.values(), default=0.0)
     contents = []
-    for least in TIERS:
+    for least, share in TIERS:
         chosen: list[bytes] = []
         for piece in ranked:
-            if ratio[piece] < least or any(piece in c for c in chosen):
+            if ratio[piece] < least or strength[piece] < share * strongest or any(piece in c for c in chosen):
                 continue
             chosen = [c for c in chosen if c not in piece] + [piece]
         contents.append(b" ".join(reversed(chosen))[-DICTIONARY:])
@@ -151,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
 
     The sample is the documents that are not held out, in the order of a hash of their id. The
     ordinary dictionary is trained on the ordinary texts. The toxic dictionaries hold, before that same
-    content, the words and beginnings of words that mark toxic texts, at three levels of evidence;
+    content, the words and beginnings of words that mark toxic texts, at four levels of evidence;
     so what differs in length between them and the ordinary one comes from these marks alone.
     The curve weighs the classes as all usable labels do, so that 0.5 is its threshold.
     """
