@@ -92,6 +92,7 @@ _B[list(b"aeiouyAEIOUY")] += 1
 _B[ord("a") : ord("f") + 1] += 1 << 20
 FIELD = (1 << 20) - 1
 SIZES = (144, 90, 36, 8, 64, 256, 12)  # of the feature families
+EDGES, BARE = 4, 1 * 8 + 1  # the family of what stands around a token, and spaces on both sides
 CODE = byte_set(*[(b, b) for b in b"={}[]();<>\"'_"])
 
 
@@ -317,8 +318,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     goal, size, marked = (np.concatenate([p[i] for p in pieces]) for i in (1, 2, 3))
     clean = np.flatnonzero(~marked)
     keep = np.concatenate([np.flatnonzero(marked), clean[:: max(1, len(clean) // SAMPLE_CLEAN)]])
-    keep = keep[np.argsort(-size[keep], kind="stable")]  # longest first
+    # Each piece with a match is seen again with plain spaces around the secret, so that its shape counts too.
+    bare = np.flatnonzero(marked)
+    keep = np.concatenate([keep, bare])
+    again = np.arange(len(keep)) >= len(keep) - len(bare)
     ids, goal, size = [i[keep] for i in ids], goal[keep], size[keep]
+    ids[EDGES] = np.where(again[:, None] & (goal != O), BARE, ids[EDGES])
+    order = np.argsort(-size, kind="stable")  # longest first
+    ids, goal, size = [i[order] for i in ids], goal[order], size[order]
     parts = [field.steps, field.start, *field.states]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for epoch in range(1, EPOCHS + 1):
