@@ -23,7 +23,7 @@ from harborline.llm.segments import Codes, segments, window_places
 from harborline.llm.stored import Stored
 from harborline.llm.texts import BYTE_CODE, KEY, NOT_SPACE, doc_rows, gathered, spread, text_bytes, word_bounds, word_codes
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20  # of text whose codes are in memory at once
 ROW = f"anchor long, content long, {KEY[0]} long, {KEY[1]} long, begin long, windows long, wanted boolean"
 
 
