@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, secret_scan, suffix_levels, token_groups, toxicity
+from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, revisits, secret_scan, suffix_levels, token_groups, toxicity
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +180,24 @@ def op7_token_groups(spark, folder):
     return token_groups.jaccard_components(table(spark, folder, "documents")).select(
         "doc_id", "n_shingles", "component_id"
     )
+
+
+# Three captures of each page: a response, a revisit under another spelling, and one of either kind.
+OP3_SQL = """SELECT page_id * 3 + 1 AS record_id, page_id * 3 AS response_id, 'resolved' AS status,
+  concat('d1|e', page_id, '|html') AS headers FROM pages WHERE url IS NOT NULL
+UNION ALL SELECT page_id * 3 + 2, NULL, 'changed', NULL FROM pages WHERE url IS NOT NULL AND page_id % 5 = 0"""
+
+
+@query("op3_revisit_asof", OP3_SQL)
+def op3_revisit_asof(spark, folder):
+    captures = table(spark, folder, "pages").where("url IS NOT NULL").selectExpr("page_id", "url", "explode(array(0, 1, 2)) AS k")
+    records = captures.selectExpr(
+        "page_id * 3 + k AS record_id",
+        "concat(if(k = 1, regexp_replace(url, '^http', 'HTTP'), url), '#', k, '') AS url", "page_id * 3 + k AS ts",
+        "if(k = 1 OR (k = 2 AND page_id % 5 = 0), 'revisit', 'response') AS kind",
+        "concat(if(k = 2, 'x', 'e'), page_id) AS etag", "CAST(NULL AS STRING) AS last_modified",
+        "map('date', concat('d', k), 'etag', concat(if(k = 2, 'x', 'e'), page_id), 'content-type', 'html') AS headers",
+    )
+    found = revisits.resolve_revisits(records)
+    joined = F.concat_ws("|", F.col("headers.date"), F.col("headers.etag"), F.col("headers")["content-type"])
+    return found.select("record_id", "response_id", "status", F.when(F.col("status") == "resolved", joined).alias("headers"))
