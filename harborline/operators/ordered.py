@@ -106,11 +106,13 @@ def hot_cuts(
     found = (
         hashed.groupBy((F.spark_partition_id() % 256).alias("__g"))
         .agg(F.count(F.lit(1)).alias("n"), F.expr(sketch).alias("s"))
+        # By a constant, so that no rows give no sketch.
+        .groupBy(F.lit(0).alias("__all"))
         .agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
         .selectExpr("n", f"approx_top_k_estimate(s, {MAX_HOT_KEYS}) AS top")
         .first()
     )
-    if not found.n:
+    if found is None:
         return None
     target = max(rows_per_piece or ROWS_PER_PIECE, 2 * found.n // MAX_PIECES)
     hot = {row["item"]: row["count"] for row in found.top if row["count"] > target}
