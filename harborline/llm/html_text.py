@@ -22,7 +22,7 @@ EPOCHS = 150
 
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head script style noscript template svg math iframe object canvas audio video select textarea".split())
+UNSEEN = set("head title script style noscript template svg math iframe object canvas audio video select textarea".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var img wbr".split()
@@ -41,6 +41,24 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+# The same inside hidden parts, where no tree is kept: what an element that opens closes, up to the given border.
+SCOPE = UNSEEN | {"table", "td", "th", "caption", "button"}
+LISTS = SCOPE | ENDS_PARAGRAPH - {"address", "div", "p", "li", "dt", "dd"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IN_TABLE = set("caption colgroup thead tbody tfoot tr td th".split())
+IN_HEAD = set("head title base basefont bgsound link meta style script noscript noframes template".split())
+RUBY = {"rb", "rt", "rtc", "rp"}
+HIDDEN_CLOSES = {
+    "a": ({"a"}, SCOPE),
+    "button": ({"button"}, SCOPE - {"button"}),
+    "li": ({"li"}, LISTS),
+    **{t: ({"dt", "dd"}, LISTS) for t in ("dt", "dd")},
+    **{t: (IN_TABLE, UNSEEN | {"table"}) for t in IN_TABLE - {"tr", "td", "th"}},
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, UNSEEN | {"table"}),
+    **{t: ({"td", "th", "caption", "colgroup"}, UNSEEN | {"table", "tr"}) for t in ("td", "th")},
+    **{t: (RUBY, SCOPE | {"ruby"}) for t in RUBY},
+}
+HIDDEN_ENDS_PARAGRAPH = ENDS_PARAGRAPH | {"center", "dir", "hgroup", "listing", "search", "summary"}
 ARTICLE = {"article", "main"}
 ASIDE = set("nav footer aside form menu button dialog".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
@@ -63,7 +81,10 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|[^>]*(?:>|\Z))",
     re.IGNORECASE | re.DOTALL,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+ATTRIBUTES = {"class", "id", "role", "hidden", "style", "aria-hidden"}
+MAY_HIDE = re.compile(r"hidden|style", re.IGNORECASE)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Bits of a node's flags; "within" ones also hold below the node.
@@ -105,18 +126,23 @@ def _flags(tag: str, rest: str, inside_article: bool) -> tuple[int, bool]:
     if len(rest) < 4:
         return flags, False
     hidden = False
-    for name, value in NAMED.findall(rest):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+    seen = set()
+    for name, value in ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name not in ATTRIBUTES or name in seen:  # of an attribute given twice the first counts
+            continue
+        seen.add(name)
+        value = html.unescape(value[1:-1] if value[:1] in ("'", '"') and value[-1] == value[0] else value)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             hidden = True
         elif name == "style":
-            hidden |= "display:none" in value.lower().replace(" ", "")
+            hidden |= bool(NOT_SHOWN.search(value))
         elif name == "role":
             if value.lower() in ASIDE_ROLES:
                 flags |= TAG_ASIDE
             elif value.lower() in ("main", "article"):
                 flags |= TAG_ARTICLE
-        else:
+        elif name != "aria-hidden":
             parts = {p.lower() for p in PART.findall(value)}
             if parts & ASIDE_NAMES:
                 flags |= NAME_ASIDE
@@ -125,6 +151,19 @@ def _flags(tag: str, rest: str, inside_article: bool) -> tuple[int, bool]:
     return flags, hidden
 
 
+def _ended(tag: str) -> tuple[set[str], set[str]]:
+    """What an end tag in a hidden part closes, and the border up to which it does."""
+    if tag in UNSEEN:
+        return {tag}, set()
+    if tag in INLINE:
+        return {tag}, UNSEEN
+    if tag == "table" or tag in IN_TABLE:
+        return {tag}, UNSEEN | {"table"}
+    if tag == "li":
+        return {tag}, SCOPE | {"ul", "ol"}
+    return HEADINGS if tag in HEADINGS else {tag}, SCOPE if tag == "p" else SCOPE - {"button"}
+
+
 def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None:
     """Add the tree of one page. With `anonymous`, article elements become plain ones.
 
@@ -134,7 +173,7 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
     """
     stack = [("#root", trees.add(page, -1, "#root", 0))]
     opened: dict[str, int] = {"#root": 1}
-    unseen, links = 0, 0
+    links = 0
     hidden_at: list[str] = []  # open elements from the outermost that is not shown
     pieces: list[str] = []
     linked = 0
@@ -163,9 +202,31 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
                 pop_to(at)
                 return
 
+    def leave_hidden(names: set[str], border: set[str], innermost: bool = False) -> bool:
+        """Close what is open of `names` within `border`; whether the hidden part ends with an element around it."""
+        found = len(hidden_at)
+        for at in range(len(hidden_at) - 1, -1, -1):
+            if hidden_at[at] in names:
+                found = at
+                if innermost:
+                    break
+            if hidden_at[at] in border:
+                break
+        else:
+            for name, _ in reversed(stack):
+                if name in names:
+                    hidden_at.clear()
+                    return True
+                if name in border:
+                    break
+        del hidden_at[found:]
+        return False
+
     done = 0
     for match in TOKEN.finditer(source):
-        if match.start() > done and not unseen:
+        if hidden_at == ["head"] and source[done : match.start()].strip():
+            hidden_at.clear()
+        if match.start() > done and not hidden_at:
             text = source[done : match.start()]
             pieces.append(text)
             if links:
@@ -176,19 +237,26 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
             continue
         tag = tag.lower()
         end = bool(match["end"])
-        if unseen:
-            if end and tag in hidden_at:
-                while hidden_at.pop() != tag:
-                    pass
-                unseen = len(hidden_at)
-            elif not end and tag not in VOID:
-                hidden_at.append(tag)
-                unseen = len(hidden_at)
-            # The body ends what stands open before it.
-            if not end and tag == "body" and hidden_at[0] == "head":
-                hidden_at.clear()
-                unseen = 0
+        if hidden_at:
+            above = False
+            if end:
+                above = leave_hidden(*_ended(tag), innermost=True)
+                if tag == "ruby" and hidden_at and hidden_at[0] in RUBY:
+                    hidden_at.clear()
+            elif hidden_at[0] == "head":
+                # The body, or what cannot stand in a head, ends the head.
+                if tag == "body" or (len(hidden_at) == 1 and tag not in IN_HEAD):
+                    hidden_at.clear()
             else:
+                if tag in HIDDEN_ENDS_PARAGRAPH:
+                    leave_hidden({"p"}, SCOPE)
+                if hidden_at and tag in HIDDEN_CLOSES:
+                    leave_hidden(*HIDDEN_CLOSES[tag])
+            if hidden_at:
+                if not end and tag not in VOID:
+                    hidden_at.append(tag)
+                continue
+            if end and not above:
                 continue
         if tag in VOID or tag in INLINE:
             if tag == "br" or tag == "hr":
@@ -199,7 +267,6 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
                 links = 0 if end else 1
             if not end and tag not in VOID and _hidden(match["rest"]):
                 hidden_at.append(tag)
-                unseen = 1
             continue
         if end:
             if opened.get(tag):
@@ -213,7 +280,6 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
             continue
         if tag in UNSEEN and not match["rest"].endswith("/>"):
             hidden_at.append(tag)
-            unseen = 1
             continue
         if tag in ENDS_PARAGRAPH:
             close({"p"}, {"table", "td", "th", "div", "section", "article", "main", "li", "blockquote", "body"})
@@ -225,20 +291,19 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
         flags, hidden = _flags(tag, match["rest"], bool(above & TAG_ARTICLE))
         if hidden:
             hidden_at.append(tag)
-            unseen = 1
             continue
         name = tag
         if anonymous and tag in ARTICLE:
             name, flags = "div", flags & ~(TAG_ARTICLE | NAME_ARTICLE)
         stack.append((tag, trees.add(page, stack[-1][1], name, flags)))
         opened[tag] = opened.get(tag, 0) + 1
-    if not unseen and done < len(source):
+    if hidden_at in ([], ["head"]):
         pieces.append(source[done:])
     flush()
 
 
 def _hidden(rest: str) -> bool:
-    return len(rest) > 5 and _flags("", rest, True)[1]
+    return len(rest) > 5 and bool(MAY_HIDE.search(rest)) and _flags("", rest, True)[1]
 
 
 LEAF_LENGTHS = np.array([20, 60, 150, 400, 1000])

@@ -55,6 +55,55 @@ def test_without_labelled_pages(spark):
     assert H.extract(none, H.fit(none)).first().text == "Some text, of course."
 
 
+def shown(source):
+    trees = H.Trees()
+    H.parse(trees, 0, source)
+    return " | ".join(t for t in trees.text if t)
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        ' href="/hidden-costs"', ' title="The hidden life"', ' data-hidden="false"', " data-title='a hidden=b'", ' hidden-x="1"',
+        ' alt="style=display:none"', ' style="--x: display; display:block"', ' aria-hidden="false"', ' data-role="dialog" title=a"hidden"',
+    ],
+)
+def test_only_attributes_hide(attributes):
+    assert shown(f"<article><p>a <a{attributes}>b</a> c</p><div{attributes}>d</div></article>") == "a b c | d"
+
+
+@pytest.mark.parametrize(
+    "attributes", [" hidden", ' HIDDEN=""', " class=x hidden/", ' style="color:red; display : NONE"', " aria-hidden=true", " style='display&#58;none'"]
+)
+def test_real_attributes_hide(attributes):
+    assert shown(f"<article><p>a <a{attributes}>b</a> c</p><div{attributes}>d<div>e</div></div></article>") == "a c"
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<p hidden>a<p>b", "b"),
+        ("<p hidden>a <i>x<p>b</p>", "b"),
+        ("<p hidden>a<div>b</div>", "b"),
+        ("<div><p hidden>a</div>b", "b"),
+        ("<p>a <span hidden>x<p>b", "a | b"),
+        ("<ul><li hidden>a<ul><li>x<li>y</ul>z<li>b</ul>c", "b | c"),
+        ("<ul><li>a<div hidden>x<li>b</ul>", "a | b"),
+        ("<dl><dt hidden>a<dd>b<dt>c</dl>", "b | c"),
+        ("<table><tr hidden><td>a<td>x<tr><td>b</table>c", "b | c"),
+        ("<table><tbody hidden><tr><td>a<tbody><tr><td>b</table>c", "b | c"),
+        ("<table><tr><td hidden>a<table><tr><td>x</table>y<td>b</table>c", "b | c"),
+        ("<div hidden><p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e</div>f</table></div>g", "g"),
+        ("<div hidden><svg><p></svg></section><p>a</div>g", "g"),
+        ("a <ruby>b<rt hidden>c<rt>d<rp hidden>)</ruby> e", "a bd e"),
+        ("<head><title>T</title><meta x><article>a</article>", "a"),
+        ("<head><title>T</title>text", "text"),
+    ],
+)
+def test_end_tags_left_out_in_hidden_parts(source, text):
+    assert shown(source) == text
+
+
 def test_sum_product_against_enumeration():
     trees = H.Trees()
     H.parse(trees, 0, "<div><p>a, b.</p><ul><li>c</li></ul></div><footer>f</footer>")
