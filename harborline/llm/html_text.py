@@ -68,6 +68,17 @@ ASIDE_NAMES = set(
     "navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related "
     "recommended newsletter subscribe signup login search pagination pager widget legal copyright disclaimer hidden".split()
 )
+CLEAR_NAMES = set(
+    "ad ads adv advert advertisement adverts sponsor sponsored cookie cookies consent gdpr popup modal comment comments "
+    "disqus reply replies respond sidebar nav navbar navigation breadcrumb breadcrumbs topbar toolbar pagination pager "
+    "newsletter".split()
+)
+# Words beside those that leave a name as plain as it is, and words that make it tell of the page's state.
+NEUTRAL_NAMES = set(
+    "area articles bar block bottom box button buttons container form inner item items left links list menu outer panel "
+    "posts primary right secondary site slot stories top unit wrap wrapper zone".split()
+)
+STATE_NAMES = set("has no not with without".split())
 ARTICLE_NAMES = set("article content post entry main story body text articlebody".split())
 TAGS = (
     "#text #root html body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre "
@@ -87,9 +98,16 @@ MAY_HIDE = re.compile(r"hidden|style", re.IGNORECASE)
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-# Bits of a node's flags; "within" ones also hold below the node.
-NAME_ASIDE, NAME_ARTICLE, TAG_ASIDE, TAG_ARTICLE, PAGE_HEADER = 1, 2, 4, 8, 16
-FLAGS = 5
+# Bits of a node's flags; "within" ones also hold below the node. A class or id can have a word of an
+# aside among others, be such a name as a whole, or one that is hardly given to anything else.
+NAME_PART, NAME_ASIDE, NAME_CLEAR, NAME_ARTICLE, TAG_ASIDE, TAG_ARTICLE, PAGE_HEADER = 1, 2, 4, 8, 16, 32, 64
+NAMES = NAME_PART | NAME_ASIDE | NAME_CLEAR | NAME_ARTICLE
+TAG_FLAGS, TAG_SHIFT = 3, 4
+UNNAMED = HEADINGS | {"html", "body"}  # their names tell of the page's layout or are anchors
+# Shares of the page's text above which a node's aside names are not looked at, by how clear they are.
+NAME_SHARES = ((NAME_PART, 0.5), (NAME_ASIDE, 0.5), (NAME_CLEAR, 0.8))
+NAME_STOPS = np.array([4, 8, 16])  # stops and commas of a node by which its names are told apart
+NAME_PRIOR = np.array([[0.0] * 4, [-0.3] * 4, [-4.0, -4.0, -0.6, -0.3], [-4.0] * 4])  # by clearness and stops
 
 
 @dataclass
@@ -118,6 +136,20 @@ class Trees:
         return node
 
 
+def _named(given: str, inside_article: bool) -> int:
+    """Flags of one class or id."""
+    parts = {p.lower() for p in PART.findall(given) if len(p) > 1}
+    if inside_article:  # there it holds the title, as the element does
+        parts.discard("header")
+    if parts & ASIDE_NAMES:
+        if parts & STATE_NAMES:
+            return 0
+        if parts - ASIDE_NAMES - NEUTRAL_NAMES:
+            return NAME_PART
+        return NAME_CLEAR if parts & CLEAR_NAMES else NAME_ASIDE
+    return NAME_ARTICLE if parts & ARTICLE_NAMES else 0
+
+
 def _flags(tag: str, rest: str, inside_article: bool) -> tuple[int, bool]:
     """Flags of an element, and whether it is not shown."""
     flags = (TAG_ASIDE if tag in ASIDE else 0) | (TAG_ARTICLE if tag in ARTICLE else 0)
@@ -143,11 +175,8 @@ def _flags(tag: str, rest: str, inside_article: bool) -> tuple[int, bool]:
             elif value.lower() in ("main", "article"):
                 flags |= TAG_ARTICLE
         elif name != "aria-hidden":
-            parts = {p.lower() for p in PART.findall(value)}
-            if parts & ASIDE_NAMES:
-                flags |= NAME_ASIDE
-            elif parts & ARTICLE_NAMES:
-                flags |= NAME_ARTICLE
+            for given in value.split():
+                flags |= _named(given, inside_article)
     return flags, hidden
 
 
@@ -293,6 +322,8 @@ def parse(trees: Trees, page: int, source: str, anonymous: bool = False) -> None
             hidden_at.append(tag)
             continue
         name = tag
+        if tag in UNNAMED:
+            flags &= ~NAMES
         if anonymous and tag in ARTICLE:
             name, flags = "div", flags & ~(TAG_ARTICLE | NAME_ARTICLE)
         stack.append((tag, trees.add(page, stack[-1][1], name, flags)))
@@ -309,7 +340,7 @@ def _hidden(rest: str) -> bool:
 LEAF_LENGTHS = np.array([20, 60, 150, 400, 1000])
 LINK_SHARES = np.array([0.1, 0.4, 0.8])
 SENTENCES = np.array([1, 2, 4])
-FAMILIES = (len(TAGS), len(TAGS), 2**FLAGS, 2**FLAGS, 2 * 6 * 4, 2 * 4 * 4, 2 * 5)
+FAMILIES = (len(TAGS), len(TAGS), 2**TAG_FLAGS, 2**TAG_FLAGS, 16, 16, 2, 2, 2 * 6 * 4, 2 * 4 * 4, 2 * 5)
 
 
 @dataclass
@@ -319,6 +350,7 @@ class Nodes:
     leaf: np.ndarray
     levels: list[np.ndarray]  # node numbers by depth
     features: list[np.ndarray]
+    asides: np.ndarray  # aside names of the node itself or above it
 
 
 def nodes_of(trees: Trees) -> Nodes:
@@ -339,35 +371,51 @@ def nodes_of(trees: Trees) -> Nodes:
     length = np.searchsorted(LEAF_LENGTHS, sums[:, 0], "right")
     links = np.searchsorted(LINK_SHARES, sums[:, 1] / total, "right")
     sentences = np.searchsorted(SENTENCES, sums[:, 2], "right")
-    share = np.searchsorted([0.05, 0.2, 0.5, 0.8], sums[:, 0] / whole, "right")
+    part = sums[:, 0] / whole
+    share = np.searchsorted([0.05, 0.2, 0.5, 0.8], part, "right")
+    own, within = np.array(trees.own, np.int64), np.array(trees.within, np.int64)
+    clear = np.zeros(len(tag), np.int64)
+    for number, (flag, most) in enumerate(NAME_SHARES, 1):
+        clear[(own & flag > 0) & (part <= most)] = number
+    named = np.where(clear, clear * 4 + np.searchsorted(NAME_STOPS, sums[:, 2], "right"), 0)
+    over = np.zeros(len(tag), np.int64)  # the strongest above
+    prior = NAME_PRIOR.ravel()
+    for level in levels[1:]:
+        a, b = over[parent[level]], named[parent[level]]
+        over[level] = np.where(prior[a] <= prior[b], a, b)
     features = [
         tag,
         tag[above],
-        np.array(trees.own, np.int64),
-        np.array(trees.within, np.int64),
+        own >> TAG_SHIFT,
+        within >> TAG_SHIFT,
+        named,
+        over,
+        (own & NAME_ARTICLE) // NAME_ARTICLE,
+        (within & NAME_ARTICLE) // NAME_ARTICLE,
         (leaf * 6 + length) * 4 + links,
         (leaf * 4 + sentences) * 4 + links,
         leaf * 5 + share,
     ]
-    return Nodes(page, parent, leaf, levels, features)
+    return Nodes(page, parent, leaf, levels, features, named | over)
 
 
 def prior_weights() -> list[np.ndarray]:
     """What is known of HTML before any page is seen; fitting moves away from it only on evidence."""
     weights = [np.zeros(n) for n in FAMILIES]
-    for family, scale in ((2, 1.0), (3, 1.5)):
-        for flags in range(2**FLAGS):
-            value = 0.0
-            if flags & TAG_ARTICLE:
-                value += 1.5
-            if flags & NAME_ARTICLE:
-                value += 1.0
-            if flags & (TAG_ASIDE | NAME_ASIDE | PAGE_HEADER):
+    for family, scale in ((0, 1.0), (1, 1.5)):
+        for flags in range(2**TAG_FLAGS):
+            value = 1.5 if flags << TAG_SHIFT & TAG_ARTICLE else 0.0
+            if flags << TAG_SHIFT & (TAG_ASIDE | PAGE_HEADER):
                 value = -5.0
-            weights[family][flags] = scale * value
+            weights[2 + family][flags] = scale * value
+        weights[4 + family][:] = scale * NAME_PRIOR.ravel()
+        weights[6 + family][1] = scale
     weights[0][TAG_NUMBER["#text"]] = 1.0
     for length in range(len(LEAF_LENGTHS) + 1):
-        weights[4][(6 + length) * 4 + 2 : (6 + length) * 4 + 4] = -1.5, -3.0  # mostly or only links
+        weights[8][(6 + length) * 4 : (6 + length) * 4 + 2] = 0.4 * max(length - 2, 0)  # long, without many links
+        weights[8][(6 + length) * 4 + 2 : (6 + length) * 4 + 4] = -1.5, -3.0  # mostly or only links
+    for sentences in range(len(SENTENCES) + 1):
+        weights[9][(4 + sentences) * 4 : (4 + sentences) * 4 + 2] = 0.4 * max(sentences - 1, 0)
     return weights
 
 
@@ -376,16 +424,20 @@ class Model:
     weights: list[np.ndarray]  # log-odds of content by feature
     edges: np.ndarray  # [is leaf, parent's state, child's state]
 
-    def marginals(self, nodes: Nodes):
+    def marginals(self, nodes: Nodes, truth: np.ndarray | None = None):
         """Log-beliefs of both states of each node, and of each node with its parent.
 
         Sum-product: messages go up from the deepest level to the roots and down again. Pages are
-        separate trees, so one pass serves a block of them.
+        separate trees, so one pass serves a block of them. With `truth`, states that are not
+        negative there are given.
         """
         n = len(nodes.page)
         base = np.zeros((n, 2))
         for weights, ids in zip(self.weights, nodes.features):
             base[:, 1] += weights[ids]
+        if truth is not None:
+            for state in (0, 1):
+                base[truth == 1 - state, state] -= 1e4
         kind = nodes.leaf.astype(np.int64)
         gathered, up, down = base.copy(), np.zeros((n, 2)), np.zeros((n, 2))
         for level in reversed(nodes.levels[1:]):
@@ -408,26 +460,37 @@ class Model:
         return 1 / (1 + np.exp(np.clip(beliefs[:, 0] - beliefs[:, 1], -50, 50)))
 
 
-def _train(trees: Trees, truth: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Maximum likelihood with a Gaussian prior, by exact gradients of the trees' marginals."""
-    nodes = nodes_of(trees)
+def _joint(nodes: Nodes, kind: np.ndarray, child: np.ndarray, beliefs: np.ndarray, pairs: np.ndarray):
+    """Probability that each node is content, and expected states of a node and its parent by kind."""
+    p = 1 / (1 + np.exp(np.clip(beliefs[:, 0] - beliefs[:, 1], -50, 50)))
+    joint = pairs[child]
+    joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    expected = np.zeros((2, 2, 2))
+    np.add.at(expected, kind[child], joint)
+    return p, expected
+
+
+def _train(nodes: Nodes, truth: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Maximum likelihood with a Gaussian prior, by exact gradients of the trees' marginals.
+
+    Nodes whose truth is negative are summed over: their states follow from the given ones.
+    """
     model = Model(prior_weights(), np.array([[[0.5, -0.5], [-0.5, 0.5]], [[0.5, -0.5], [-0.5, 0.5]]]))
     anchor = [w.copy() for w in model.weights] + [model.edges.copy()]
     parts = [*model.weights, model.edges]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     kind = nodes.leaf.astype(np.int64)
     child = np.flatnonzero(nodes.parent >= 0)
+    open_, given = bool((truth < 0).any()), truth
     seen = np.zeros((2, 2, 2))
-    np.add.at(seen, (kind[child], truth[nodes.parent[child]], truth[child]), 1)
+    if not open_:
+        np.add.at(seen, (kind[child], truth[nodes.parent[child]], truth[child]), 1)
     for epoch in range(1, epochs + 1):
-        beliefs, pairs = model.marginals(nodes)
-        p = 1 / (1 + np.exp(np.clip(beliefs[:, 0] - beliefs[:, 1], -50, 50)))
-        grads = [np.bincount(ids, truth - p, len(w)) for w, ids in zip(model.weights, nodes.features)]
-        joint = pairs[child]
-        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        expected = np.zeros((2, 2, 2))
-        np.add.at(expected, kind[child], joint)
+        p, expected = _joint(nodes, kind, child, *model.marginals(nodes))
+        if open_:
+            given, seen = _joint(nodes, kind, child, *model.marginals(nodes, truth))
+        grads = [np.bincount(ids, given - p, len(w)) for w, ids in zip(model.weights, nodes.features)]
         grads.append(seen - expected)
         for part, grad, mean, m, v in zip(parts, grads, anchor, first, second):
             grad = grad - 0.3 * (part - mean)
@@ -441,7 +504,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int =
     """A model fitted on at most `sample_pages` pages that mark their article themselves.
 
     Pages with an article or main element are the labelled ones, taken in the order of a hash: what
-    stands in that element, and not in an aside within it, is content. Each is seen a second time with
+    stands in that element, and not in a nav, footer or the like within it, is content. Parts of it that only a class
+    or id calls an aside are left open. Each page is seen a second time with
     that element made anonymous, so that the model also learns what content looks like without it.
     Without such pages the prior weights are used as they are.
     """
@@ -449,17 +513,22 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int =
         F.lower("html").rlike(r"<(article|main)[\s>]") & (F.length("html") <= sample_chars)
     )
     chosen = sampled(labelled, "page_id", sample_pages).orderBy("page_id")
+    return fit_pages([row["html"] for row in chosen.select("html").collect()])
+
+
+def fit_pages(sources: list[str]) -> Model:
     trees, truth = Trees(), []
-    for i, row in enumerate(chosen.select("html").collect()):
+    for i, source in enumerate(sources):
         begin = len(trees.page)
-        parse(trees, 2 * i, row["html"])
+        parse(trees, 2 * i, source)
         flags = [a | b for a, b in zip(trees.own[begin:], trees.within[begin:])]
-        label = [int(bool(f & TAG_ARTICLE) and not f & (TAG_ASIDE | NAME_ASIDE)) for f in flags]
-        parse(trees, 2 * i + 1, row["html"], anonymous=True)
+        label = [int(bool(f & TAG_ARTICLE) and not f & TAG_ASIDE) for f in flags]
+        parse(trees, 2 * i + 1, source, anonymous=True)
         truth += label + label
     if not truth:
         return Model(prior_weights(), np.array([[[0.5, -0.5], [-0.5, 0.5]]] * 2))
-    return _train(trees, np.array(truth))
+    nodes, states = nodes_of(trees), np.array(truth)
+    return _train(nodes, np.where((states == 1) & (nodes.asides > 0), -1, states))
 
 
 def extract_block(sources: list, model: Model) -> list[str]:

@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -50,6 +51,76 @@ def test_awkward_pages(spark, model):
     assert H.extract(df.limit(0), model).count() == 0
 
 
+P = "<p>Sentence {} of the page, with a comma. It goes on, and on, for a while.</p>"
+PARTS = {
+    "title": "<div class='entry-header'><h1>The title of it</h1></div>",
+    "heading": P.format(1) + "<h2 id='side-effects'>Side effects</h2>" + P.format(2),
+    "section": "<section id='legal-framework'><h2>Law, in short</h2>" + P.format(3) + P.format(4) + "</section>",
+    "notice": "<h2 id='related'>Related</h2><div class='notice'><p>Mind the gap, please. It is wide, and deep. Do not fall, "
+    "and hold on to what stands near, as it is firm, mostly.</p></div>",
+    "list": "<ul class='social-studies'><li>Schools, and what they teach.</li><li>Pupils, and what they learn.</li></ul>",
+}
+BODY = "".join(PARTS.values())
+
+
+def around(open_, inner, close):
+    return (
+        f"<nav><ul><li><a href='/a'>Home</a></li></ul></nav><div class='ad'>Buy now.</div>{open_}{inner}{close}"
+        "<div class='sidebar'><p>Look here, too.</p></div><footer>of the site</footer>"
+    )
+
+
+def plain(source):
+    return " ".join(re.sub("<[^>]*>", " ", source).split())
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ("<body class='no-sidebar menu-open'>", "</body>"), ("<div class='has-menu'>", "</div>"), ("<div id='menu-layout'>", "</div>"),
+        ("<div class='sidebar-left'>", "</div>"), ("", ""),
+    ],
+)
+@pytest.mark.parametrize("own", [False, True])
+def test_names_do_not_decide(model, tag, open_, close, own):
+    source = open_ + around(f"<{tag}>", BODY, f"</{tag}>") + close
+    if own:  # fitted on such pages themselves
+        model = H.fit_pages([open_ + around("<article>", BODY.replace("page", f"page {i}"), "</article>") + close for i in range(30)])
+    assert " ".join(H.extract_block([source], model)[0].split()) == plain(BODY)
+
+
+def test_asides_by_name(model):
+    inner = BODY + "<div class='related-posts'><p>Other page, here.</p></div><div id='comments'><p>I like it, a lot.</p></div>"
+    for tag in ("article", "div"):
+        assert " ".join(H.extract_block([around(f"<{tag}>", inner, f"</{tag}>")], model)[0].split()) == plain(BODY)
+
+
+def test_long_sections_and_headers_of_articles(model):
+    inner = "<div class='header'><h1>The title of it</h1></div>" + P.format(0) + "<section id='legal'>" + P.format(1) * 9 + "</section>"
+    assert " ".join(H.extract_block([around("<article>", inner, "</article>")], model)[0].split()) == plain(inner)
+
+
+def test_states_left_open_follow_from_the_given_ones():
+    trees = H.Trees()
+    H.parse(trees, 0, "<div><p>a, b.</p><ul><li>c</li></ul></div><footer>f</footer>")
+    nodes = H.nodes_of(trees)
+    rng = np.random.default_rng(0)
+    model = H.Model([rng.normal(size=n) for n in H.FAMILIES], rng.normal(size=(2, 2, 2)))
+    truth = rng.integers(-1, 2, len(nodes.page))
+    beliefs, _ = model.marginals(nodes, truth)
+    odds = sum(w[f] for w, f in zip(model.weights, nodes.features))
+    total, norm = np.zeros(len(truth)), 0.0
+    for states in itertools.product((0, 1), repeat=len(truth)):
+        if all(t < 0 or s == t for s, t in zip(states, truth)):
+            below = [i for i in range(len(truth)) if nodes.parent[i] >= 0]
+            edges = sum(model.edges[int(nodes.leaf[i]), states[nodes.parent[i]], states[i]] for i in below)
+            value = np.exp(np.dot(odds, states) + edges)
+            norm += value
+            total += value * np.array(states)
+    assert np.allclose(1 / (1 + np.exp(np.clip(beliefs[:, 0] - beliefs[:, 1], -50, 50))), total / norm)
+
+
 def test_without_labelled_pages(spark):
     none = spark.createDataFrame([(1, "u", "<div class='sidebar'>Links, more.</div><p>Some text, of course.</p>")], "page_id long, url string, html string")
     assert H.extract(none, H.fit(none)).first().text == "Some text, of course."
