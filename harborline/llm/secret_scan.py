@@ -13,15 +13,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import ALNUM, LOWER, blocks, by_blocks, byte_set, doc_rows, sampled, text_bytes, word_bounds
+from harborline.llm.texts import (
+    ALNUM, LOWER, blocks, by_blocks, byte_set, doc_rows, sampled, text_bytes, whole_texts, word_bounds,
+)
 
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCS = 6000  # documents to fit on
-SAMPLE_CHARS = 20_000  # of each of them
+SAMPLE_CHARS = 20_000  # of each of them on average, at most; texts are taken whole
 SAMPLE_CLEAN = 1500  # pieces of lines without a pattern's match
 LONGEST = 40  # tokens of a line in fitting; longer lines are fitted in pieces
 EPOCHS = 60
 FIT_BLOCK = 250  # documents made into training pieces at once
+FIT_BYTES = 5_000_000  # of their text, or one longer text
 
 ASSIGN, ACCESS, HEX, CRF = "assign", "access", "hex", "crf"
 KINDS = (ASSIGN, ACCESS, HEX, CRF)
@@ -300,15 +303,19 @@ def _training_pieces(texts: list[str]):
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """A field fitted on at most `sample_docs` documents, in the order of a hash of their id.
+    """A field fitted on at most `sample_docs` whole documents, in the order of a hash of their id, as long as
+    they have at most `sample_chars` characters on average of `sample_docs`.
 
     The patterns' matches are its labels: a match's first token begins a secret, its others are
     inside (of an assignment, the value's tokens). All pieces of the sample's lines with a match
     are used, and some `SAMPLE_CLEAN` evenly from the others. Without any match nothing is tagged.
     """
-    usable = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).where("text is not null")
-    texts = [r[0] for r in sampled(usable, "doc_id", sample_docs).orderBy("doc_id").select("text").collect()]
-    pieces = [_training_pieces(texts[i : i + FIT_BLOCK]) for i in range(0, len(texts), FIT_BLOCK)]
+    usable = docs.select("doc_id", "text").where("text is not null")
+    texts = whole_texts(sampled(usable, "doc_id", sample_docs), "doc_id", sample_docs, sample_docs * sample_chars)
+    pieces = []
+    for i in range(0, len(texts), FIT_BLOCK):
+        part = pa.record_batch({"text": pa.array(texts[i : i + FIT_BLOCK], pa.large_string())})
+        pieces += [_training_pieces(b.column("text").to_pylist()) for b in blocks(iter([part]), FIT_BYTES)]
     field = Field([np.zeros((n, 3)) for n in SIZES], np.zeros((3, 3)), np.zeros(3))
     if not any(marked.any() for *_, marked in pieces):
         field.start[O] = 50.0

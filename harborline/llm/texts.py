@@ -39,6 +39,20 @@ def sampled(rows: DataFrame, id_column: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(ids), F.col(id_column) == F.col("_sampled")).drop("_sampled").limit(n)
 
 
+def whole_texts(rows: DataFrame, id_column: str, n: int, max_chars: int) -> list[str]:
+    """Whole texts of at most `n` rows, by id; the first ones, by a hash of the id, that have `max_chars` together.
+
+    Sizes are collected first. A row is taken whole or not at all, and at least one is taken.
+    """
+    rows = rows.where("text is not null").select(
+        F.struct(F.xxhash64(id_column), F.col(id_column), F.xxhash64("text")).alias("_at"), id_column, "text"
+    )
+    sizes = [r[0] for r in rows.select("_at", F.length("text").alias("_size")).orderBy("_at").limit(n).select("_size").collect()]
+    taken = max(int(np.searchsorted(np.cumsum(sizes), max_chars, "right")), 1) if sizes else 0
+    first = rows.orderBy("_at").limit(taken)
+    return [r[0] for r in first.orderBy(id_column, F.xxhash64("text")).select("text").collect()]
+
+
 def by_blocks(fn: Callable[[pa.RecordBatch], pa.Array], max_bytes: int, type_: str) -> Callable[[Column], Column]:
     """A column computed from whole texts, block by block, beside all other columns of a row.
 

@@ -15,11 +15,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import LOWER, NOT_SPACE, blocks, by_blocks, sampled, spread, text_bytes, word_bounds
+from harborline.llm.texts import LOWER, NOT_SPACE, blocks, by_blocks, sampled, spread, text_bytes, whole_texts, word_bounds
 
 WINDOW = 16  # words compressed at once
 SAMPLE_DOCS = 2500  # labelled documents of each class to fit on
-SAMPLE_CHARS = 20_000  # of each of them
+SAMPLE_CHARS = 20_000  # of each of them on average, at most; texts are taken whole
 DICTIONARY = 16_384  # bytes of the ordinary dictionary
 # For a piece to enter each toxic dictionary: least ratio of its rates, and least share of the
 # strongest evidence that any piece has.
@@ -152,7 +152,8 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Dictionaries and curve from at most `sample_docs` labelled documents of each class.
 
-    The sample is the documents that are not held out, in the order of a hash of their id. The
+    The sample is whole documents that are not held out, in the order of a hash of their id, as long as
+    they have at most `sample_chars` characters on average of `sample_docs`. The
     ordinary dictionary is trained on the ordinary texts. The toxic dictionaries hold, before that same
     content, the words and beginnings of words that mark toxic texts, at four levels of evidence;
     so what differs in length between them and the ordinary one comes from these marks alone.
@@ -166,11 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     texts: dict[int, list[bytes]] = {}
     for label in (0, 1):
         chosen = sampled(usable.where(F.col("toxic") == label), "label_id", sample_docs)
-        found = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(
+        found = docs.select("doc_id", "text").join(
             F.broadcast(chosen.select("label_id").distinct()), F.col("doc_id") == F.col("label_id")
         )
-        rows = found.where("text is not null").limit(sample_docs).orderBy("doc_id", F.xxhash64("text"))
-        texts[label] = [r["text"] for r in rows.select("text").collect()]
+        texts[label] = whole_texts(found, "doc_id", sample_docs, sample_docs * sample_chars)
     if not texts[0] or not texts[1]:
         return Model(b"", [], np.zeros(0), prior)
     raw = {k: [LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in v] for k, v in texts.items()}
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     model = Model(ordinary, toxic, np.zeros(0), prior)
     if not toxic:
         return model
-    x = model.features(pa.array(texts[0] + texts[1], pa.large_string()))
+    both = pa.record_batch({"text": pa.array(texts[0] + texts[1], pa.large_string())})
+    x = np.concatenate([model.features(block.column("text")) for block in blocks(iter([both]), BLOCK_BYTES)])
     y = np.repeat([0.0, 1.0], [len(texts[0]), len(texts[1])])
     share = np.where(y == 1, counts[1] / len(texts[1]), counts[0] / len(texts[0]))
     model.weights = _fit_logistic(x, y, share * len(y) / share.sum())

@@ -83,6 +83,15 @@ def test_the_field_finds_more_and_leaves_prose(spark):
     assert all(got[i].clean_text == text for i, text in prose)
 
 
+def test_fitted_on_whole_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, words(rng, 4000).ljust(20_001, "x") + f"\npassword = {rng.getrandbits(80):020x}\n") for i in range(30)]
+    field = S.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert field.start[S.O] < 50
+    one = spark.createDataFrame([(1, "a secret is 0f9e8d7c6b5a49382716 here"), (2, rows[0][1])], "doc_id long, text string")
+    assert S.scan_secrets(one, field).where("doc_id = 2").first().n_assign == 1
+
+
 def test_spans_hold_the_base_ones(spark):
     df, rows = many(spark)
     for r in S.scan_secrets(df, S.fit(df)).collect():

@@ -58,6 +58,25 @@ def test_awkward_rows(spark):
     assert np.allclose(model.score(texts), [model.score(texts.slice(i, 1))[0] for i in range(len(texts))])
 
 
+def test_marks_behind_a_long_beginning(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, 4000).ljust(20_001) + (" nitwit blockhead scoundrel" if i % 2 else " ") + words(rng, 20)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert any(b"nitwit" in content for content in model.toxic)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 76
+
+
+def test_the_sample_is_whole_texts(spark):
+    rows = [(i, chr(97 + i) * (10 + i)) for i in range(20)] + [(None, "z"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, size in ((50, 10_000), (5, 10_000), (50, 60), (50, 1)):
+        got = toxicity.whole_texts(docs.where("doc_id is not null"), "doc_id", n, size)
+        assert set(got) <= {r[1] for r in rows} and 1 <= len(got) <= n and (len(got) == 1 or sum(map(len, got)) <= size)
+    assert len(toxicity.whole_texts(docs, "doc_id", 50, 10_000)) == 21 and toxicity.whole_texts(docs.limit(0), "doc_id", 5, 5) == []
+
+
 def test_without_labels(spark):
     df, rows = documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
