@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.llm.stored import Stored
 from harborline.llm.texts import (
     ALNUM, by_blocks, covered, doc_rows, gathered, span_codes, spread, text_bytes, word_bounds, word_codes,
 )
@@ -209,6 +210,12 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _forget(broadcast) -> None:
+    """Let a Python worker hold a broadcast no longer than it is used; its file is read again when needed."""
+    if getattr(broadcast, "_path", None) is not None:  # with encryption there is no file to read again
+        broadcast.__dict__.pop("_value", None)
+
+
 def _search_shard(shard: pa.RecordBatch, blocks, with_text: bool) -> pa.RecordBatch:
     data, starts = text_bytes(shard.column("text"))
     begin, end, first = word_bounds(data, starts, ALNUM)
@@ -216,8 +223,12 @@ def _search_shard(shard: pa.RecordBatch, blocks, with_text: bool) -> pa.RecordBa
     docs, words = shard.num_rows, np.diff(first)
     hit = np.zeros(len(begin), bool)
     found: dict[int, set[str]] = {}
+    phrases = None
     for broadcast in blocks:
+        del phrases  # the last block goes before the next is read
         phrases = broadcast.value
+        if len(blocks) > 1:
+            _forget(broadcast)
         if not len(phrases.lengths):
             continue
         numbers = index.number(phrases.codes.ravel()).reshape(phrases.codes.shape)
@@ -268,21 +279,27 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
     """Broadcasts of the benchmark's windows, each of at most about `block_bytes` of text.
 
     Items go to blocks by a hash, and the number of blocks follows from the counted size, so no
-    block grows with the benchmark.
+    block grows with the benchmark. The driver makes one block after another and keeps each as a file only; Python
+    workers read them one at a time. Several blocks are first dealt out to files, so that each reads its own items only.
     """
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = 1 + int(total // block_bytes)
-    blocks = []
+    blocks, kept = [], None
+    if n > 1:
+        kept = Stored(spark, "benchmark")
+        items = kept.keep(items.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")), "_block")
     for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) if n > 1 else items
-        rows = part.toArrow()
+        rows = (items.where(F.col("_block") == b) if kept else items).toArrow()
         blocks.append(
             spark.sparkContext.broadcast(
                 Phrases(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window)
             )
         )
+        del rows
+    if kept:
+        kept.drop(items)
     return blocks
 
 

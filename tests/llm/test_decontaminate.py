@@ -1,9 +1,13 @@
 import hashlib
+import pickle
 import random
 import re
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.core.broadcast import Broadcast
 
 from harborline.llm import fmindex
 
@@ -67,6 +71,30 @@ def test_blocks_of_the_benchmark_and_spans(spark, monkeypatch):
     assert got[10].clean_text == docs[10][1] and not got[10].contaminated
 
 
+def test_one_block_of_the_benchmark_at_a_time(tmp_path, monkeypatch):
+    alive = weakref.WeakSet()
+    rng = random.Random(8)
+    texts = [words(rng, 14) for _ in range(6)]
+    blocks = []
+    for i, text in enumerate(texts):
+        (tmp_path / str(i)).write_bytes(pickle.dumps(fmindex.Phrases([i], [text], 10)))
+        blocks.append(Broadcast(path=str(tmp_path / str(i))))
+    load, most = Broadcast.load_from_path, []
+
+    def watched(self, path):
+        value = load(self, path)
+        alive.add(value)
+        most.append(len(alive))
+        return value
+
+    monkeypatch.setattr(Broadcast, "load_from_path", watched)
+    shard = pa.record_batch({"doc_id": list(range(6)), "text": texts})
+    for _ in range(2):  # a worker's next shard
+        got = fmindex._search_shard(shard, blocks, False)
+        assert got.column("items").to_pylist() == [[str(i)] for i in range(6)]
+    assert max(most) == 1 and len(most) == 12
+
+
 def test_empty_tables(spark):
     df, rows = documents(spark)
     none = spark.createDataFrame([], "item_id long, text string")
