@@ -111,7 +111,7 @@ def test_definitions_from_a_file(spark, tmp_path):
 
 def test_large_definition_tables_are_not_broadcast(spark, monkeypatch):
     tasks = spark.createDataFrame([(1, "a", "{}")], "id long, action string, metadata string")
-    monkeypatch.setattr(workflow, "is_small", lambda df: False)
+    monkeypatch.setattr(workflow, "is_small", lambda *args: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = workflow.expand_workflow(tasks, definitions(spark), max_steps=10)._jdf.queryExecution().executedPlan().toString()
