@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import cover_tree, debruijn, fmindex, html_text, mixing, revisits, secret_scan, suffix_levels, token_groups, toxicity
+from harborline.llm import (
+    bloom_lines, cover_tree, debruijn, fmindex, html_text, lexical, merkle, mixing, revisits, secret_scan, suffix_levels,
+    token_groups, toxicity,
+)
 from harborline.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +204,110 @@ def op3_revisit_asof(spark, folder):
     found = revisits.resolve_revisits(records)
     joined = F.concat_ws("|", F.col("headers.date"), F.col("headers.etag"), F.col("headers")["content-type"])
     return found.select("record_id", "response_id", "status", F.when(F.col("status") == "resolved", joined).alias("headers"))
+
+
+# Levels of each source's tree and of the tree of subroots, and each document's way up both. The CRC is taken bit by bit.
+OP11_SQL = r"""
+WITH RECURSIVE h AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]),
+      lambda x, i: xor(x >> 1, (3988292384 * (x & 1))::UBIGINT))) & 1 = 1 AS even,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head
+  FROM documents
+), d AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(new_text) || ':' || new_text, '-')) AS new
+  FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS new_text FROM h)
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d
+), up AS (
+  SELECT s, 0 AS l, list(leaf ORDER BY p) AS nodes FROM placed GROUP BY s
+  UNION ALL SELECT s, l + 1, list_transform(range(0, len(nodes), 3),
+    lambda i: sha256(array_to_string(list_slice(nodes, i + 1, i + 3), ''))) FROM up WHERE len(nodes) > 1
+), sub AS (SELECT s, nodes[1] AS subroot FROM up WHERE len(nodes) = 1),
+above AS (
+  SELECT 0 AS l, list(subroot ORDER BY s) AS nodes FROM sub HAVING count(*) > 0
+  UNION ALL SELECT l + 1, list_transform(range(0, len(nodes), 3),
+    lambda i: sha256(array_to_string(list_slice(nodes, i + 1, i + 3), ''))) FROM above WHERE len(nodes) > 1
+), way AS (
+  SELECT r, s, 0 AS l, p, new, '' AS proof FROM placed
+  UNION ALL SELECT r, s, l + 1, p // 3, sha256(before || new || after), proof || before || after
+  FROM (SELECT r, s, l, p, new, proof, array_to_string(list_slice(nodes, p // 3 * 3 + 1, p), '') AS before,
+    array_to_string(list_slice(nodes, p + 2, p // 3 * 3 + 3), '') AS after
+    FROM way JOIN up USING (s, l) WHERE len(nodes) > 1)
+), far AS (
+  SELECT r, 0 AS l, s AS p, new, proof FROM way JOIN up USING (s, l) WHERE len(nodes) = 1
+  UNION ALL SELECT r, l + 1, p // 3, sha256(before || new || after), proof || before || after
+  FROM (SELECT r, l, p, new, proof, array_to_string(list_slice(nodes, p // 3 * 3 + 1, p), '') AS before,
+    array_to_string(list_slice(nodes, p + 2, p // 3 * 3 + 3), '') AS after
+    FROM far JOIN above USING (l) WHERE len(nodes) > 1)
+)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, f.new AS folded_root, f.new = nodes[1] AS verified
+FROM placed JOIN sub USING (s) JOIN far f USING (r) JOIN above a ON a.l = f.l AND len(nodes) = 1
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    return merkle.verify_documents(docs, merkle.without_newlines(docs))
+
+
+# Lines whose key at least ten documents have, left out of all.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), k AS (
+  SELECT r, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)
+), often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k WHERE key NOT IN (SELECT key FROM often) GROUP BY r
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, len(lines) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@query("op12_bloom_lines", OP12_SQL)
+def op12_bloom_lines(spark, folder):
+    found = bloom_lines.drop_repeated_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+# All terms of all documents counted and scored.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL AND text IS NOT NULL
+), q AS (SELECT item_id, t, count(*) AS times FROM b GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s
+), m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+scores AS (
+  SELECT item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN weights USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark, folder):
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
