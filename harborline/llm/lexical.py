@@ -155,7 +155,7 @@ class _Shard:
         best.add(item, score[found], self.ids[found], self.no_id[found])
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: Items, top: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], items: Items, top: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     """The best `top` documents of a task for each item, shard after shard."""
     best = _Best(len(items.names), top)
     parts, docs, postings = [], 0, 0
@@ -165,13 +165,13 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, top: int) -> Iterat
         for i, (term, weight) in enumerate(items.own):
             shard.rank(i, term, weight, best)
 
-    for block in gathered(batches, BLOCK_BYTES):
+    for block in gathered(batches, min(BLOCK_BYTES, shard_docs * 256)):
         term, doc, tf, size = _postings(block, items.vocabulary)
         ids = block.column("doc_id")
         no_id = ids.is_null().to_numpy(zero_copy_only=False)
         parts.append((term, doc + docs, tf, size, ids.fill_null(0).to_numpy(), no_id))
         docs, postings = docs + len(size), postings + len(term)
-        if docs >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+        if docs >= shard_docs or postings >= SHARD_POSTINGS:
             rank()
             parts, docs, postings = [], 0, 0
     if parts:
@@ -205,7 +205,7 @@ def _ranked(rows: DataFrame, by: list[str], top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The `top` best documents of each item: item_id, rank, doc_id, score; only scores above 0, ties by doc_id.
 
     Terms are runs of ASCII letters (without regard to case), digits and characters beyond ASCII. A term's weight is
@@ -237,7 +237,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
         block.weigh(documents, terms, {r.term: r.documents for r in totals if r.term is not None})
         shared = spark.sparkContext.broadcast(block)
         found = rows.mapInArrow(
-            lambda batches, shared=shared: _search(batches, shared.value, top), "item_id long, doc_id long, score long"
+            lambda batches, shared=shared: _search(batches, shared.value, top, shard_docs),
+            "item_id long, doc_id long, score long",
         )
         out = found if out is None else out.unionAll(found)
     # Every task has up to `top` rows an item: those are ranked by salt first.

@@ -14,8 +14,7 @@ from harborline.llm.midstates import START, compress, from_bytes, hex_block, las
 from harborline.llm.stored import Stored
 
 FAN = 3
-LEVELS = 8  # of the tree that one task builds: 6,561 nodes, whatever the size of a source
-SPAN = FAN**LEVELS
+LEVELS = 8  # of the tree that one task builds, a block: 6,561 nodes, whatever the size of a source
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -47,10 +46,10 @@ def _numbered(rows: DataFrame, order: list[str], stored: Stored) -> DataFrame:
     return placed.join(starts, ["tree", "_piece"]).select(*rows.columns, at, "n")
 
 
-def _depth(n: int) -> int:
+def _depth(n: int, levels: int) -> int:
     """Levels until n nodes are one, as far as one task goes."""
     depth = 0
-    while depth < LEVELS and FAN**depth < n:
+    while depth < levels and FAN**depth < n:
         depth += 1
     return depth
 
@@ -101,11 +100,11 @@ def _resume(state: np.ndarray, slot: np.ndarray, children: np.ndarray, new: np.n
 BLOCK = "tree string, block long, at long, n long, root binary, nodes binary, states binary"
 
 
-def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    """One block of up to `SPAN` neighbouring nodes of a tree as one row: all nodes above them and the kept states."""
+def _build(key: tuple, rows: pa.Table, levels: int) -> pa.Table:
+    """One block of neighbouring nodes of a tree as one row: all nodes above them and the kept states."""
     rows = rows.sort_by("at")
     total, block = rows.column("n")[0].as_py(), key[1].as_py()
-    depth = _depth(total)
+    depth = _depth(total, levels)
     leaves = from_bytes(b"".join(rows.column("leaf").to_pylist()))
     nodes, states = _grow(leaves, depth)
     packed = [to_bytes(level) for level in nodes]
@@ -196,7 +195,7 @@ def _path_steps(path: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
 PATH = "tree string, at long, path binary, subroot binary, top binary"
 
 
-def _child_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _child_paths(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The way from each child of upper blocks to the root of all: its steps in its block, then those of the block."""
     for batch in batches:
         for row in batch.to_pylist():
@@ -205,7 +204,7 @@ def _child_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {
                     "tree": pa.array([row["tree"]] * n, pa.string()),
-                    "at": pa.array(np.arange(n) + row["block"] * SPAN, pa.int64()),
+                    "at": pa.array(np.arange(n) + row["block"] * span, pa.int64()),
                     "path": pa.array(paths, pa.binary()),
                     "subroot": pa.array([row["subroot"]] * n, pa.binary()),
                     "top": pa.array([row["top"]] * n, pa.binary()),
@@ -213,38 +212,38 @@ def _child_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rounds(nodes: DataFrame, stored: Stored) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, stored: Stored, levels: int) -> list[DataFrame]:
     """Blocks of `nodes` (tree, at, n, leaf), blocks of their roots and so on, until each tree is one block."""
     rounds = []
     while True:
-        grouped = nodes.select("tree", F.expr(f"at div {SPAN}").alias("block"), "at", "n", "leaf").groupBy("tree", "block")
-        rounds.append(stored.keep(grouped.applyInArrow(_build, BLOCK)))
+        grouped = nodes.select("tree", F.expr(f"at div {FAN**levels}").alias("block"), "at", "n", "leaf").groupBy("tree", "block")
+        rounds.append(stored.keep(grouped.applyInArrow(lambda key, rows: _build(key, rows, levels), BLOCK)))
         most = rounds[-1].agg(F.max("n")).first()[0] or 0
         if most <= 1:
             return rounds
         nodes = rounds[-1].select("tree", "at", "n", F.col("root").alias("leaf"))
 
 
-def _paths(rounds: list[DataFrame], top: DataFrame) -> DataFrame:
+def _paths(rounds: list[DataFrame], top: DataFrame, levels: int) -> DataFrame:
     """(tree, at, path, subroot, top) of the blocks of the first round; `top` has those of the last."""
     for blocks in reversed(rounds[1:]):
         ways = top.withColumnRenamed("at", "block")
         joined = blocks.select("tree", "block", "nodes", "states").join(ways, ["tree", "block"])
-        top = joined.mapInArrow(_child_paths, PATH)
+        top = joined.mapInArrow(lambda batches: _child_paths(batches, FAN**levels), PATH)
     return top
 
 
-def build_manifest(docs: DataFrame, replaced: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def build_manifest(docs: DataFrame, replaced: Column | None = None, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """The manifest of `docs` as two written tables: leaves and blocks.
 
     Leaves: doc_id, tree (the source), at (place among the leaves of its source by doc_id, nulls first), leaf, and as
     `new` the digest of the document with the text `replaced`, if that is given and not null, else `leaf`.
-    Blocks: for every `SPAN` neighbouring leaves all nodes above them, the states kept by their parents before each child
+    Blocks: for every `FAN` ** `levels` neighbouring leaves all nodes above them, the states kept by their parents before each child
     slot, the way (states and siblings) from the block to the root of all, the source's root and the root.
 
     Every `FAN` consecutive nodes become a parent, the hash of their digests as hex text; a last run may be shorter, even
     one node. A source's leaves become its subroot, the subroots by source, null first, the root. A tree is built
-    block by block, blocks of any source side by side, and then blocks of their roots: no task has more than `SPAN` nodes.
+    block by block, blocks of any source side by side, and then blocks of their roots: no task has more nodes than a block.
     Leaves that are alike in source and doc_id come by their digest. Null texts, columns and ids have a mark
     of their own in a leaf; repeated rows are leaves of their own; an empty table has no leaves, no blocks and no root.
     Columns other than `COLUMNS` are not looked at.
@@ -257,16 +256,16 @@ def build_manifest(docs: DataFrame, replaced: Column | None = None) -> tuple[Dat
         tree.alias("tree"), docs["doc_id"], leaf.alias("leaf"), new.alias("new"), F.monotonically_increasing_id().alias("row")
     )
     leaves = _numbered(stored.keep(rows), ["tree", "doc_id", "leaf", "row"], stored).drop("row")
-    rounds = _rounds(leaves, stored)
+    rounds = _rounds(leaves, stored, levels)
     subroots = rounds[-1].select(F.col("tree").alias("of"), F.lit("").alias("tree"), F.col("root").alias("leaf"))
     numbered = stored.keep(_numbered(subroots, ["tree", "of"], stored))
-    upper = _rounds(numbered, stored)
+    upper = _rounds(numbered, stored, levels)
     whole = upper[-1].select("tree", "at", F.lit(b"").alias("path"), F.lit(b"").alias("subroot"), F.col("root").alias("top"))
-    by_place = _paths([upper[0], *upper], whole).select("at", "path", "top")
+    by_place = _paths([upper[0], *upper], whole, levels).select("at", "path", "top")
     ways = numbered.join(by_place, "at").select(
         F.col("of").alias("tree"), F.lit(0).cast("long").alias("at"), "path", F.col("leaf").alias("subroot"), "top"
     )
-    ways = _paths(rounds, ways).withColumnRenamed("at", "block")
+    ways = _paths(rounds, ways, levels).withColumnRenamed("at", "block")
     blocks = rounds[0].select("tree", "block", "nodes", "states").join(ways, ["tree", "block"])
     return leaves, stored.keep(blocks)
 
@@ -277,11 +276,11 @@ FOLDED = (
 )
 
 
-def _fold_block(leaves: pa.Table, block: pa.Table) -> pa.Table:
+def _fold_block(leaves: pa.Table, block: pa.Table, span: int) -> pa.Table:
     block = block.to_pylist()[0]
     kept = _Block(block["nodes"], block["states"])
     at = leaves.column("at").to_numpy()
-    inside = at % SPAN
+    inside = at % span
     new = kept.fold(inside, from_bytes(b"".join(leaves.column("new").to_pylist())))
     proofs, n = "", len(at)
     for slot, children, state, others in _path_steps(block["path"]):
@@ -312,26 +311,26 @@ def _fold_block(leaves: pa.Table, block: pa.Table) -> pa.Table:
     )
 
 
-def fold_manifest(leaves: DataFrame, blocks: DataFrame) -> DataFrame:
+def fold_manifest(leaves: DataFrame, blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The root that each leaf's `new` digest alone would give, with its proof: hashes of the siblings on its way.
 
     Each step takes the state its parent kept before the child's slot and goes on with the new digest
     and the siblings to its right; those to its left are in the state. `verified`: the root comes out again.
     """
-    keyed = leaves.select("doc_id", "tree", "at", "leaf", "new", F.expr(f"at div {SPAN}").alias("block"))
+    keyed = leaves.select("doc_id", "tree", "at", "leaf", "new", F.expr(f"at div {FAN**levels}").alias("block"))
     return (
         keyed.groupBy("tree", "block")
         .cogroup(blocks.groupBy("tree", "block"))
-        .applyInArrow(_fold_block, FOLDED)
+        .applyInArrow(lambda leaves, block: _fold_block(leaves, block, FAN**levels), FOLDED)
     )
 
 
-def verify_documents(docs: DataFrame, replaced: Column) -> DataFrame:
+def verify_documents(docs: DataFrame, replaced: Column, levels: int = LEVELS) -> DataFrame:
     """A row a document: its leaf, its source's root, the root, its proof and the root folded from the text `replaced`.
 
     See `build_manifest` and `fold_manifest`. Documents whose `replaced` is null are folded from their own leaf.
     """
-    return fold_manifest(*build_manifest(docs, replaced)).drop("tree", "at")
+    return fold_manifest(*build_manifest(docs, replaced, levels), levels).drop("tree", "at")
 
 
 def without_newlines(docs: DataFrame) -> Column:
