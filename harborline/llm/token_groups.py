@@ -20,9 +20,9 @@ PERCENT = 75
 MINHASHES = 3  # ways of putting documents into groups at first
 GROUP_ROWS = 64  # members of a group in the matrix
 QUERY_ROWS = 512  # queries that meet a group in one task
-FREQUENT = 1 << 16  # tokens whose counts are broadcast, to put them last
-FROM_BLOCK = 1024  # tokens that a block of texts may name for that
-LEAST_IN_BLOCK = 4  # documents of a block that such a token is in
+HEAVY = 16  # documents with a token among their first ones from which on it is put last
+FREQUENT = 1 << 20  # such tokens, the most frequent ones, whose counts are broadcast
+ROUNDS = 4  # of looking for them
 BLOCK_BYTES = 1 << 20
 SALTS = tuple(int(x) for x in mix(np.arange(101, 101 + MINHASHES, dtype=np.uint64)))
 
@@ -63,13 +63,13 @@ def least(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-FIRST = f"token long, seen long, doc_id long, n long, class long, {KEY[0]} long, {KEY[1]} long, " + ", ".join(
+FIRST = f"doc_id long, n long, class long, {KEY[0]} long, {KEY[1]} long, prefix array<long>, " + ", ".join(
     f"g{i} long" for i in range(MINHASHES)
 )
 
 
-def _first_pass(block: pa.RecordBatch, ngram: int) -> Iterator[pa.RecordBatch]:
-    """A row a document: class, size and groups; and rows for the tokens that many of its neighbours share."""
+def _first_pass(block: pa.RecordBatch, ngram: int, percent: int) -> pa.RecordBatch:
+    """A row a document: class, size, groups, and its first tokens in an order by code alone."""
     codes, first = shingle_sets(block, ngram)
     n = block.num_rows
     size = np.diff(first)
@@ -80,45 +80,43 @@ def _first_pass(block: pa.RecordBatch, ngram: int) -> Iterator[pa.RecordBatch]:
         if len(some):
             low[some] = np.minimum.reduceat(mix(codes ^ np.uint64(salt)), first[:-1][some])
         groups.append(pa.array(low.view(np.int64)))
-    nothing = pa.nulls(n, pa.int64())
-    yield pa.record_batch(
+    return pa.record_batch(
         [
-            nothing, nothing, block.column("doc_id"), pa.array(size, pa.int64()),
-            pa.array(_classes(codes, first).view(np.int64)), block.column(KEY[0]), block.column(KEY[1]), *groups,
+            block.column("doc_id"), pa.array(size, pa.int64()), pa.array(_classes(codes, first).view(np.int64)),
+            block.column(KEY[0]), block.column(KEY[1]), _prefixes(codes, first, percent, codes[:0], NO_COUNTS), *groups,
         ],
         names=[c.split()[0] for c in FIRST.split(", ")],
     )
-    token, seen = np.unique(codes, return_counts=True)
-    often = seen >= LEAST_IN_BLOCK
-    token, seen = token[often], seen[often]
-    best = np.argsort(-seen, kind="stable")[:FROM_BLOCK]
-    if len(best):
-        nothing = pa.nulls(len(best), pa.int64())
-        yield pa.record_batch(
-            [pa.array(token[best].view(np.int64)), pa.array(seen[best], pa.int64()), *[nothing] * (5 + MINHASHES)],
-            names=[c.split()[0] for c in FIRST.split(", ")],
-        )
 
 
-def _prefix_rows(block: pa.RecordBatch, ngram: int, percent: int, token: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """The first tokens of each set, rare ones first: as many as two linked sets cannot both avoid."""
-    codes, first = shingle_sets(block, ngram)
+NO_COUNTS = np.zeros(0, np.int64)
+
+
+def _prefixes(codes: np.ndarray, first: np.ndarray, percent: int, token: np.ndarray, seen: np.ndarray) -> pa.Array:
+    """The first tokens of each set, heavy ones last: as many as two linked sets cannot both avoid."""
     place = codes >> np.uint64(1)
     if len(token):
         at = np.minimum(np.searchsorted(token, codes), len(token) - 1)
-        frequent = token[at] == codes
-        count = np.minimum(seen[at[frequent]], (1 << 29) - 1).astype(np.uint64)
-        place[frequent] = np.uint64(1 << 63) | (count << np.uint64(34)) | (codes[frequent] >> np.uint64(30))
+        heavy = token[at] == codes
+        count = np.minimum(seen[at[heavy]], (1 << 29) - 1).astype(np.uint64)
+        place[heavy] = np.uint64(1 << 63) | (count << np.uint64(34)) | (codes[heavy] >> np.uint64(30))
     size = np.diff(first)
     doc = np.repeat(np.arange(len(size)), size)
     order = np.argsort(place)
     order = order[np.argsort(doc[order].astype(np.uint16 if len(size) < 65536 else np.int64), kind="stable")]
     rank = np.arange(len(codes)) - first[:-1][doc]
-    keep = rank < (size - least(size, percent) + 1)[doc]
+    taken = np.where(size > 0, size - least(size, percent) + 1, 0)
+    keep = rank < taken[doc]
+    ends = np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[order][keep].view(np.int64)))
+
+
+def _prefix_rows(block: pa.RecordBatch, ngram: int, percent: int, token: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    codes, first = shingle_sets(block, ngram)
     return pa.record_batch(
         {
-            "token": pa.array(codes[order][keep].view(np.int64)),
-            "class": pa.array(_classes(codes, first)[doc[keep]].view(np.int64)),
+            "class": pa.array(_classes(codes, first).view(np.int64)),
+            "prefix": _prefixes(codes, first, percent, token, seen),
         }
     )
 
@@ -198,14 +196,52 @@ def _open_group(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _light_prefixes(
+    rows: DataFrame, lists: DataFrame, stored: Stored, ngram: int, percent: int
+) -> tuple[DataFrame, ...]:
+    """(class, prefix) of all documents with heavy tokens last, those of their tokens (hit) that two classes have, and
+    the written tables of both.
+
+    Tokens are counted in all prefixes. Those that more than `HEAVY` documents have move to the end of
+    the order, by their counts, and the prefixes are made again, until no token is newly heavy: what stays heavy in a prefix has too
+    few light ones beside it. A token that is not in a prefix can move without changing it, so counts over prefixes will
+    do. Any one order gives the same links; this one only keeps few documents together at a token.
+    """
+    spark = rows.sparkSession
+    token, seen = np.zeros(0, np.uint64), NO_COUNTS
+    for turn in range(ROUNDS):
+        prefix = lists.select(F.explode("prefix").alias("token"), "class")
+        counted = prefix.groupBy("token").agg(
+            F.count("*").alias("seen"), F.min("class").alias("low"), F.max("class").alias("high")
+        )
+        hits = stored.keep(counted.where("low != high").select(F.col("token").alias("hit"), "seen"))
+        found = hits.where(F.col("seen") > HEAVY).orderBy(F.desc("seen"), "hit").limit(FREQUENT).toArrow()
+        codes, counts = found.column("hit").to_numpy().view(np.uint64), found.column("seen").to_numpy()
+        new = ~np.isin(codes, token)
+        if turn == ROUNDS - 1 or not new.any() or len(token) == FREQUENT:
+            return lists, hits.select("hit"), hits, *([lists] if turn else [])
+        token, seen = np.concatenate([token, codes[new]]), np.concatenate([seen, counts[new]])
+        most = np.argsort(-seen, kind="stable")[:FREQUENT]
+        order = most[np.argsort(token[most])]
+        token, seen = token[order], seen[order]
+        shared = spark.sparkContext.broadcast((token, seen))
+
+        def prefixes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for block in gathered(batches, BLOCK_BYTES):
+                yield _prefix_rows(block, ngram, percent, *shared.value)
+
+        stored.drop(hits, *([lists] if turn else []))
+        lists = stored.keep(rows.select("text").mapInArrow(prefixes, "class long, prefix array<long>"))
+
+
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable), its group and its key.
 
     A document's set is its distinct word shingles; two link if they share `percent` % of their union.
     Documents with equal sets are one class. Any two linked sets share a token among the first
-    n - ceil(percent % of n) + 1 of each in one order of all tokens, here frequent ones last; only these
-    tokens are shuffled, and only classes that share one go on. Which tokens are frequent is
-    counted over all texts, and matters for speed alone.
+    n - ceil(percent % of n) + 1 of each in one order of all tokens, here heavy ones last; only these
+    tokens are shuffled, and only classes that share one go on. Which tokens are heavy is
+    counted over all prefixes (see `_light_prefixes`), and matters for speed alone.
 
     Classes with equal min-hashes are put together and compared with one of them each; what links is a
     first partition into groups of similar documents. Then the matrix: the prefix tokens of each group (at most
@@ -228,25 +264,14 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in gathered(batches, BLOCK_BYTES):
-            yield from _first_pass(block, ngram)
+            yield _first_pass(block, ngram, percent)
 
     first = stored.keep(rows.mapInArrow(first_pass, FIRST))
-    named = first.where("token is null").drop("token", "seen")
-    frequent = first.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-    frequent = frequent.orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
-    token, seen = (frequent.column(c).to_numpy() for c in ("token", "seen"))
-    order = np.argsort(token.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((token.view(np.uint64)[order], seen[order]))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in gathered(batches, BLOCK_BYTES):
-            yield _prefix_rows(block, ngram, percent, *shared.value)
-
-    prefix = rows.select("text").mapInArrow(prefixes, "token long, class long")
-    spread = prefix.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    hits = stored.keep(spread.where("low != high").select(F.col("token").alias("hit")))
-    prefix = stored.keep(prefix.join(hits, F.col("token") == F.col("hit")).drop("hit").distinct())
-    stored.drop(hits)
+    named = first.drop("prefix")
+    lists, hits, *written = _light_prefixes(rows, first.select("class", "prefix"), stored, ngram, percent)
+    prefix = lists.select(F.explode("prefix").alias("token"), "class").join(hits, F.col("token") == F.col("hit"))
+    prefix = stored.keep(prefix.drop("hit").distinct())
+    stored.drop(*written)
 
     # The classes that share a token, and one document of each.
     active = prefix.select(F.col("class").alias("active")).distinct()
