@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.components import components
@@ -22,7 +22,7 @@ GROUP_ROWS = 64  # members of a group in the matrix
 QUERY_ROWS = 512  # queries that meet a group in one task
 HEAVY = 16  # documents with a token among their first ones from which on it is put last
 FREQUENT = 1 << 20  # such tokens, the most frequent ones, whose counts are broadcast
-ROUNDS = 4  # of looking for them
+ROUNDS = 3  # of looking for them
 BLOCK_BYTES = 1 << 20
 SALTS = tuple(int(x) for x in mix(np.arange(101, 101 + MINHASHES, dtype=np.uint64)))
 
@@ -147,6 +147,29 @@ def _star(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.record_batch({"a": batch.column("class"), "b": batch.column("pivot")}).filter(pa.array(good, pa.bool_()))
 
 
+def _is_core(percent: int) -> Column:
+    """Whether a token can be the first one that its set shares with a linked set of at least its own size."""
+    return F.expr(f"n - pos >= ({2 * percent} * n + {99 + percent}) div {100 + percent}")
+
+
+def _near(asks: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Queries that may have their first shared token with a member of the group here.
+
+    From that token on, what is left of either set must hold their overlap, `percent`/(100 + `percent`) of both sizes; the
+    smallest member with the token that can link by size needs least. In the smaller one of
+    two linked sets that token is a core one, so tokens that are core on neither side are not joined at all: texts
+    that have a passage in common and differ in the rest do not meet at the passage.
+    """
+    smallest = f"greatest(low_n, ({percent} * n + 99) div 100)"
+    needed = f"({percent} * (n + {smallest}) + {99 + percent}) div {100 + percent}"
+    return (
+        asks.join(matrix, "token")
+        .where("group != to and (size < to_size or (size = to_size and group < to))")
+        .where(f"{smallest} <= least(high_n, (100 * n) div {percent}) and n - pos >= {needed} and left >= {needed}")
+        .select("class", "n", "to", "to_part", "least_n", "most_n")
+    )
+
+
 def _qualifying(queries: DataFrame, percent: int) -> DataFrame:
     """Queries that may share enough with a member of the group, by the count of shared prefix tokens.
 
@@ -245,8 +268,8 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
 
     Classes with equal min-hashes are put together and compared with one of them each; what links is a
     first partition into groups of similar documents. Then the matrix: the prefix tokens of each group (at most
-    `GROUP_ROWS` members; larger ones in parts) against queries from other, smaller groups. The
-    number of shared ones bounds the overlap (see `_qualifying`). Of the groups left the whole token
+    `GROUP_ROWS` members; larger ones in parts) against queries from other, smaller groups. Where the first shared
+    one stands (see `_near`) and the number of shared ones (see `_qualifying`) bound the overlap. Of the groups left the whole token
     union is made: a query that shares less than `percent` % of its own tokens with all members
     together is dropped. Qualifying groups are opened and their sets compared. All pairs of
     different groups that can link are met in one of the two directions, so no link between groups is lost;
@@ -269,7 +292,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     first = stored.keep(rows.mapInArrow(first_pass, FIRST))
     named = first.drop("prefix")
     lists, hits, *written = _light_prefixes(rows, first.select("class", "prefix"), stored, ngram, percent)
-    prefix = lists.select(F.explode("prefix").alias("token"), "class").join(hits, F.col("token") == F.col("hit"))
+    prefix = lists.select(F.posexplode("prefix").alias("pos", "token"), "class").join(hits, F.col("token") == F.col("hit"))
     prefix = stored.keep(prefix.drop("hit").distinct())
     stored.drop(*written)
 
@@ -326,16 +349,23 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     )
     between = stored.keep(between.where("low != high").select("token", "largest"))
     marked = stored.keep(marked.join(between, "token"))
-    matrix = marked.select(
-        "token", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part"),
-        "least_n", "most_n",
-    ).distinct()
+    matrix = marked.groupBy(
+        "token", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part"), "least_n", "most_n"
+    ).agg(
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max(F.expr("n - pos")).alias("left"),
+        F.bool_or(_is_core(percent)).alias("has_core"),
+    )
     # Smaller groups ask larger ones, so members of a token's largest group ask nobody.
-    asks = marked.where("group != largest.group").select("token", "class", "group", "size", "n")
-    queries = asks.join(matrix, "token").where("group != to and (size < to_size or (size = to_size and group < to))")
+    asks = marked.where("group != largest.group").select("token", "pos", "class", "group", "size", "n")
+    core = _is_core(percent)
+    near = _near(asks.where(core), matrix, percent).unionAll(_near(asks.where(~core), matrix.where("has_core"), percent))
+    near = stored.keep(near.distinct())
+    queries = near.join(asks.select("class", "token"), "class").join(
+        matrix.select("token", "to", "to_part"), ["token", "to", "to_part"]
+    )
     queries = queries.groupBy("class", "n", "to", "to_part", "least_n", "most_n").agg(F.count("*").alias("shared"))
     queries = stored.keep(_qualifying(queries, percent).select("class", "to", "to_part"))
-    stored.drop(prefix, marked, between)
+    stored.drop(prefix, marked, between, near)
     asked_members = groups.join(
         queries.select(F.col("to").alias("group"), F.col("to_part").alias("part")).distinct(), ["group", "part"]
     )
