@@ -9,7 +9,10 @@ from checks.fixtures import derive, duck, shared
 from checks.registry import query
 from harborline.session import shared_dir
 from harborline.sources.tables import as_event_time, decode_messages, task_stream
+from harborline.sources.tasklog import task_log
 from harborline.streaming import streams
+from harborline.streaming.keyed import keyed_ledger
+from harborline.streaming.waiting import await_tasks
 
 
 def _events(spark, d):
@@ -93,15 +96,72 @@ def _(spark, d):
     return streams.read_live_state(spark, f"{where}/rows")
 
 
+CLOSED = duck(
+    """SELECT * FROM (SELECT project_id, instance_id, plan_id, seq, ts AS started_at,
+    lead(ts) OVER (PARTITION BY instance_id ORDER BY ts, seq) AS finished_at FROM usage_changes)
+    WHERE finished_at IS NOT NULL""",
+    "usage_changes",
+)
+
+
+@query("keyed_ledger", CLOSED)
+def _(spark, d):
+    changes = as_event_time(derive(_events(spark, d), "usage_changes"), "ts")
+    closed = _appended(spark, "keyed-ledger", keyed_ledger(changes)).where("not late").drop("late")
+    return _ntz(closed, "started_at", "finished_at")
+
+
 @query(
-    "live_ledger",
+    "await_tasks",
     duck(
-        """SELECT * FROM (SELECT project_id, instance_id, plan_id, seq, ts AS started_at,
-        lead(ts) OVER (PARTITION BY instance_id ORDER BY ts, seq) AS finished_at FROM usage_changes)
-        WHERE finished_at IS NOT NULL""",
-        "usage_changes",
+        """, m AS (SELECT CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.id') AS BIGINT) END AS id
+        FROM message_base)
+        SELECT m.id, t.action, t.id IS NULL AS rejected FROM m LEFT JOIN tasks t ON t.id = m.id WHERE m.id IS NOT NULL""",
+        "message_base", "tasks",
+    ),
+)
+def _(spark, d):
+    """Every third task is written a batch after its message; last rows far ahead end all waiting."""
+    where = shared_dir(spark, "await-tasks")
+    decoded = decode_messages(shared(spark, d, "message_base")).where("not is_malformed")
+    asked = as_event_time(decoded.select("id", "ts"), "ts")
+    known = as_event_time(shared(spark, d, "tasks").select("id", "created_at", "action"), "created_at")
+    for days in (1000, 3000):
+        far = known.agg(F.max("created_at").alias("at")).selectExpr("-1L AS id", f"at + INTERVAL {days} DAYS AS created_at")
+        asked = asked.unionByName(far.withColumnRenamed("created_at", "ts"))
+        known = known.unionByName(far.withColumn("action", F.lit("none")))
+
+    def arriving(rows, name, ts, batches):
+        last = known.agg(F.max("created_at")).first()[0]
+        batch = F.when(F.col("id") >= 0, batches).otherwise(F.when(F.col(ts) < F.lit(last), 2).otherwise(3))
+        for i in range(4):
+            rows.where(batch == i).coalesce(1).write.mode("append").parquet(f"{where}/{name}")
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/{name}")
+
+    messages = arriving(asked, "messages", "ts", F.lit(0))
+    tasks = arriving(known, "tasks", "created_at", F.when(F.col("id") % 3 == 0, 1).otherwise(0))
+    found = await_tasks(messages, tasks, "400 DAYS", "1 HOUR", "1 HOUR")
+    return _appended(spark, "await-tasks", found).where("id >= 0").select("id", "action", "rejected")
+
+
+@query(
+    "task_log",
+    duck(
+        """, m AS (SELECT CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.id') AS BIGINT) END AS id FROM messages)
+        SELECT id, count(*) AS deliveries FROM m GROUP BY id""",
+        "messages",
     ),
 )
+def _(spark, d):
+    where = shared_dir(spark, "task-log")
+    fx.messages(shared(spark, d, "message_base")).repartition(8).select("body").write.text(f"{where}/log")
+    found = decode_messages(task_log(spark, f"{where}/log", prefetch=10_000)).select("id", "segment", "place")
+    streams.run_until_idle(streams.append_rows(found, f"{where}/rows", f"{where}/checkpoint"))
+    once = spark.read.schema(found.schema).parquet(f"{where}/rows").distinct()
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@query("live_ledger", CLOSED)
 def _(spark, d):
     where = shared_dir(spark, "live-ledger")
     changes = as_event_time(derive(_events(spark, d), "usage_changes"), "ts")

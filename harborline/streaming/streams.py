@@ -243,6 +243,18 @@ def run_to_end(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
+def run_until_idle(writer: DataStreamWriter) -> None:
+    """Process batch after batch until nothing is left, then stop: for sources that bound a batch themselves.
+
+    `run_to_end` asks such a source for its end once, before the first batch, and stops at its first bound.
+    """
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def append_rows(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return (
         df.writeStream.format("parquet")
