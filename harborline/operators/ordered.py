@@ -31,6 +31,9 @@ MAX_HOT_KEYS = MAX_PIECES // 2
 # than the share that makes a key hot, so every hot key is found.
 SKETCH_ITEMS = 4 * MAX_HOT_KEYS
 
+# Inputs read from no more than this are counted before they are sketched: counting needs no columns.
+COUNTED_BYTES = 1 << 30
+
 PIECE = "__piece"
 CUTS = "__cuts"
 HASH = "__hash"
@@ -88,6 +91,19 @@ def last_where(value: Column, condition: Column | None = None, exclusive: bool =
     )
 
 
+def _has_few_rows(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has at most `rows` rows, by an exact count; a large input is not counted.
+
+    The size of what is read only says whether counting is worth a job. No columns are needed, so
+    windows and unused sides of the plan fall away, and of plain files only the footers are read.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.length())]
+    if sum(int(str(size)) for size in sizes) > COUNTED_BYTES:
+        return False
+    return df.count() <= rows
+
+
 def hot_cuts(
     df: DataFrame,
     keys: Sequence[str],
@@ -101,6 +117,8 @@ def hot_cuts(
     they never change a result. There are at most MAX_PIECES of them, and they are checkpointed, so every
     branch of a plan and every retried task sees the same ones.
     """
+    if _has_few_rows(df, rows_per_piece or ROWS_PER_PIECE):
+        return None  # no key can have more
     hashed = df.select(F.xxhash64(*keys).alias(HASH), F.struct(*order).alias("__at"))
     sketch = f"approx_top_k_accumulate({HASH}, {SKETCH_ITEMS})"
     found = (
