@@ -9,6 +9,8 @@ from checks.batch import ASKED
 from checks.fixtures import duck, shared
 from checks.registry import query
 from harborline.operators import reports, saga, steps, timeline, usage, workflow
+from harborline.operators.overlaps import interval_clashes
+from harborline.operators.ranges import covering_ranges, range_changes
 from harborline.plans.actions import action_names
 from harborline.plans.catalogue import definition_rows, definitions
 
@@ -299,21 +301,27 @@ def _(spark, d):
     return usage.open_usages(_ledger(spark, d))
 
 
+BROKEN = f"""{LEDGER_SQL}, broken AS (SELECT * FROM ledger UNION ALL SELECT project_id, instance_id, plan_id,
+    seq + 1000000, started_at + INTERVAL 1 SECOND, CASE WHEN seq % 2 = 0 THEN started_at + INTERVAL 2 SECOND END
+    FROM ledger WHERE plan_id = 7)"""
+
+
 @query(
-    "ledger_violations",
+    "interval_clashes",
     duck(
-        f"""{LEDGER_SQL}, broken AS (SELECT * FROM ledger UNION ALL SELECT project_id, instance_id, plan_id,
-        seq + 1000000, started_at + INTERVAL 1 SECOND, CASE WHEN seq % 2 = 0 THEN started_at + INTERVAL 2 SECOND END
-        FROM ledger WHERE plan_id = 7),
-        v AS (SELECT *, max(coalesce(finished_at, TIMESTAMP '9999-12-31')) OVER (PARTITION BY instance_id
-        ORDER BY started_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM broken)
-        SELECT instance_id, count(*) FILTER (WHERE finished_at IS NULL) AS open_rows,
-        count(*) FILTER (WHERE reached > started_at) AS overlaps FROM v GROUP BY instance_id
-        HAVING count(*) FILTER (WHERE finished_at IS NULL) > 1 OR count(*) FILTER (WHERE reached > started_at) > 0""",
+        f"""{BROKEN} SELECT a.instance_id, a.seq AS first_seq, b.seq AS second_seq, a.started_at AS first_started_at,
+        a.finished_at AS first_finished_at, b.started_at AS second_started_at FROM broken a JOIN broken b
+        ON a.instance_id = b.instance_id AND (a.started_at, a.seq) < (b.started_at, b.seq)
+        AND coalesce(a.finished_at, TIMESTAMP '9999-12-31') > b.started_at""",
         "usage_changes",
     ),
 )
 def _(spark, d):
+    return interval_clashes(_broken_ledger(spark, d))
+
+
+def _broken_ledger(spark, d):
+    """The ledger with a wrong interval inside each one of plan 7, every other one of them open."""
     ledger = _ledger(spark, d)
     wrong = ledger.where("plan_id = 7").selectExpr(
         "project_id",
@@ -323,7 +331,23 @@ def _(spark, d):
         "started_at + INTERVAL 1 SECOND AS started_at",
         "CASE WHEN seq % 2 = 0 THEN started_at + INTERVAL 2 SECOND END AS finished_at",
     )
-    return usage.ledger_violations(ledger.unionByName(wrong))
+    return ledger.unionByName(wrong)
+
+
+@query(
+    "ledger_violations",
+    duck(
+        f"""{BROKEN},
+        v AS (SELECT *, max(coalesce(finished_at, TIMESTAMP '9999-12-31')) OVER (PARTITION BY instance_id
+        ORDER BY started_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM broken)
+        SELECT instance_id, count(*) FILTER (WHERE finished_at IS NULL) AS open_rows,
+        count(*) FILTER (WHERE reached > started_at) AS overlaps FROM v GROUP BY instance_id
+        HAVING count(*) FILTER (WHERE finished_at IS NULL) > 1 OR count(*) FILTER (WHERE reached > started_at) > 0""",
+        "usage_changes",
+    ),
+)
+def _(spark, d):
+    return usage.ledger_violations(_broken_ledger(spark, d))
 
 
 @query(
@@ -655,3 +679,45 @@ def _(spark, d):
 
     rows = fx.read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     return steps.map_batches_step(rows, measure, "event_id long, user_id long, type_length long, is_large boolean")
+
+
+# ---- whitelists as ranges ------------------------------------------------------------
+
+
+@query(
+    "covering_ranges",
+    duck(
+        """, b AS (SELECT DISTINCT cloud, f - f % size AS first, f - f % size + size AS stop FROM (
+        SELECT cloud, (10 * 256 + id % 251) * 65536 + (supplier_id % 251) * 256 + plan_id % 251 AS f,
+        CAST(pow(2, 2 + id % 9) AS BIGINT) AS size FROM nodes)),
+        r AS (SELECT *, CASE WHEN first <= max(stop) OVER (PARTITION BY cloud ORDER BY first, stop ROWS BETWEEN
+        UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM b),
+        n AS (SELECT *, sum(starts) OVER (PARTITION BY cloud ORDER BY first, stop) AS no FROM r),
+        g AS (SELECT cloud, min(first) AS x, max(stop) - 1 AS y FROM n GROUP BY cloud, no)
+        SELECT cloud, 4 AS version, concat_ws('.', x // 16777216, x // 65536 % 256, x // 256 % 256, x % 256) AS first_address,
+        concat_ws('.', y // 16777216, y // 65536 % 256, y // 256 % 256, y % 256) AS last_address FROM g""",
+        "nodes",
+    ),
+)
+def _(spark, d):
+    nodes = fx.nodes(spark, d).selectExpr("cloud", "concat(ip4, '/', 30 - id % 9) AS cidr")
+    return covering_ranges(nodes, ["cloud"], "cidr")
+
+
+@query(
+    "range_changes",
+    duck(
+        """, c AS (SELECT instance_id, 'added' AS change, pos FROM (SELECT instance_id, pos FROM new_whitelists
+        EXCEPT SELECT instance_id, pos FROM whitelists)
+        UNION ALL SELECT instance_id, 'removed', pos FROM (SELECT instance_id, pos FROM whitelists
+        EXCEPT SELECT instance_id, pos FROM new_whitelists))
+        SELECT instance_id, change, 4 AS version, concat('192.168.', instance_id % 251, '.', min(pos)) AS first_address,
+        concat('192.168.', instance_id % 251, '.', max(pos)) AS last_address FROM c GROUP BY instance_id, change""",
+        "whitelists", "new_whitelists",
+    ),
+)
+def _(spark, d):
+    instances = shared(spark, d, "instances").select("id")
+    old, new = fx.with_instance_whitelist(instances), fx.with_instance_whitelist(instances, shift=1)
+    entries = [x.select(F.col("id").alias("instance_id"), F.explode("whitelist").alias("cidr")) for x in (old, new)]
+    return range_changes(*entries, ["instance_id"], "cidr")

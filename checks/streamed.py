@@ -8,6 +8,8 @@ from checks import fixtures as fx
 from checks.fixtures import derive, duck, shared
 from checks.registry import query
 from harborline.session import shared_dir
+from harborline.sources.manifests import manifest_writer, read_manifested
+from harborline.sources.sinks import state_notifications
 from harborline.sources.tables import as_event_time, decode_messages, task_stream
 from harborline.sources.tasklog import task_log
 from harborline.streaming import streams
@@ -230,3 +232,24 @@ def _(spark, d):
     streams.run_to_end(writer)
     found = spark.read.parquet(f"{where}/out/late").select("source", "seq", "ts")
     return _ntz(found, "ts")
+
+
+@query(
+    "manifest_sink",
+    duck(
+        """SELECT concat('private-instance-', instance_id) AS channel,
+        CASE state WHEN 1 THEN 'running' ELSE 'disabled' END AS state, count(*) AS told
+        FROM state_changes WHERE state IN (1, 5) GROUP BY ALL""",
+        "state_changes",
+    ),
+)
+def _(spark, d):
+    """Notifications of all state changes as lines of batches that count once."""
+    where = shared_dir(spark, "notifications")
+    changes = derive(_events(spark, d), "state_changes").selectExpr("instance_id AS id", "state")
+    told = state_notifications(changes).select(F.to_json(F.struct("channel", "payload")).alias("json"))
+    streams.run_to_end(manifest_writer(told, f"{where}/rows", f"{where}/checkpoint"))
+    line = F.from_json("value", "channel string, payload string")
+    rows = read_manifested(spark, f"{where}/rows").select(line.alias("line"))
+    state = F.get_json_object("line.payload", "$.state")
+    return rows.select("line.channel", state.alias("state")).groupBy("channel", "state").agg(F.count("*").alias("told"))
