@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.batch import ASKED
 from checks.fixtures import duck, shared
 from checks.registry import query
-from harborline.operators import reports, saga, steps, timeline, usage, workflow
+from harborline.operators import changes, kept, reports, saga, steps, timeline, usage, workflow
+from harborline.operators.dependencies import step_closure, step_levels
 from harborline.operators.overlaps import interval_clashes
 from harborline.operators.ranges import covering_ranges, range_changes
 from harborline.plans.actions import action_names
 from harborline.plans.catalogue import definition_rows, definitions
+from harborline.sources.bucketed import KeyedTable
 
 ACTIONS_SQL = ", ".join(f"'{name}'" for name in action_names())
 
@@ -721,3 +725,118 @@ def _(spark, d):
     old, new = fx.with_instance_whitelist(instances), fx.with_instance_whitelist(instances, shift=1)
     entries = [x.select(F.col("id").alias("instance_id"), F.explode("whitelist").alias("cidr")) for x in (old, new)]
     return range_changes(*entries, ["instance_id"], "cidr")
+
+
+# ---- what step edges imply ------------------------------------------------------------
+
+EDGES_SQL = f"""{steps_sql(TASK_ACTION)}, w AS (SELECT task_id, idx, unnest(wants) AS key FROM steps),
+    p AS (SELECT task_id, idx, unnest(provides) AS key FROM steps),
+    e AS (SELECT DISTINCT task_id, from_idx, to_idx FROM (SELECT w.task_id, w.key, max(p.idx) AS from_idx, w.idx AS to_idx
+    FROM w JOIN p ON p.task_id = w.task_id AND p.key = w.key AND p.idx < w.idx GROUP BY w.task_id, w.key, w.idx))"""
+PATHS_SQL = """WITH RECURSIVE r(task_id, from_idx, to_idx, length) AS (SELECT task_id, from_idx, to_idx, 1 FROM e
+    UNION SELECT r.task_id, r.from_idx, e.to_idx, r.length + 1 FROM r
+    JOIN e ON e.task_id = r.task_id AND e.from_idx = r.to_idx)"""
+
+
+@query(
+    "step_closure",
+    duck(
+        f"""{EDGES_SQL} SELECT * FROM ({PATHS_SQL} SELECT task_id, from_idx, to_idx,
+        CAST(max(length) AS BIGINT) AS length FROM r GROUP BY task_id, from_idx, to_idx)""",
+        "tasks",
+    ),
+)
+def _(spark, d):
+    closed = _per_task(spark, d, lambda steps_, by: step_closure(workflow.step_edges(steps_, by), by))
+    return closed.select("task_id", "from_idx", "to_idx", "length")
+
+
+@query(
+    "step_levels",
+    duck(
+        f"""{EDGES_SQL} SELECT * FROM ({PATHS_SQL}, l AS (SELECT s.task_id, s.idx,
+        coalesce(b.n, 0) AS level, coalesce(a.n, 0) AS after FROM steps s
+        LEFT JOIN (SELECT task_id, to_idx AS idx, max(length) AS n FROM r GROUP BY ALL) b USING (task_id, idx)
+        LEFT JOIN (SELECT task_id, from_idx AS idx, max(length) AS n FROM r GROUP BY ALL) a USING (task_id, idx))
+        SELECT task_id, idx, CAST(level AS BIGINT) AS level, CAST(after AS BIGINT) AS after,
+        level + after = max(level) OVER (PARTITION BY task_id) AS critical FROM l)""",
+        "tasks",
+    ),
+)
+def _(spark, d):
+    levels = _per_task(spark, d, lambda steps_, by: step_levels(steps_, workflow.step_edges(steps_, by), by))
+    return levels.select("task_id", "idx", "level", "after", "critical")
+
+
+# ---- reports that are kept ------------------------------------------------------------
+
+
+@query(
+    "capacity_after_changes",
+    duck(
+        """, m AS (SELECT instance_id, plan_id, CASE WHEN state = 2 THEN 'moved' ELSE cloud END AS cloud,
+        concat('s', supplier_id) AS region FROM nodes WHERE state <> 3
+        UNION ALL SELECT instance_id, plan_id, 'new', concat('s', supplier_id) FROM nodes WHERE role = 'master')
+        SELECT n.cloud, n.region, i.kind, CAST(grouping(n.cloud, n.region, i.kind) AS INTEGER) AS level,
+        count(*) AS nodes, CAST(sum(p.vcpu) AS BIGINT) AS vcpu, CAST(sum(p.memory) AS BIGINT) AS memory
+        FROM m n JOIN plans p ON p.id = n.plan_id JOIN instances i ON i.id = n.instance_id
+        GROUP BY ROLLUP (n.cloud, n.region, i.kind)""",
+        "nodes", "plans", "instances",
+    ),
+)
+def _(spark, d):
+    # Nodes in state 3 go, those in state 2 move to another cloud (said twice), and each master gets a twin.
+    nodes = fx.nodes(spark, d).selectExpr(
+        "id", "instance_id", "plan_id", "cloud", "concat('s', supplier_id) AS region", "state", "role"
+    )
+    base = nodes.drop("state", "role")
+
+    def change(rows, seq, deleted=False, **new):
+        return rows.select(*base.columns).withColumns(new).withColumns({"deleted": F.lit(deleted), "seq": F.lit(seq)})
+
+    batch = change(nodes.where("state = 3"), 1, True)
+    batch = batch.unionByName(change(nodes.where("state = 2"), 1, cloud=F.lit("lost")))
+    batch = batch.unionByName(change(nodes.where("state = 2"), 2, cloud=F.lit("moved")))
+    batch = batch.unionByName(change(nodes.where("role = 'master'"), 1, id=-F.col("id"), cloud=F.lit("new")))
+    instances, plans = shared(spark, d, "instances"), shared(spark, d, "plans")
+    parts = reports.capacity_parts(base, instances, plans)
+    return reports.capacity_subtotals(
+        kept.fold_capacity(parts, kept.node_deltas(base, batch, ["seq"]), instances, plans)
+    )
+
+
+@query(
+    "plan_popularity_sketched",
+    duck(
+        """SELECT p.kind AS plan_kind, count(DISTINCT i.id) AS instances, count(DISTINCT i.project_id) AS projects,
+        true AS is_near FROM instances i JOIN plans p ON p.id = i.plan_id GROUP BY p.kind""",
+        "instances", "plans",
+    ),
+)  # the exact counts, and whether the estimates from daily sketches are within 4 %
+def _(spark, d):
+    instances, plans = shared(spark, d, "instances"), shared(spark, d, "plans")
+    guessed = kept.sketched_popularity(kept.popularity_sketches(instances, plans))
+    guessed = guessed.withColumnsRenamed({"instances": "__i", "projects": "__p"})
+    off = [F.abs(F.col(a) - F.col(b)) <= 0.04 * F.col(b) for a, b in (("__i", "instances"), ("__p", "projects"))]
+    exact = reports.plan_popularity(instances, plans).join(guessed, "plan_kind")
+    return exact.select("plan_kind", "instances", "projects", (off[0] & off[1]).alias("is_near"))
+
+
+@query(
+    "bucketed_changes",
+    duck(
+        """SELECT id, CASE WHEN state = 5 THEN 2 ELSE state END AS state FROM instances WHERE state <> 0
+        UNION ALL SELECT id, 9 FROM instances WHERE state = 0 AND id % 5 <> 0""",
+        "instances",
+    ),
+)
+def _(spark, d):
+    instances = shared(spark, d, "instances").select("id", "state")
+    table = KeyedTable(spark, f"instances_{uuid.uuid4().hex}", "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table.replace(instances)
+    new = instances.where("state = 5").select("id", F.lit(2).alias("state"))
+    gone = instances.where("state = 0").select("id")
+    offered = shared(spark, d, "acc_keys").select(F.col("instance_id").alias("id"), F.lit(9).alias("state"))
+    table.apply(lambda base: changes.update_by_key(base, new, "id", ["state"]))
+    table.apply(lambda base: changes.delete_by_key(base, gone, "id"))
+    return table.apply(lambda base: changes.insert_if_absent(base, offered, "id"))

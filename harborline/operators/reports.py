@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.operators.ordered import running, running_count
@@ -17,25 +17,37 @@ def target_count(targets: DataFrame) -> DataFrame:
 
 def fleet_capacity(nodes: DataFrame, instances: DataFrame, plans: DataFrame) -> DataFrame:
     """Nodes, CPUs and memory by cloud, region and kind, with subtotals."""
+    # Sum once per finest group, so that the subtotals expand few rows and not all.
+    return capacity_subtotals(capacity_parts(nodes, instances, plans))
+
+
+def capacity_parts(nodes: DataFrame, instances: DataFrame, plans: DataFrame, sign: Column | None = None) -> DataFrame:
+    """Sums by cloud, region and kind alone; a node counts `sign` times."""
     kinds = instances.select(F.col("id").alias("instance_id"), "kind")
     sizes = plans.select(F.col("id").alias("plan_id"), "vcpu", "memory")
+    times = F.lit(1) if sign is None else sign
+    rows = nodes.select("instance_id", "plan_id", "cloud", "region", times.cast("long").alias("times"))
     return (
-        nodes.select("instance_id", "plan_id", "cloud", "region")
-        .join(sizes, "plan_id")
+        rows.join(sizes, "plan_id")
         .join(kinds, "instance_id")
-        # Sum once per finest group, so that the subtotals expand few rows and not all.
         .groupBy("cloud", "region", "kind")
-        .agg(F.count(F.lit(1)).alias("nodes"), F.sum("vcpu").alias("vcpu"), F.sum("memory").alias("memory"))
-        .rollup("cloud", "region", "kind")
         .agg(
-            F.grouping_id().cast("int").alias("level"),
-            F.sum("nodes").alias("nodes"),
-            F.sum("vcpu").alias("vcpu"),
-            F.sum("memory").alias("memory"),
+            F.sum("times").alias("nodes"),
+            F.sum(F.col("vcpu") * F.col("times")).alias("vcpu"),
+            F.sum(F.col("memory") * F.col("times")).alias("memory"),
         )
     )
 
 
+def capacity_subtotals(parts: DataFrame) -> DataFrame:
+    return parts.rollup("cloud", "region", "kind").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.sum("nodes").alias("nodes"),
+        F.sum("vcpu").alias("vcpu"),
+        F.sum("memory").alias("memory"),
+    )
+
+
 def task_outcomes(tasks: DataFrame) -> DataFrame:
     """Tasks by action and how they ended; the rate is of the finished ones."""
     state = F.col("state")

@@ -25,6 +25,9 @@ RUNTIME_CONF = {
     # Session windows merge inside each map task first, so that a hot key reaches
     # its reducer as a few sessions and not as all of its rows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Tables in buckets are always read by bucket, so that what is added to one in the same
+    # buckets can be written back without a shuffle.
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     # Rows that Python gets at once: some megabytes of texts and not some tens.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Streaming state on disk with incremental uploads: it may outgrow executor memory.
