@@ -126,7 +126,39 @@ def op2_debruijn_dedup(spark, folder):
     return debruijn.remove_repeats(table(spark, folder, "documents")).drop("clean_text")
 
 
-@query("op6_suffix_levels")
+# Every 400-byte window by the MD5 of its hex text, cut from pieces of 1,024 starts; then islands of covered bytes and what is left.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT r, base, substr(h, 2 * base + 1, 2 * (1024 + 399)) AS p FROM (
+    SELECT r, h, unnest(range(0, len(h) // 2 - 399, 1024)) AS base FROM d WHERE len(h) >= 800)
+), places AS (
+  SELECT r, base + k AS i, md5(substr(p, 2 * k + 1, 800)) AS g FROM (
+    SELECT r, base, p, unnest(range(0, least(1024, len(p) // 2 - 399))) AS k FROM pieces)
+), starts AS (
+  SELECT r, i FROM places WHERE g IN (SELECT g FROM places GROUP BY g HAVING count(*) > 1)
+), marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM starts
+), numbered AS (
+  SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT r, min(i) AS b, max(i) + 400 AS e FROM numbered GROUP BY r, run
+), gone AS (
+  SELECT r, sum(e - b) AS n, count(*) AS spans, max(e) AS last FROM runs GROUP BY r
+), gaps AS (
+  SELECT r, b, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS a FROM runs
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS k FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(concat(coalesce(k, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op6_suffix_levels", OP6_SQL)
 def op6_suffix_levels(spark, folder):
     return suffix_levels.remove_repeats(table(spark, folder, "documents")).drop("clean")
 
