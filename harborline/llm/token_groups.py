@@ -360,10 +360,15 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     core = _is_core(percent)
     near = _near(asks.where(core), matrix, percent).unionAll(_near(asks.where(~core), matrix.where("has_core"), percent))
     near = stored.keep(near.distinct())
-    queries = near.join(asks.select("class", "token"), "class").join(
-        matrix.select("token", "to", "to_part"), ["token", "to", "to_part"]
-    )
-    queries = queries.groupBy("class", "n", "to", "to_part", "least_n", "most_n").agg(F.count("*").alias("shared"))
+    # One row a candidate, beside the tokens of both as arrays: those of the query, and the union of the part's members.
+    asking, asked_parts = near.select("class").distinct(), near.select("to", "to_part").distinct()
+    own = asks.select("class", "token").join(asking, "class", "left_semi")
+    own = own.groupBy("class").agg(F.collect_list("token").alias("own"))
+    union = marked.select("token", F.col("group").alias("to"), F.col("part").alias("to_part"))
+    union = union.join(asked_parts, ["to", "to_part"], "left_semi")
+    union = union.groupBy("to", "to_part").agg(F.collect_set("token").alias("union"))
+    queries = near.join(own, "class").join(union, ["to", "to_part"])
+    queries = queries.withColumn("shared", F.size(F.array_intersect("own", "union"))).drop("own", "union")
     queries = stored.keep(_qualifying(queries, percent).select("class", "to", "to_part"))
     stored.drop(prefix, marked, between, near)
     asked_members = groups.join(
