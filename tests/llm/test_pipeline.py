@@ -96,4 +96,4 @@ def test_empty_and_odd_input(spark, folder):
 
 def test_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
-    assert numbers == set(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert numbers == set(range(1, 14)) and set(ORACLE) <= set(QUERIES)
