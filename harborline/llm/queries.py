@@ -217,25 +217,65 @@ def op7_token_groups(spark, folder):
     )
 
 
-# Three captures of each page: a response, a revisit under another spelling, and one of either kind.
-OP3_SQL = """SELECT page_id * 3 + 1 AS record_id, page_id * 3 AS response_id, 'resolved' AS status,
-  concat('d1|e', page_id, '|html') AS headers FROM pages WHERE url IS NOT NULL
-UNION ALL SELECT page_id * 3 + 2, NULL, 'changed', NULL FROM pages WHERE url IS NOT NULL AND page_id % 5 = 0"""
+# Three captures of each page, in words that both engines read: a third of all under one URL in three spellings, a third
+# under their host's, the rest under their own. Times tie and are missing, as are kinds, validators and headers.
+OP3_CAPTURES = """
+SELECT page_id * 3 + k AS record_id,
+  CASE WHEN page_id % 3 = 0 AND k = 0 THEN 'http://www.example.com'
+    WHEN page_id % 3 = 0 AND k = 1 THEN 'HTTP://WWW.example.com:80/'
+    WHEN page_id % 3 = 0 THEN 'http://www.example.com/#top'
+    WHEN page_id % 3 = 1 THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || '/' ELSE url END AS url,
+  CASE WHEN (page_id * 3 + k) % 61 <> 0 THEN (page_id * 37 + k * 111) % 50021 END AS ts,
+  CASE WHEN (page_id + k) % 59 = 0 THEN NULL WHEN (page_id + 2 * k) % 5 < 2 THEN 'response' ELSE 'revisit' END AS kind,
+  CASE WHEN (page_id + k) % 7 < 5 THEN 'e' || CAST((page_id + k * (page_id % 4)) % 9 AS STRING) END AS etag,
+  CASE WHEN (page_id + k) % 4 > 0 THEN 'm' || CAST((page_id + k) % 2 AS STRING) END AS last_modified,
+  (page_id + k) % 11 > 0 AS has_headers, 'd' || CAST(page_id * 3 + k AS STRING) AS date,
+  't' || CAST(page_id % 8 AS STRING) AS kept, CASE WHEN page_id % 6 = 1 THEN 'v' || CAST(k AS STRING) END AS vary
+FROM captures"""
+
+# The same by an as-of join on time, after the last of the responses at one time.
+OP3_SQL = rf"""
+WITH captures AS (SELECT page_id, url, unnest(range(3)) AS k FROM pages),
+raw AS ({OP3_CAPTURES}),
+cut AS (
+  SELECT *, regexp_replace(url, '#.*$', '') AS bare,
+    lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', 0)) AS head FROM raw
+), records AS (
+  SELECT * REPLACE (regexp_replace(regexp_replace(head, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+    || CASE WHEN len(bare) = len(head) THEN '/' ELSE substr(bare, len(head) + 1) END AS url) FROM cut
+), known AS (
+  SELECT url, ts, max(record_id) AS record_id FROM records
+  WHERE kind = 'response' AND url IS NOT NULL AND ts IS NOT NULL GROUP BY url, ts
+), matched AS (
+  SELECT a.record_id, k.record_id AS response_id FROM records a ASOF LEFT JOIN known k ON a.url = k.url AND a.ts >= k.ts
+  WHERE a.kind = 'revisit'
+), judged AS (
+  SELECT a.*, b.record_id AS response_id, b.date AS old_date, b.etag AS old_etag, b.vary AS old_vary, b.kept AS old_kept,
+    b.has_headers AS old_headers, CASE WHEN b.record_id IS NULL THEN 'no_response'
+      WHEN coalesce(a.etag = b.etag, a.last_modified = b.last_modified, true) THEN 'resolved' ELSE 'changed' END AS status
+  FROM matched m JOIN records a ON m.record_id = a.record_id LEFT JOIN records b ON m.response_id = b.record_id
+)
+SELECT record_id, url, CASE WHEN status = 'resolved' THEN response_id END AS response_id, status,
+  CASE WHEN status = 'resolved' THEN concat_ws('|',
+    coalesce(CASE WHEN has_headers THEN date END, CASE WHEN old_headers THEN old_date END, '-'),
+    coalesce(CASE WHEN has_headers THEN etag END, CASE WHEN old_headers THEN old_etag END, '-'),
+    coalesce(CASE WHEN has_headers THEN vary END, CASE WHEN old_headers THEN old_vary END, '-'),
+    coalesce(CASE WHEN old_headers THEN old_kept END, '-')) END AS headers
+FROM judged
+"""
 
 
 @query("op3_revisit_asof", OP3_SQL)
 def op3_revisit_asof(spark, folder):
-    captures = table(spark, folder, "pages").where("url IS NOT NULL").selectExpr("page_id", "url", "explode(array(0, 1, 2)) AS k")
-    records = captures.selectExpr(
-        "page_id * 3 + k AS record_id",
-        "concat(if(k = 1, regexp_replace(url, '^http', 'HTTP'), url), '#', k, '') AS url", "page_id * 3 + k AS ts",
-        "if(k = 1 OR (k = 2 AND page_id % 5 = 0), 'revisit', 'response') AS kind",
-        "concat(if(k = 2, 'x', 'e'), page_id) AS etag", "CAST(NULL AS STRING) AS last_modified",
-        "map('date', concat('d', k), 'etag', concat(if(k = 2, 'x', 'e'), page_id), 'content-type', 'html') AS headers",
-    )
+    captures = table(spark, folder, "pages").selectExpr("page_id", "url", "explode(array(0, 1, 2)) AS k")
+    headers = "map('date', date, 'etag', etag, 'vary', vary, 'content-type', kept)"
+    records = spark.sql(OP3_CAPTURES.replace("FROM captures", "FROM {captures}"), captures=captures).withColumn(
+        "headers", F.expr(f"CASE WHEN has_headers THEN map_filter({headers}, (name, value) -> value IS NOT NULL) END")
+    )
     found = revisits.resolve_revisits(records)
-    joined = F.concat_ws("|", F.col("headers.date"), F.col("headers.etag"), F.col("headers")["content-type"])
-    return found.select("record_id", "response_id", "status", F.when(F.col("status") == "resolved", joined).alias("headers"))
+    parts = [F.coalesce(F.col("headers")[name], F.lit("-")) for name in ("date", "etag", "vary", "content-type")]
+    text = F.when(F.col("status") == "resolved", F.concat_ws("|", *parts))
+    return found.select("record_id", "url", "response_id", "status", text.alias("headers"))
 
 
 # Levels of each source's tree and of the tree of subroots, and each document's way up both. The CRC is taken bit by bit.
