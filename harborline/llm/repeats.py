@@ -50,7 +50,7 @@ def _rows(block: pa.RecordBatch, words: bool, window: int, run: int) -> pa.Recor
         wanted = np.repeat(want, count)
     else:
         places = window_places(first, window)
-    found = segments(Codes(codes), len(codes), places, window, run, wanted)
+    found = segments(Codes(codes), places, window, run, wanted)
     doc = np.searchsorted(first, found.begin, "right") - 1
     doc_of = pa.array(doc)
     at = np.searchsorted(places, found.begin)

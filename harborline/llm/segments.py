@@ -15,7 +15,7 @@ import numpy as np
 
 from harborline.llm.texts import WINDOW_BASE, inverse, mix, powers, prefix
 
-PLACE_BITS = 28  # of a unit's place within a block, below the leading bits of its code
+PLACE_BITS = 28  # of a unit's place within a stretch, below the leading bits of its code
 
 
 @dataclass
@@ -45,25 +45,42 @@ def window_places(first: np.ndarray, window: int) -> np.ndarray:
 
 
 def segments(
-    codes: Codes, units: int, places: np.ndarray, window: int, run: int, apart: np.ndarray | None = None
+    codes: Codes, places: np.ndarray, window: int, run: int, apart: np.ndarray | None = None, most: int = 1 << PLACE_BITS
 ) -> Segments:
     """Segments of the windows that begin at `places` (rising).
 
-    Windows that do not follow each other directly, or differ in `apart`, are in different segments.
+    Windows that do not follow each other directly, or differ in `apart`, are in different segments. So are those
+    that more than `most` units, all that a place has bits for, keep apart: longer stretches are cut there. A segment that such a
+    cut shortens may differ from its copies; its windows are then compared in the next rounds, so nothing is lost.
     """
-    if not len(places):
+    if most < window:
+        raise ValueError(f"a stretch of {most} units holds no window of {window}")
+    parts, a = [], 0
+    while a < len(places):
+        b = int(np.searchsorted(places, places[a] + most - window, "right"))
+        parts.append(_stretch(codes, places[a:b], window, run, None if apart is None else apart[a:b]))
+        a = b
+    if not parts:
         none = np.zeros(0, np.int64)
         return Segments(none.view(np.uint64), none.view(np.uint64), none, none)
-    at = np.arange(units - run + 1)
+    if len(parts) == 1:
+        return parts[0]
+    return Segments(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("anchor", "content", "begin", "windows")])
+
+
+def _stretch(codes: Codes, places: np.ndarray, window: int, run: int, apart: np.ndarray | None) -> Segments:
+    low_at = int(places[0])
+    at = np.arange(low_at, int(places[-1]) + window - run + 1)
     value = codes.of(at, at + run)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = (value & ~low) | at.astype(np.uint64)
+    least = (value & ~low) | (at - low_at).astype(np.uint64)
     width, reach = window - run + 1, 1
     while reach * 2 <= width:
         least[: len(least) - reach] = np.minimum(least[: len(least) - reach], least[reach:])
         reach *= 2
     # Two overlapping stretches of `reach` cover the whole width.
-    anchor = (np.minimum(least[places], least[places + width - reach]) & low).astype(np.int64)
+    first = places - low_at
+    anchor = (np.minimum(least[first], least[first + width - reach]) & low).astype(np.int64)
     new = np.ones(len(places), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(places) != 1)
     if apart is not None:
@@ -72,5 +89,5 @@ def segments(
     count = np.diff(np.append(head, len(places)))
     begin, place = places[head], anchor[head]
     content = codes.of(begin, begin + count + window - 1)
-    content = mix(content ^ ((place - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    content = mix(content ^ ((place + low_at - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return Segments(value[place], content, begin, count)
