@@ -22,7 +22,7 @@ GROUP_ROWS = 64  # members of a group in the matrix
 QUERY_ROWS = 512  # queries that meet a group in one task
 HEAVY = 16  # documents with a token among their first ones from which on it is put last
 FREQUENT = 1 << 20  # such tokens, the most frequent ones, whose counts are broadcast
-ROUNDS = 3  # of looking for them
+DENSE = 10  # a set's whole tokens are counted if one in so many of its first ones is heavy
 BLOCK_BYTES = 1 << 20
 SALTS = tuple(int(x) for x in mix(np.arange(101, 101 + MINHASHES, dtype=np.uint64)))
 
@@ -121,6 +121,32 @@ def _prefix_rows(block: pa.RecordBatch, ngram: int, percent: int, token: np.ndar
     )
 
 
+def _dense_rows(block: pa.RecordBatch, ngram: int, percent: int, token: np.ndarray) -> pa.RecordBatch:
+    """The tokens not yet known as heavy of those sets that have many heavy ones among the first by code."""
+    codes, first = shingle_sets(block, ngram)
+
+    def heavy(some: np.ndarray) -> np.ndarray:
+        return token[np.minimum(np.searchsorted(token, some), len(token) - 1)] == some
+
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size)
+    taken = np.where(size > 0, size - least(size, percent) + 1, 0)
+    front = np.arange(len(codes)) - first[:-1][doc] < taken[doc]
+    known = np.bincount(doc[front][heavy(codes[front])], minlength=len(size))
+    dense = (size > 0) & (known * DENSE >= taken)
+    inside = np.flatnonzero(dense[doc])
+    inside = inside[~heavy(codes[inside])]
+    ends = np.cumsum(np.bincount(doc[inside], minlength=len(size))[dense])
+    return pa.record_batch(
+        {
+            "class": pa.array(_classes(codes, first).view(np.int64)[dense]),
+            "prefix": pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(codes[inside].view(np.int64))
+            ),
+        }
+    )
+
+
 def _set_rows(block: pa.RecordBatch, ngram: int) -> pa.RecordBatch:
     codes, first = shingle_sets(block, ngram)
     sets = pa.LargeBinaryArray.from_buffers(
@@ -226,35 +252,52 @@ def _light_prefixes(
     the written tables of both.
 
     Tokens are counted in all prefixes. Those that more than `HEAVY` documents have move to the end of
-    the order, by their counts, and the prefixes are made again, until no token is newly heavy: what stays heavy in a prefix has too
-    few light ones beside it. A token that is not in a prefix can move without changing it, so counts over prefixes will
-    do. Any one order gives the same links; this one only keeps few documents together at a token.
+    the order, by their counts. What then comes forward is as frequent wherever documents are much alike, so of
+    sets with many heavy tokens in their prefixes all other tokens are counted too, and the frequent ones
+    move as well. So a set's own tokens stand first, and texts that are like a large group but link to none
+    of it have hardly a token of the group in their prefixes. Any one order gives the same links; this one only
+    keeps few documents together at a token.
     """
     spark = rows.sparkSession
-    token, seen = np.zeros(0, np.uint64), NO_COUNTS
-    for turn in range(ROUNDS):
-        prefix = lists.select(F.explode("prefix").alias("token"), "class")
-        counted = prefix.groupBy("token").agg(
-            F.count("*").alias("seen"), F.min("class").alias("low"), F.max("class").alias("high")
-        )
-        hits = stored.keep(counted.where("low != high").select(F.col("token").alias("hit"), "seen"))
+
+    def counted(some: DataFrame) -> DataFrame:
+        tokens = some.select(F.explode("prefix").alias("token"), "class").groupBy("token")
+        count = tokens.agg(F.count("*").alias("seen"), F.min("class").alias("low"), F.max("class").alias("high"))
+        return stored.keep(count.where("low != high").select(F.col("token").alias("hit"), "seen"))
+
+    def frequent(hits: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         found = hits.where(F.col("seen") > HEAVY).orderBy(F.desc("seen"), "hit").limit(FREQUENT).toArrow()
         codes, counts = found.column("hit").to_numpy().view(np.uint64), found.column("seen").to_numpy()
-        new = ~np.isin(codes, token)
-        if turn == ROUNDS - 1 or not new.any() or len(token) == FREQUENT:
-            return lists, hits.select("hit"), hits, *([lists] if turn else [])
-        token, seen = np.concatenate([token, codes[new]]), np.concatenate([seen, counts[new]])
-        most = np.argsort(-seen, kind="stable")[:FREQUENT]
-        order = most[np.argsort(token[most])]
-        token, seen = token[order], seen[order]
-        shared = spark.sparkContext.broadcast((token, seen))
+        order = np.argsort(codes)
+        return codes[order], counts[order]
+
+    hits = counted(lists)
+    token, seen = frequent(hits)
+    if not len(token):
+        return lists, hits.select("hit"), hits
+    stored.drop(hits)
+    first = spark.sparkContext.broadcast(token)
 
-        def prefixes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for block in gathered(batches, BLOCK_BYTES):
-                yield _prefix_rows(block, ngram, percent, *shared.value)
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in gathered(batches, BLOCK_BYTES):
+            yield _dense_rows(block, ngram, percent, first.value)
+
+    whole = stored.keep(rows.select("text").mapInArrow(dense, "class long, prefix array<long>"))
+    hits = counted(whole)
+    more, seen_more = frequent(hits)
+    stored.drop(whole, hits)
+    token, seen = np.concatenate([token, more]), np.concatenate([seen, seen_more])
+    most = np.argsort(-seen, kind="stable")[:FREQUENT]
+    order = most[np.argsort(token[most])]
+    shared = spark.sparkContext.broadcast((token[order], seen[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in gathered(batches, BLOCK_BYTES):
+            yield _prefix_rows(block, ngram, percent, *shared.value)
 
-        stored.drop(hits, *([lists] if turn else []))
-        lists = stored.keep(rows.select("text").mapInArrow(prefixes, "class long, prefix array<long>"))
+    lists = stored.keep(rows.select("text").mapInArrow(prefixes, "class long, prefix array<long>"))
+    hits = counted(lists)
+    return lists, hits.select("hit"), hits, lists
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -266,8 +309,8 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     tokens are shuffled, and only classes that share one go on. Which tokens are heavy is
     counted over all prefixes (see `_light_prefixes`), and matters for speed alone.
 
-    Classes with equal min-hashes are put together and compared with one of them each; what links is a
-    first partition into groups of similar documents. Then the matrix: the prefix tokens of each group (at most
+    Classes with equal min-hashes are put together and compared with one of them each, the one with fewest prefix tokens of
+    its own; what links is a first partition into groups of similar documents. Then the matrix: the prefix tokens of each group (at most
     `GROUP_ROWS` members; larger ones in parts) against queries from other, smaller groups. Where the first shared
     one stands (see `_near`) and the number of shared ones (see `_qualifying`) bound the overlap. Of the groups left the whole token
     union is made: a query that shares less than `percent` % of its own tokens with all members
@@ -296,12 +339,13 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     prefix = stored.keep(prefix.drop("hit").distinct())
     stored.drop(*written)
 
-    # The classes that share a token, and one document of each.
-    active = prefix.select(F.col("class").alias("active")).distinct()
+    # The classes that share a token, how many of their first tokens no other has, and one document of each.
+    active = prefix.groupBy(F.col("class").alias("active")).agg(F.count("*").alias("hits"))
     example = named.where("n > 0").groupBy("class", "n", *[f"g{i}" for i in range(MINHASHES)]).agg(
         F.min(F.struct(*KEY)).alias("example")
     )
     example = stored.keep(example.join(active, F.col("class") == F.col("active")).drop("active"))
+    alone = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - hits")
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -317,11 +361,13 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
         sets = texts.select("class", "text").mapInArrow(make_sets, "class long, tokens binary")
         return stored.keep(sets.groupBy("class").agg(F.first("tokens").alias("tokens")))
 
-    # First partition: each class against one of those with the same min-hash.
+    # First partition: each class against that one of those with the same min-hash that has least of its own. Among
+    # near copies this is one with few edits, to which most others link; a much edited one would leave them apart.
     grouped = example.select(
-        "class", F.explode(F.array(*[F.struct(F.lit(i).alias("by"), F.col(f"g{i}").alias("group")) for i in range(MINHASHES)])).alias("at")
-    ).select("class", "at.by", "at.group")
-    pivots = grouped.groupBy("by", "group").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+        "class", alone.alias("alone"), F.explode(F.array(*[F.struct(F.lit(i).alias("by"), F.col(f"g{i}").alias("group")) for i in range(MINHASHES)])).alias("at")
+    ).select("class", "alone", "at.by", "at.group")
+    pivots = grouped.groupBy("by", "group").agg(F.min(F.struct("alone", "class")).alias("least"), F.count("*").alias("n"))
+    pivots = pivots.where("n > 1").select("by", "group", F.col("least.class").alias("pivot"))
     pairs = grouped.join(pivots, ["by", "group"]).where("class != pivot").select("class", "pivot").distinct()
     pairs = stored.keep(pairs)
     sets = sets_of(pairs.select("class").unionAll(pairs.select(F.col("pivot").alias("class"))))

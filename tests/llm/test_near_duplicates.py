@@ -69,6 +69,33 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, group_rows):
     assert bag(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
 
 
+def test_much_edited_copies_do_not_meet(spark, monkeypatch):
+    """Copies of one text with few to many edits: most candidates would be pairs that link to nothing."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"word{rng.randrange(5000)}" for _ in range(200)]
+    docs = []
+    for i in range(240):
+        copy = base.copy()
+        for _ in range(rng.randrange(13)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    near, met = token_groups._near, []
+
+    def counted(*args):
+        found = near(*args)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(token_groups, "_near", counted)
+    got = token_groups.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    want, low = brute(docs)
+    assert bag(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+    assert len(set(low)) > 20 and max(low.count(x) for x in set(low)) > 100
+    assert sum(met) < 2 * len(docs)
+
+
 def test_one_of_each_group_stays(spark):
     df, rows = documents(spark)
     kept = token_groups.keep_one_of_each(df)
