@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.texts import (
-    ALNUM, LOWER, blocks, by_blocks, byte_set, doc_rows, sampled, text_bytes, whole_texts, word_bounds,
+    ALNUM, LOWER, blocks, by_blocks, byte_set, doc_rows, in_one_task, sampled, text_bytes, whole_rows, word_bounds,
 )
 
 BLOCK_BYTES = 2 << 20
@@ -308,10 +308,16 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
     The patterns' matches are its labels: a match's first token begins a secret, its others are
     inside (of an assignment, the value's tokens). All pieces of the sample's lines with a match
-    are used, and some `SAMPLE_CLEAN` evenly from the others. Without any match nothing is tagged.
+    are used, and some `SAMPLE_CLEAN` evenly from the others. Without any match nothing is tagged. The
+    sample is fitted on in one task; only the field comes to the driver.
     """
     usable = docs.select("doc_id", "text").where("text is not null")
-    texts = whole_texts(sampled(usable, "doc_id", sample_docs), "doc_id", sample_docs, sample_docs * sample_chars)
+    rows = whole_rows(sampled(usable, "doc_id", sample_docs), "doc_id", sample_docs, sample_docs * sample_chars)
+    return in_one_task(rows, ["doc_id", F.xxhash64("text")], _fitted)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Field:
+    texts = [text for batch in batches for text in batch.column("text").to_pylist()]
     pieces = []
     for i in range(0, len(texts), FIT_BLOCK):
         part = pa.record_batch({"text": pa.array(texts[i : i + FIT_BLOCK], pa.large_string())})

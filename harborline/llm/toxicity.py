@@ -15,7 +15,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.texts import LOWER, NOT_SPACE, blocks, by_blocks, sampled, spread, text_bytes, whole_texts, word_bounds
+from harborline.llm.texts import (  # noqa: F401  (whole_texts shows the sample)
+    LOWER, NOT_SPACE, blocks, by_blocks, in_one_task, sampled, spread, text_bytes, whole_rows, whole_texts, word_bounds,
+)
 
 WINDOW = 16  # words compressed at once
 SAMPLE_DOCS = 2500  # labelled documents of each class to fit on
@@ -157,20 +159,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     ordinary dictionary is trained on the ordinary texts. The toxic dictionaries hold, before that same
     content, the words and beginnings of words that mark toxic texts, at four levels of evidence;
     so what differs in length between them and the ordinary one comes from these marks alone.
-    The curve weighs the classes as all usable labels do, so that 0.5 is its threshold.
+    The curve weighs the classes as all usable labels do, so that 0.5 is its threshold. The sample is
+    fitted on in one task; only the model comes to the driver.
     """
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.col("toxic").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (total + 2) if total else 0.0
-    texts: dict[int, list[bytes]] = {}
+    parts = []
     for label in (0, 1):
         chosen = sampled(usable.where(F.col("toxic") == label), "label_id", sample_docs)
         found = docs.select("doc_id", "text").join(
             F.broadcast(chosen.select("label_id").distinct()), F.col("doc_id") == F.col("label_id")
         )
-        texts[label] = whole_texts(found, "doc_id", sample_docs, sample_docs * sample_chars)
+        rows = whole_rows(found, "doc_id", sample_docs, sample_docs * sample_chars)
+        parts.append(rows.withColumn("toxic", F.lit(label)))
+    order = ["toxic", "doc_id", F.xxhash64("text")]
+    return in_one_task(parts[0].unionAll(parts[1]), order, lambda batches: _fitted(batches, counts, prior))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], counts: dict[int, int], prior: float) -> Model:
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    for batch in batches:
+        for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            texts[label].append(text)
     if not texts[0] or not texts[1]:
         return Model(b"", [], np.zeros(0), prior)
     raw = {k: [LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in v] for k, v in texts.items()}

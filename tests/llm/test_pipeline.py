@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from harborline.llm import toxicity
+from harborline.llm import secret_scan, toxicity
 from harborline.llm.queries import ORACLE, QUERIES
 
 from .edge import documents, words
@@ -94,6 +94,19 @@ def test_empty_and_odd_input(spark, folder):
         docs.collect()
 
 
+def test_fits_take_no_memory_of_the_driver(spark, folder, monkeypatch):
+    """The texts that the models are fitted on, and all that is made of them, stay in a task."""
+    path, _ = folder
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+
+    def here(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "_toxic_content", here)
+    monkeypatch.setattr(secret_scan, "_training_pieces", here)
+    assert toxicity.fit(docs, labels).toxic and secret_scan.fit(docs).states[0].any()
+
+
 def test_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES}
     assert numbers == set(range(1, 14)) and set(ORACLE) <= set(QUERIES)
