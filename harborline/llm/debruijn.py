@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.repeats import repeated_segments, spans_by_key, with_spans
@@ -21,46 +21,88 @@ BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, clean_text string"
 
 
-def compact(rows: DataFrame, stored: Stored) -> DataFrame:
-    """Paths of segments: (anchor, content, path_a, path_c, offset).
+def graph_nodes(rows: DataFrame, stored: Stored) -> DataFrame:
+    """(node_a, node_c, one_next, one_before) of each segment: whether just one segment follows it, and precedes it.
 
     `rows`: occurrences of repeated segments. A segment is a chain of k-mer edges and here one
     edge of the compacted graph. It is linked to another if they follow each other in a document
-    without a gap. Where a segment has one successor and that has one predecessor, the path does
-    not branch and the two become one. Each round joins the table of segments with itself and
-    doubles the reach of every segment's pointer towards the head of its path, so the rounds are
-    the logarithm of the longest path. A path that closes on itself has no head; its pointers stop when all others have arrived.
-    `offset` is the number of windows between the head and the segment.
+    without a gap.
     """
     along = Window.partitionBy(*KEY).orderBy("begin")
-    step = rows.select(
+    leads = F.lead("begin").over(along) == F.col("begin") + F.col("windows")
+    follows = F.lag("begin").over(along) + F.lag("windows").over(along) == F.col("begin")
+    steps = rows.select(
+        "anchor", "content",
+        F.when(leads, F.lead("anchor").over(along)).alias("next_a"), F.when(leads, F.lead("content").over(along)).alias("next_c"),
+        F.when(follows, F.lag("anchor").over(along)).alias("before_a"), F.when(follows, F.lag("content").over(along)).alias("before_c"),
+    )
+
+    def one(side: str) -> Column:
+        same = [F.min(f"{side}_{part}") == F.max(f"{side}_{part}") for part in "ac"]
+        return F.coalesce(same[0] & same[1], F.lit(False)).alias(f"one_{side}")
+
+    keys = F.col("anchor").alias("node_a"), F.col("content").alias("node_c")
+    return stored.keep(steps.groupBy(*keys).agg(one("next"), one("before")))
+
+
+def walks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`rows` with the walk that each lies on: head_begin, head_a, head_c (its first segment) and walk_end.
+
+    A walk is a stretch of one document that takes no branch of the graph: where a segment has one
+    successor and that has one predecessor, the two become one. It is the part of a path that the document holds.
+    Rows equal in id and text share their walks.
+    """
+    along = Window.partitionBy(*KEY).orderBy("begin")
+
+    def before(column: str) -> Column:
+        return F.lag(column).over(along)
+
+    rows = rows.join(nodes, (F.col("anchor") == F.col("node_a")) & (F.col("content") == F.col("node_c")))
+    other = (before("anchor") != F.col("anchor")) | (before("content") != F.col("content"))
+    plain = before("one_next") & F.col("one_before") & other
+    goes_on = (before("begin") == F.col("begin")) | ((before("begin") + before("windows") == F.col("begin")) & plain)
+    rows = rows.withColumn("opens", ~F.coalesce(goes_on, F.lit(False)))
+    head = F.last(F.when(F.col("opens"), F.struct("begin", "anchor", "content")), ignorenulls=True)
+    rows = rows.withColumn("head", head.over(along.rowsBetween(Window.unboundedPreceding, 0))).select(
         *KEY, "begin", "windows", "anchor", "content",
-        F.lead("begin").over(along).alias("next_begin"),
-        F.lead("anchor").over(along).alias("next_a"),
-        F.lead("content").over(along).alias("next_c"),
+        F.col("head.begin").alias("head_begin"), F.col("head.anchor").alias("head_a"), F.col("head.content").alias("head_c"),
     )
-    links = step.where("next_begin = begin + windows").groupBy("anchor", "content", "next_a", "next_c").agg(
-        F.min("windows").alias("windows")
-    )
-    links = stored.keep(links)
-    only_next = links.groupBy("anchor", "content").count().where("count = 1").select("anchor", "content")
-    only_before = links.groupBy("next_a", "next_c").count().where("count = 1").select("next_a", "next_c")
-    plain = links.join(only_next, ["anchor", "content"]).join(only_before, ["next_a", "next_c"])
-    plain = plain.where("anchor != next_a or content != next_c")
-    # A pointer goes back to the segment before; offsets add up along it.
+    end = F.max(F.col("begin") + F.col("windows")).over(Window.partitionBy(*KEY, "head_begin"))
+    return rows.withColumn("walk_end", end)
+
+
+def walk_spans(walked: DataFrame, window: int) -> DataFrame:
+    """(key, begin, end) in words: one row a walk."""
+    return walked.where("begin = head_begin").select(*KEY, "begin", (F.col("walk_end") + window - 1).alias("end"))
+
+
+def compact(rows: DataFrame, stored: Stored) -> DataFrame:
+    """Paths of segments over all documents: (anchor, content, path_a, path_c, offset).
+
+    `rows`: as for `graph_nodes`. A walk brings its segments to its head at once; a segment's pointer goes
+    to the farthest head of its walks. Where that lies on a longer walk of another document, rounds join the table of
+    segments with itself and double the reach of every segment's pointer towards the head of its path, so the rounds are
+    the logarithm of the documents that the longest path takes. A path that closes on itself has no head; its pointers stop when all others have arrived.
+    `offset` is the number of windows between the head and the segment.
+    """
+    nodes = graph_nodes(rows, stored)
+    far = F.col("begin") - F.col("head_begin")
     state = stored.keep(
-        plain.select(
-            F.col("next_a").alias("anchor"), F.col("next_c").alias("content"),
-            F.col("anchor").alias("path_a"), F.col("content").alias("path_c"), F.col("windows").alias("offset"),
+        walks(rows, nodes).where("begin > head_begin").groupBy("anchor", "content").agg(
+            F.max_by("head_a", far).alias("path_a"), F.max_by("head_c", far).alias("path_c"), F.max(far).alias("offset")
         )
-    )
-    stored.drop(links)
+    )
+    stored.drop(nodes)
     open_before = -1
     for _ in range(MAX_DOUBLINGS):
         far = state.select(
             F.col("anchor").alias("path_a"), F.col("content").alias("path_c"),
             F.col("path_a").alias("far_a"), F.col("path_c").alias("far_c"), F.col("offset").alias("far_offset"),
         )
+        still = state.join(far, ["path_a", "path_c"], "left_semi").count()
+        if still in (0, open_before):
+            break
+        open_before = still
         moved = state.join(far, ["path_a", "path_c"], "left")
         doubled = stored.keep(
             moved.select(
@@ -68,16 +110,10 @@ def compact(rows: DataFrame, stored: Stored) -> DataFrame:
                 F.coalesce("far_a", "path_a").alias("path_a"),
                 F.coalesce("far_c", "path_c").alias("path_c"),
                 (F.col("offset") + F.coalesce("far_offset", F.lit(0))).alias("offset"),
-                F.col("far_a").isNotNull().alias("open"),
             )
         )
         stored.drop(state)
-        state = doubled.drop("open")
-        state._stored_path = doubled._stored_path
-        still = doubled.where("open").count()
-        if still in (0, open_before):
-            break
-        open_before = still
+        state = doubled
     return state
 
 
@@ -140,8 +176,8 @@ def remove_repeats(
     """One row a document: n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     The graph's edges are all windows of `window` words. Edges that stand twice are found by
-    rounds of segments (see `repeats`); the segments compact into paths through joins; a path's
-    passages in the documents, checked by their coordinates, are the spans to remove. Only
+    rounds of segments (see `repeats`); the segments compact into walks that take no branch, and the walks are the spans
+    to remove. Which walks of different documents lie on one path changes no span (see `compact`, `path_spans`). Only
     the segments at the ends of a repeat are looked at edge by edge. Judged is the input: a word goes if any
     window over it stands elsewhere, in the same document or another. `with_text` adds clean_text.
 
@@ -154,12 +190,12 @@ def remove_repeats(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *KEY
     )
     first, *later = repeated_segments(rows.select(*KEY, "text"), stored, True, window, runs)
-    paths = compact(first, stored)
-    spans = path_spans(first, paths, window)
+    nodes = graph_nodes(first, stored)
+    spans = walk_spans(walks(first, nodes), window)
     for found in later:
         spans = spans.unionAll(found.select(*KEY, "begin", (F.col("begin") + F.col("windows") + window - 1).alias("end")))
     by_key = stored.keep(spans_by_key(spans))
-    stored.drop(first, paths, *later)
+    stored.drop(first, nodes, *later)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):

@@ -91,3 +91,35 @@ def test_levels_carry_like_a_counter(spark):
         hits = {r.anchor for r in family.add(batch).collect()}
         assert hits == {100 + b} | ({b} if b else set())
     assert sorted(family.levels) == [0, 2]
+
+
+def test_long_paths_take_no_more_tables(spark, monkeypatch):
+    """However many segments a repeat has, the search stores the same number of tables."""
+    kept = []
+    keep = Stored.keep
+    monkeypatch.setattr(Stored, "keep", lambda self, df, *by: kept.append(1) or keep(self, df, *by))
+    counts = []
+    for n in (40, 4000):
+        passage = " ".join(f"w{i}" for i in range(n))
+        docs = [(1, f"a {passage} b"), (2, f"c {passage}"), (3, passage + " d"), (4, "alone")]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        kept.clear()
+        got = debruijn.remove_repeats(df).drop("clean_text")
+        assert bag(tuple(r) for r in got.collect()) == brute_words(docs)
+        counts.append(len(kept))
+    assert counts[0] == counts[1] <= 11
+
+
+def test_walks_end_at_branches(spark):
+    """Walks of a document are cut where any document branches, also if a row stands twice; paths join them over documents."""
+    schema = "anchor long, content long, _key_id long, _key_text long, begin long, windows long, wanted boolean"
+    texts = {1: [11, 12, 13, 14], 2: [12, 13, 14, 15, 16], 3: [15, 16, 17, 18], 4: [31, 32, 33], 5: [34, 32, 35], 6: [51, 51]}
+    rows = [(s, s, d, 0, 10 * i, 10, True) for d, found in texts.items() for i, s in enumerate(found)]
+    df = spark.createDataFrame(rows + [r for r in rows if r[2] == 1], schema)
+    stored = Stored(spark, "test")
+    spans = debruijn.walk_spans(debruijn.walks(df, debruijn.graph_nodes(df, stored)), 35).distinct()
+    got = bag((r[0], r.begin, r.end - 34) for r in spans.collect())
+    whole = [(1, 0, 40), (2, 0, 50), (3, 0, 40)]
+    assert got == bag(whole + [(d, 10 * i, 10 * i + 10) for d, n in ((4, 3), (5, 3), (6, 2)) for i in range(n)])
+    paths = {(r.anchor, r.path_a, r.offset) for r in debruijn.compact(df, stored).collect()}
+    assert paths == {(s, 11, 10 * (s - 11)) for s in range(12, 19)}
