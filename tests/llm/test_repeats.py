@@ -123,3 +123,24 @@ def test_walks_end_at_branches(spark):
     assert got == bag(whole + [(d, 10 * i, 10 * i + 10) for d, n in ((4, 3), (5, 3), (6, 2)) for i in range(n)])
     paths = {(r.anchor, r.path_a, r.offset) for r in debruijn.compact(df, stored).collect()}
     assert paths == {(s, 11, 10 * (s - 11)) for s in range(12, 19)}
+
+
+def test_index_holds_only_the_first_round(spark, monkeypatch):
+    """Later rounds put nothing into the index, and the last batch is scanned but not put in."""
+    added, kept = [], []
+    add, keep = suffix_levels.IndexFamily.add, Stored.keep
+
+    def counted(self, batch, **how):
+        found = add(self, batch, **how)
+        added.append(sorted(self.levels))
+        return found
+
+    monkeypatch.setattr(suffix_levels.IndexFamily, "add", counted)
+    monkeypatch.setattr(Stored, "keep", lambda self, df, *by: kept.append(1) or keep(self, df, *by))
+    passage = " ".join(f"w{i}" for i in range(300))
+    docs = [(1, f"a {passage} b"), (2, f"c {passage}"), (3, passage[:700] + " d"), (4, "alone"), (5, "x" * 900), (6, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_levels.remove_repeats(df).drop("clean")
+    assert bag(tuple(r) for r in got.collect()) == brute_bytes(docs)
+    assert added == [[0], [1], [0, 1], [0, 1]]
+    assert len(kept) <= 25
