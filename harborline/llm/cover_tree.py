@@ -19,16 +19,36 @@ COSINE = 0.95
 RADII = (1.0, 0.5, 0.25)  # halving; the level above holds all of a tree, up to 2 apart
 TREE_ROWS = 4096  # vectors of one tree
 MOST_CELLS = 256
-STRIP = 512  # centres compared with all of another tree's at once
+BLOCK_ROWS = 49_152  # vectors of 64 components in the trees that one task holds of each side; longer ones fewer
+BLOCKS = 8  # for tasks enough, where vectors are few
+LEAST_BLOCK = 1024
+STRIP, WIDE = 256, 2048  # nodes multiplied with nodes at once
 SLACK = 1e-7  # of distances; pairs that near a bound are looked at one by one
 DIRECT = 200_000  # pairs of nodes compared at once
+DENSE = 4096  # children of two nodes that are multiplied rather than listed
+FEW = 16  # directions of a first bound on cosines
+SAMPLE = 128  # nodes that tell what each level leaves over
+SWEPT, LISTED, CALL = 3e-9, 7e-7, 5e-5  # seconds: a pair multiplied in 64 components, a pair listed, a call
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of unit length, in double precision."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    """Vectors of one length, as lists or as bytes, as rows of unit length in double precision."""
+    if pa.types.is_binary(column.type):
+        raw = column.buffers()
+        offsets = np.frombuffer(raw[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(raw[2], np.float32, (offsets[-1] - offsets[0]) // 4, offsets[0]).astype(np.float64)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows
+
+
+def _packed(column: pa.Array) -> pa.Array:
+    """Vectors of one length as bytes."""
+    flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), np.float32)
+    ends = np.arange(len(column) + 1, dtype=np.int64) * (flat.nbytes // max(len(column), 1))
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
 
 
 def _distance(cosine: np.ndarray) -> np.ndarray:
@@ -36,19 +56,22 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 
 
 def _net(vectors: np.ndarray, parent: np.ndarray, radius: float) -> np.ndarray:
-    """For each vector a centre among those before it, within `radius` and under the same parent, or itself."""
-    n, least = len(vectors), 1 - radius * radius / 2
-    centre = np.full(n, -1)
+    """For each vector a centre among those before it, some `radius` off and under the same parent, or itself."""
+    least = 1 - radius * radius / 2
+    centre = np.arange(len(vectors))
+    some = np.flatnonzero(np.bincount(parent, minlength=len(vectors))[parent] > 1)
+    vectors, parent = vectors[some], parent[some]
+    found = np.full(len(some), -1)
     centres = np.zeros(0, np.int64)
-    for a in range(0, n, 256):
-        part = np.arange(a, min(a + 256, n))
+    for a in range(0, len(some), 256):
+        part = np.arange(a, min(a + 256, len(some)))
         if len(centres):
             near = vectors[part] @ vectors[centres].T
             near[parent[part][:, None] != parent[centres][None, :]] = -2
             best = near.argmax(axis=1)
             good = near[np.arange(len(part)), best] >= least
-            centre[part[good]] = centres[best[good]]
-        left = part[centre[part] < 0]
+            found[part[good]] = centres[best[good]]
+        left = part[found[part] < 0]
         inner = vectors[left] @ vectors[left].T
         inner[parent[left][:, None] != parent[left][None, :]] = -2
         taken = np.zeros(len(left), bool)
@@ -59,24 +82,27 @@ def _net(vectors: np.ndarray, parent: np.ndarray, radius: float) -> np.ndarray:
                 mine = (inner[i] >= least) & ~taken
                 mine[:i] = False
                 mine[i] = True
-                centre[left[mine]] = left[i]
+                found[left[mine]] = left[i]
                 taken |= mine
         centres = np.concatenate([centres, np.array(new, np.int64)])
+    centre[some] = some[found]
     return centre
 
 
 LEVELS = ", ".join(f"c{i} int, r{i} double" for i in range(len(RADII)))
-TREE = f"cid long, cell long, chunk int, place int, size long, embedding array<float>, {LEVELS}"
+TREE = f"cid long, cell long, chunk int, place int, size long, embedding binary, {LEVELS}"
 
 
 def _grow(table: pa.Table) -> pa.Table:
     """The cover tree of one chunk: per vector its centre on each level and that centre's covering radius."""
-    vectors = _units(table.column("embedding").combine_chunks())
+    embedding = table.column("embedding").combine_chunks()
+    vectors = _units(embedding)
+    rough = vectors.astype(np.float32)  # near enough to choose centres; radii are exact
     n = len(vectors)
     parent = np.zeros(n, np.int64)
     columns = {}
     for i, radius in enumerate(RADII):
-        parent = _net(vectors, parent, radius)
+        parent = _net(rough, parent, radius)
         far = _distance(np.einsum("ij,ij->i", vectors, vectors[parent]))
         far[parent == np.arange(n)] = 0
         cover = np.zeros(n)
@@ -90,24 +116,28 @@ def _grow(table: pa.Table) -> pa.Table:
             "chunk": table.column("chunk"),
             "place": pa.array(np.arange(n), pa.int32()),
             "size": table.column("size"),
-            "embedding": table.column("embedding"),
+            "embedding": _packed(embedding),
             **columns,
         }
     )
 
 
-class _Tree:
+class _Trees:
+    """The trees of one side of a task, as one: places of the later trees follow those of the earlier."""
+
     def __init__(self, table: pa.Table):
-        table = table.sort_by("place")
+        table = table.sort_by([("cell", "ascending"), ("chunk", "ascending"), ("place", "ascending")]).combine_chunks()
         self.cid = table.column("cid").to_numpy()
         self.size = table.column("size").to_numpy()
         self.vectors = _units(table.column("embedding").combine_chunks())
         n = len(self.cid)
+        shift = np.arange(n) - table.column("place").to_numpy()
         # Nodes of each level as places of their centres; the last level is the vectors themselves.
-        self.centre = [table.column(f"c{i}").to_numpy() for i in range(len(RADII))] + [np.arange(n)]
+        self.centre = [table.column(f"c{i}").to_numpy() + shift for i in range(len(RADII))] + [np.arange(n)]
         self.radius = [table.column(f"r{i}").to_numpy() for i in range(len(RADII))] + [np.zeros(n)]
         self.nodes = [np.unique(c) for c in self.centre]
         self.weight = [np.bincount(c, self.size, n) for c in self.centre]
+        self.members = [np.bincount(c, minlength=n) for c in self.centre]
         self.children, self.first = [], []  # of a level's nodes, on the next level
         for level in range(len(RADII)):
             below = self.nodes[level + 1]
@@ -116,33 +146,135 @@ class _Tree:
             self.children.append(below[order])
             self.first.append(np.searchsorted(above[order], np.arange(n + 1)))
         self.links = [np.zeros(n) for _ in self.centre]  # by node: weight linked to all of the node
+        self.own = [np.zeros(n, bool) for _ in self.centre]  # nodes linked to themselves as a whole
 
     def total(self) -> np.ndarray:
         return sum(links[centre] for links, centre in zip(self.links, self.centre))
 
+    def of_itself(self) -> np.ndarray:
+        """Weight that a vector was given for itself, where a node was linked to itself as a whole."""
+        return self.size * np.any([own[centre] for own, centre in zip(self.own, self.centre)], axis=0)
+
+    def below(self, level: int, node: int) -> np.ndarray:
+        return self.children[level][self.first[level][node] : self.first[level][node + 1]]
+
 
-def _match(a: _Tree, b: _Tree, epsilon: float, cosine: float):
+def _directions(a: _Trees, b: _Trees) -> np.ndarray | None:
+    """Orthonormal columns along which the vectors of both sides are longest; None where they are few anyway."""
+    if a.vectors.shape[1] < 2 * FEW:
+        return None
+    some = np.concatenate([v[:: len(v) // 4096 + 1] for v in (a.vectors, b.vectors)])
+    return np.linalg.eigh(some.T @ some)[1][:, -FEW:]
+
+
+class _Bound:
+    """A bound from above on the cosine that members of two nodes can have, less what is asked for, as one product.
+
+    For nodes u and v with covering radii p and q, members are near enough only if u and v are at most epsilon + p + q
+    apart: u.v + pq + f(p) + f(q) >= 1 - epsilon^2 / 2 with f(p) = p^2 / 2 + p epsilon. With few
+    directions, u.v is at most the product along them and that of the lengths of the rests. Single precision, with a margin.
+    """
+
+    def __init__(self, a: _Trees, b: _Trees, epsilon: float, directions: np.ndarray | None):
+        self.epsilon, self.whole = epsilon, directions is None
+        self.rows = [self._parts(t.vectors, directions) for t in (a, b)]
+        self.margin = 2.0**-20 * (self.rows[0].shape[1] + 16)
+        self.least = 1 - epsilon * epsilon / 2 - self.margin
+
+    @staticmethod
+    def _parts(vectors: np.ndarray, directions: np.ndarray | None) -> np.ndarray:
+        if directions is None:
+            return vectors.astype(np.float32)
+        along = vectors @ directions
+        rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", along, along), 0) + 1e-14)
+        return np.concatenate([along, rest[:, None]], axis=1).astype(np.float32)
+
+    def sides(self, x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = self.rows[0][x], self.rows[1][y]
+        if p.any() or q.any():
+            grow = [r * r / 2 + r * self.epsilon for r in (p, q)]
+            u = np.column_stack([u, p, grow[0], np.ones(len(p))]).astype(np.float32)
+            v = np.column_stack([v, q, np.ones(len(q)), grow[1]]).astype(np.float32)
+        return u, v
+
+    @property
+    def cost(self) -> float:
+        return SWEPT * max(self.rows[0].shape[1], 24) / 64
+
+
+def _match(a: _Trees, b: _Trees, epsilon: float, cosine: float):
     """Dual traversal; adds to the trees' links and yields pairs of places to tie together.
 
-    Pairs of nodes go down level by level. A pair is dropped if its centres are further apart than the
-    threshold and both covering radii; it is linked as a whole if even its furthest members are
-    near enough; else its children meet. Vectors at the end are compared by their exact cosine.
+    All nodes of one level meet in products; pairs left over go down level by level. A pair is dropped if its centres are
+    further apart than the threshold and both covering radii; it is linked as a whole if even its furthest members are
+    near enough; else its children meet. Vectors at the end are compared by their exact cosine, unless their product in
+    single precision is further from the threshold than its error. A sample of nodes tells on which level to begin, and whether few
+    directions do for that: with clusters a level of few nodes, without any the vectors themselves.
     """
     same, last = a is b, len(RADII)
+    full = _Bound(a, b, epsilon, None)
+    directions = _directions(a, b)
+    bounds = [full] if directions is None else [full, _Bound(a, b, epsilon, directions)]
+
+    def linked(x: np.ndarray, y: np.ndarray):
+        a.links[last] += np.bincount(x, b.size[y], len(a.cid))
+        if not same:
+            b.links[last] += np.bincount(y, a.size[x], len(b.cid))
+        return last, x, y
+
+    def sweep(level: int, nodes_a: np.ndarray, nodes_b: np.ndarray, bound: _Bound):
+        """All nodes of one side with all of the other."""
+        u, v = bound.sides(nodes_a, a.radius[level][nodes_a], nodes_b, b.radius[level][nodes_b])
+        v = np.ascontiguousarray(v.T)
+        exact = level == last and bound.whole
+        held, waiting = [], 0
+
+        def ahead():
+            x, y = (np.concatenate(c) for c in zip(*held))
+            for k in range(0, len(x), DIRECT):
+                yield from down(level, x[k : k + DIRECT], y[k : k + DIRECT])
+
+        for i in range(0, len(u), STRIP):
+            for j in range(0, v.shape[1], WIDE):
+                product = u[i : i + STRIP] @ v[:, j : j + WIDE]
+                some = np.flatnonzero(product.max(axis=1) >= bound.least)  # most often few rows, and faster so
+                if not len(some):
+                    continue
+                product = product[some]
+                at = np.flatnonzero(product >= bound.least)
+                value = product.ravel()[at]
+                x, y = np.divmod(at, product.shape[1])
+                x, y = nodes_a[some[x] + i], nodes_b[y + j]
+                if exact:
+                    sure = value >= cosine + bound.margin
+                    off = sure & ((x != y) | (not same))
+                    yield linked(x[off], y[off])
+                    x, y = x[~sure], y[~sure]
+                held.append((x, y))
+                waiting += len(x)
+                if waiting >= DIRECT:
+                    yield from ahead()
+                    held, waiting = [], 0
+        if held:
+            yield from ahead()
 
     def down(level: int, x: np.ndarray, y: np.ndarray):
         near = np.einsum("ij,ij->i", a.vectors[x], b.vectors[y])
         if level == last:
-            whole = (near >= cosine) & ((x != y) | (not same))
-            keep = np.zeros(len(x), bool)
-        else:
-            far, reach = _distance(near), a.radius[level][x] + b.radius[level][y]
-            whole = far + reach <= epsilon - SLACK
-            keep = ~whole & (far - reach <= epsilon + SLACK)
+            good = (near >= cosine) & ((x != y) | (not same))
+            yield linked(x[good], y[good])
+            return
+        far, reach = _distance(near), a.radius[level][x] + b.radius[level][y]
+        if same:
+            far[x == y] = 0
+        whole = far + reach <= epsilon - SLACK
+        keep = ~whole & (far - reach <= epsilon + SLACK)
         u, v = x[whole], y[whole]
         if len(u):
             a.links[level] += np.bincount(u, b.weight[level][v], len(a.cid))
-            if not same:
+            if same:
+                a.own[level][u[u == v]] = True
+            else:
                 b.links[level] += np.bincount(v, a.weight[level][u], len(b.cid))
             yield level, u, v
         x, y = x[keep], y[keep]
@@ -151,8 +283,12 @@ def _match(a: _Tree, b: _Tree, epsilon: float, cosine: float):
         first_a, first_b = a.first[level], b.first[level]
         wide = first_b[y + 1] - first_b[y]
         product = (first_a[x + 1] - first_a[x]) * wide
+        many = product >= DENSE
+        for one, two in zip(x[many].tolist(), y[many].tolist()):
+            yield from sweep(level + 1, a.below(level, one), b.below(level, two), full)
+        x, y, wide, product = x[~many], y[~many], wide[~many], product[~many]
         ends = np.cumsum(product)
-        for at in range(0, int(ends[-1]), DIRECT):
+        for at in range(0, int(ends[-1]) if len(ends) else 0, DIRECT):
             k = np.arange(at, min(at + DIRECT, int(ends[-1])))
             pair = np.searchsorted(ends, k, "right")
             k -= (ends - product)[pair]
@@ -162,13 +298,20 @@ def _match(a: _Tree, b: _Tree, epsilon: float, cosine: float):
                 b.children[level][first_b[y[pair]] + k % wide[pair]],
             )
 
-    nodes_b = b.nodes[0]
-    for at in range(0, len(a.nodes[0]), STRIP):
-        nodes_a = a.nodes[0][at : at + STRIP]
-        far = _distance(a.vectors[nodes_a] @ b.vectors[nodes_b].T)
-        i, j = np.nonzero(far <= epsilon + SLACK + a.radius[0][nodes_a][:, None] + b.radius[0][nodes_b][None, :])
-        for k in range(0, len(i), DIRECT):
-            yield from down(0, nodes_a[i[k : k + DIRECT]], nodes_b[j[k : k + DIRECT]])
+    def seconds(level: int, bound: _Bound) -> float:
+        """What it takes to begin there, by a sample of the nodes."""
+        nodes_a, nodes_b = a.nodes[level], b.nodes[level]
+        some = nodes_a[:: len(nodes_a) // SAMPLE + 1]
+        u, v = bound.sides(some, a.radius[level][some], nodes_b, b.radius[level][nodes_b])
+        left = 0.0
+        for j in range(0, len(v), WIDE):
+            x, y = np.nonzero(u @ v[j : j + WIDE].T >= bound.least)
+            pairs = a.members[level][some[x]] * b.members[level][nodes_b[y + j]]
+            left += LISTED * len(x) + np.minimum(LISTED * pairs, CALL + SWEPT * pairs).sum()
+        return len(nodes_a) * (len(nodes_b) * bound.cost + left / len(some))
+
+    _, level, i = min((seconds(level, bound), level, i) for level in range(last + 1) for i, bound in enumerate(bounds))
+    yield from sweep(level, a.nodes[level], b.nodes[level], bounds[i])
 
 
 def _root(label: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -185,28 +328,16 @@ def _tie(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         apart = one != two
         if not apart.any():
             return
+        label[x], label[y] = one, two
         np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
 
 
-def _own_links(tree: _Tree, epsilon: float) -> np.ndarray:
-    """Weight that a vector was given for itself, where a node was linked to itself as a whole."""
-    own = np.zeros(len(tree.cid))
-    done = np.zeros(len(tree.cid), bool)
-    for level in range(len(RADII)):
-        node = tree.centre[level]
-        whole = (2 * tree.radius[level][node] <= epsilon - SLACK) & ~done
-        own[whole] = tree.size[whole]
-        done |= whole
-    return own
-
-
 def _meet(table: pa.Table, epsilon: float, cosine: float) -> pa.Table:
-    """Links between the two trees of one group, or within its one tree."""
-    table = table.combine_chunks()
-    left = np.asarray(table.column("left"))
-    a = _Tree(table.filter(pa.array(left)))
+    """Links between the trees of the two sides of one group, or within its one side."""
+    left = table.column("left").to_numpy()
+    a = _Trees(table.filter(pa.array(left)))
     same = left.all()
-    b = a if same else _Tree(table.filter(pa.array(~left)))
+    b = a if same else _Trees(table.filter(pa.array(~left)))
     n = len(a.cid)
     cid = a.cid if same else np.concatenate([a.cid, b.cid])
     label = np.arange(len(cid))
@@ -220,7 +351,7 @@ def _meet(table: pa.Table, epsilon: float, cosine: float) -> pa.Table:
     label = _root(label, np.arange(len(cid)))
     links = a.total()
     if same:
-        links = links - _own_links(a, epsilon)
+        links = links - a.of_itself()
     else:
         links = np.concatenate([links, b.total()])
     some = links > 0
@@ -278,6 +409,50 @@ def _cells(classes: DataFrame, stored: Stored, tree_rows: int, most_cells: int):
     return placed, cells, centres, first, total
 
 
+def _blocks(cells: dict, chunks: dict, centres: dict, first: dict, total: int, epsilon: float):
+    """Trees as (cell, chunk, block), and pairs of blocks that can hold links: a block has trees of one length of vectors."""
+    of_length: dict[int, list] = {}
+    for d, found in centres.items():
+        mine = [i for i in range(len(found)) if first[d] + i in cells]
+        order = mine[:1]  # each cell after the one nearest to it, so that fewer blocks can meet
+        rest = set(mine[1:])
+        while rest:
+            near = found @ found[order[-1]]
+            order.append(max(rest, key=lambda i: near[i]))
+            rest.remove(order[-1])
+        of_length[d] = [first[d] + i for i in order]
+    for c in cells:
+        if c >= total:
+            of_length[c - total] = [c]
+    trees, pairs, blocks = [], [], 0
+    for d, mine in of_length.items():
+        rows = sum(cells[c][0] for c in mine)
+        most = min(BLOCK_ROWS, max(1, BLOCK_ROWS * 64 // d), max(LEAST_BLOCK, math.ceil(rows / BLOCKS)))
+        inside, held = [set()], 0.0
+        for c in mine:
+            for chunk in range(chunks[c]):
+                tree = cells[c][0] / chunks[c]
+                if inside[-1] and held + tree / 2 > most:
+                    inside.append(set())
+                    held = 0.0
+                trees.append((c, chunk, blocks + len(inside) - 1))
+                inside[-1].add(c)
+                held += tree
+        far = np.array([cells[c][1] for c in mine])
+        if d in centres:
+            found = centres[d][[c - first[d] for c in mine]]
+            meet = _distance(found @ found.T) <= epsilon + far[:, None] + far[None, :] + SLACK
+        else:
+            meet = np.ones((1, 1), bool)
+        places = [np.array([i for i, c in enumerate(mine) if c in cells_]) for cells_ in inside]
+        for i, one in enumerate(places):
+            for j in range(i, len(places)):
+                if i == j or meet[np.ix_(one, places[j])].any():
+                    pairs.append((blocks + i, blocks + j))
+        blocks += len(inside)
+    return trees, pairs
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, tree_rows: int = TREE_ROWS, most_cells: int = MOST_CELLS
 ) -> DataFrame:
@@ -286,8 +461,9 @@ def near_duplicates(
     Two vectors link if their cosine in double precision is at least `cosine`. Equal vectors are one
     class, which counts by its size and is never expanded into pairs. Classes go to the nearest of a
     bounded number of centres; cells are cut into chunks of about `tree_rows`, and each chunk grows
-    a cover tree with halving radii. Cell pairs that are too far apart for their covering radii never
-    meet; the others' trees do, each pair in a task of its own, by dual traversal. A task returns one
+    a cover tree with halving radii. Trees of cells next to each other are held in blocks of bounded size. Pairs of blocks
+    whose cells are all too far apart for their covering radii never meet; the others' trees do, each pair of blocks in a
+    task of its own, by dual traversal. So a vector is sent once for every block and not for every tree. A task returns one
     row a vector with links: its linked weight and a local root; sums and components are grouped over these.
     All pairs above the threshold are found. How much is pruned depends on the data: where vectors
     have no clusters, distances of many dimensions are so alike that most centres must meet.
@@ -315,31 +491,19 @@ def near_duplicates(
     chunks = {c: math.ceil(n / tree_rows) for c, (n, _) in cells.items()}
     spark = vectors.sparkSession
 
-    centre_of = {first[d] + i: (d, row) for d, found in centres.items() for i, row in enumerate(found)}
-    pairs = []
-    for c in sorted(cells):
-        for e in sorted(cells):
-            if c != e:
-                if c >= total or e >= total or centre_of[c][0] != centre_of[e][0]:
-                    continue
-                apart = float(_distance(np.array([centre_of[c][1] @ centre_of[e][1]]))[0])
-                if apart > epsilon + cells[c][1] + cells[e][1] + SLACK:
-                    continue
-            pairs.append((c, e, chunks[e]))
+    trees, pairs = _blocks(cells, chunks, centres, first, total, epsilon)
+    meeting = [(i, i, j, True) for i, j in pairs] + [(j, i, j, False) for i, j in pairs if i != j]
     counts = local_table(spark, [(c, k) for c, k in chunks.items()], "cell long, chunks int")
-    meets = local_table(spark, pairs, "cell long, other long, other_chunks int")
+    held = local_table(spark, trees, "cell long, chunk int, block int")
+    meets = local_table(spark, meeting, "block int, low int, high int, left boolean")
     cut = placed.join(F.broadcast(counts), "cell").withColumn(
         "chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
     )
     grown = stored.keep(
         cut.select("cid", "cell", "chunk", "size", "embedding").groupBy("cell", "chunk").applyInArrow(_grow, TREE)
     )
-    both = grown.join(F.broadcast(meets), "cell").withColumn(
-        "other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1))
-    )
-    me, them = F.struct("cell", "chunk"), F.struct(F.col("other").alias("cell"), F.col("other_chunk").alias("chunk"))
-    both = both.withColumn("low", F.least(me, them)).withColumn("high", F.greatest(me, them))
-    both = both.withColumn("left", me == F.col("low")).drop("cell", "chunk", "other", "other_chunk", "other_chunks")
+    both = grown.join(F.broadcast(held), ["cell", "chunk"]).join(F.broadcast(meets), "block").drop("block")
+    both = both.repartition(4 * max(len(pairs), 1), "low", "high")
     met = stored.keep(
         both.groupBy("low", "high").applyInArrow(
             lambda table: _meet(table, epsilon, cosine), "cid long, links long, root long"

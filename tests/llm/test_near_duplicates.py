@@ -191,3 +191,91 @@ def test_dual_traversal(dim, noise):
             ties.append((r["cid"], r["root"]))
     assert (total == linked @ size).all()
     assert brute_components(700, ties) == brute_components(700, np.argwhere(linked).tolist())
+
+
+def hot_vectors(n, dim=64):
+    """A third around one centre, about as far from each other as links reach, a third in small clusters, the rest alone."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dim))
+    x[: n // 3] = rng.normal(size=dim) + 0.22 * rng.normal(size=(n // 3, dim))
+    few = rng.normal(size=(n // 15, dim))
+    x[n // 3 : 2 * n // 3] = few[rng.integers(0, len(few), 2 * n // 3 - n // 3)] + 0.1 * rng.normal(size=(2 * n // 3 - n // 3, dim))
+    return x.astype(np.float32)[rng.permutation(n)]
+
+
+def linked_pairs(vectors):
+    unit = vectors.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def test_vectors_are_sent_once_a_block(spark, monkeypatch):
+    """Not once for every tree that can hold a partner."""
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=32) + 0.01 * rng.normal(size=(600, 32))).astype(np.float32)
+    keep, rows = Stored.keep, []
+
+    def counted(self, df, *partition):
+        table = keep(self, df, *partition)
+        if table.columns == ["cid", "links", "root"]:  # a row for each vector that was sent, as all have links
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(Stored, "keep", counted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = cover_tree.near_duplicates(df, tree_rows=20).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(599, 0)}
+    assert rows == [600]
+
+
+def test_blocks_of_trees_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "LEAST_BLOCK", 40)
+    vectors = hot_vectors(400)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000 + i, [1.0, i + 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = []
+    for part, first in ((vectors, 0), (np.array([v for _, v in rows[400:]], np.float32), 1000)):
+        linked = linked_pairs(part)
+        low = brute_components(len(part), np.argwhere(linked).tolist())
+        want += [(first + i, int(n), first + c) for i, (n, c) in enumerate(zip(linked.sum(axis=1), low))]
+    got = cover_tree.near_duplicates(df, tree_rows=15, most_cells=20).collect()
+    assert bag((r.vec_id, r.n_links, r.component_id) for r in got) == bag(want)
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [{}, {"DENSE": 4, "DIRECT": 60}, {"LISTED": 1e3, "CALL": 1e3}, {"SWEPT": 1e3, "DENSE": 30}, {"SWEPT": 1e3, "LISTED": 1e-12}, {"FEW": 64}],
+)
+def test_traversals_from_any_level(monkeypatch, settings):
+    for name, value in {"STRIP": 16, "WIDE": 50, **settings}.items():
+        monkeypatch.setattr(cover_tree, name, value)
+    vectors = hot_vectors(500)
+    size = np.random.default_rng(1).integers(1, 4, 500)
+
+    def trees(a, b, left):
+        grown = [
+            cover_tree._grow(
+                pa.table(
+                    {
+                        "cid": pa.array(range(c, min(c + 70, b)), pa.int64()),
+                        "cell": pa.array([c // 140] * (min(c + 70, b) - c), pa.int64()),
+                        "chunk": pa.array([c // 70 % 2] * (min(c + 70, b) - c), pa.int32()),
+                        "size": pa.array(size[c : min(c + 70, b)], pa.int64()),
+                        "embedding": pa.array(vectors[c : min(c + 70, b)].tolist(), pa.list_(pa.float32())),
+                    }
+                )
+            )
+            for c in range(a, b, 70)
+        ]
+        return pa.concat_tables(grown).append_column("left", pa.array([left] * (b - a)))
+
+    linked = linked_pairs(vectors)
+    total, ties = np.zeros(500, int), []
+    for table in (trees(0, 280, True), trees(280, 500, True), pa.concat_tables([trees(0, 280, True), trees(280, 500, False)])):
+        for r in cover_tree._meet(table, 0.1**0.5, 0.95).to_pylist():
+            total[r["cid"]] += r["links"]
+            ties.append((r["cid"], r["root"]))
+    assert (total == linked @ size).all()
+    assert brute_components(500, ties) == brute_components(500, np.argwhere(linked).tolist())
