@@ -158,7 +158,7 @@ def _(spark, d):
     where = shared_dir(spark, "task-log")
     fx.messages(shared(spark, d, "message_base")).repartition(8).select("body").write.text(f"{where}/log")
     found = decode_messages(task_log(spark, f"{where}/log", prefetch=10_000)).select("id", "segment", "place")
-    streams.run_until_idle(streams.append_rows(found, f"{where}/rows", f"{where}/checkpoint"))
+    streams.run_until_idle(streams.append_rows(found, f"{where}/rows", f"{where}/checkpoint"), f"{where}/checkpoint")
     once = spark.read.schema(found.schema).parquet(f"{where}/rows").distinct()
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("deliveries"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,18 +23,21 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else f"file://{folder}")
 
 
-def _lines(files: fs.FileSystem, path: str) -> Iterator[bytes]:
-    """Whole lines only: what a writer has not ended with a newline is not there yet."""
+def _lines(files: fs.FileSystem, path: str, at: int = 0) -> Iterator[bytes]:
+    """Whole lines only, from byte `at`: what a writer has not ended with a newline is not there yet."""
     rest = b""
-    with files.open_input_stream(path) as stream:
+    with files.open_input_file(path) as stream:
+        stream.seek(at)
         while block := stream.read(BLOCK):
             *lines, rest = (rest + block).split(b"\n")
             yield from lines
 
 
 class Range(InputPartition):
-    def __init__(self, segment: str, begin: int, end: int):
-        self.segment, self.begin, self.end = segment, begin, end
+    """Lines `begin` to `end` of a segment; the first of them is at byte `at`."""
+
+    def __init__(self, segment: str, begin: int, end: int, at: int = 0):
+        self.segment, self.begin, self.end, self.at = segment, begin, end, at
 
 
 class TaskLogReader(DataSourceStreamReader):
@@ -42,12 +46,22 @@ class TaskLogReader(DataSourceStreamReader):
     def __init__(self, folder: str, prefetch: int, group: str):
         self.folder, self.prefetch, self.group = folder, prefetch, group
         self.planned = None  # how far batches have been planned by this reader
+        # Bytes where lines begin, by segment and line: of offsets that are not committed yet.
+        self.places: dict[tuple[str, int], int] = {}
 
     def _segments(self) -> list[str]:
         files, root = _open(self.folder)
         names = [f.base_name for f in files.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File]
         return sorted(n for n in names if n[0] not in "._")
 
+    def _place(self, files: fs.FileSystem, root: str, segment: str, line: int) -> int:
+        """The byte where a line begins; lines before it are read only once after a restart."""
+        known = self.places.get((segment, line))
+        if known is None:
+            known = sum(len(x) + 1 for x in islice(_lines(files, f"{root}/{segment}"), line))
+            self.places[segment, line] = known
+        return known
+
     def _ranges(self, start: dict, most: int | None, stop: dict | None = None) -> Iterator[Range]:
         """Ranges of lines from `start`, in order: at most `most` lines, up to `stop`."""
         files, root = _open(self.folder)
@@ -55,20 +69,19 @@ class TaskLogReader(DataSourceStreamReader):
             if segment < start["segment"] or (stop and segment > stop["segment"]):
                 continue
             begin = start["line"] if segment == start["segment"] else 0
+            at = self._place(files, root, segment, begin) if begin else 0
             if stop and segment == stop["segment"]:
                 end = stop["line"]
-            elif most is None:
-                end = sum(1 for _ in _lines(files, f"{root}/{segment}"))
             else:
-                end = begin
-                for i, _ in enumerate(_lines(files, f"{root}/{segment}")):
-                    if i >= begin:
-                        end = i + 1
-                        if end - begin == most:
-                            break
-                most -= end - begin
+                end, after = begin, at
+                for line in islice(_lines(files, f"{root}/{segment}", at), most):
+                    end += 1
+                    after += len(line) + 1
+                self.places[segment, end] = after
+                if most is not None:
+                    most -= end - begin
             if end > begin:
-                yield Range(segment, begin, end)
+                yield Range(segment, begin, end, at)
             if most == 0:
                 return
 
@@ -91,11 +104,9 @@ class TaskLogReader(DataSourceStreamReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files, root = _open(self.folder)
         rows: list[tuple[str, str, int]] = []
-        for i, line in enumerate(_lines(files, f"{root}/{partition.segment}")):
-            if i >= partition.end:
-                break
-            if i >= partition.begin:
-                rows.append((line.decode("utf-8", "replace"), partition.segment, i))
+        lines = _lines(files, f"{root}/{partition.segment}", partition.at)
+        for i, line in zip(range(partition.begin, partition.end), lines):
+            rows.append((line.decode("utf-8", "replace"), partition.segment, i))
             if len(rows) == ROWS:
                 yield self._batch(rows)
                 rows = []
@@ -125,6 +136,8 @@ class TaskLogReader(DataSourceStreamReader):
         with files.open_output_stream(path + ".new") as stream:
             stream.write(json.dumps(end).encode())
         files.move(path + ".new", path)
+        done = (end["segment"], end["line"])
+        self.places = {k: v for k, v in self.places.items() if k >= done}
 
     def stop(self) -> None:
         pass

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import usage
 from harborline.sources.tables import as_event_time, decode_messages
+from harborline.sources import tasklog
 from harborline.sources.tasklog import TaskLogReader, task_log
 from harborline.streaming import streams
 from harborline.streaming.keyed import keyed_ledger
@@ -151,6 +152,35 @@ def test_log_offsets_and_bound(tmp_path):
     assert TaskLogReader(folder, 3, "g")._restored() == at
 
 
+def test_log_batches_begin_where_the_last_ended(tmp_path, monkeypatch):
+    """What was read before is not read again with each batch."""
+    folder, read = str(tmp_path / "log"), []
+    segments(folder, numbers(300), numbers(200, 300))
+    lines = tasklog._lines
+
+    def counted(*args):
+        for line in lines(*args):
+            read.append(line)
+            yield line
+
+    monkeypatch.setattr(tasklog, "_lines", counted)
+    reader = TaskLogReader(folder, 7, "g")
+    seen, at = [], reader.initialOffset()
+    while (end := reader.latestOffset()) != at:
+        for part in reader.partitions(at, end):
+            seen += [x for b in reader.read(part) for x in b.column("body").to_pylist()]
+        reader.commit(end)
+        at = end
+    assert seen == numbers(500)
+    assert len(read) < 4 * 500
+    # One that begins anew, in the middle of a segment, has to look for that place only once.
+    read.clear()
+    late = TaskLogReader(folder, 7, "h")
+    parts = late.partitions({"segment": "0000.log", "line": 290}, {"segment": "0001.log", "line": 5})
+    assert [x for p in parts for b in late.read(p) for x in b.column("body").to_pylist()] == numbers(15, 290)
+    assert late.partitions({"segment": "0001.log", "line": 5}, {"segment": "0001.log", "line": 9})[0].begin == 5
+
+
 def test_each_message_once_after_a_crash(spark, tmp_path):
     folder, out = str(tmp_path / "log"), f"{tmp_path}/out"
     segments(folder, numbers(40), [*numbers(30, 40), "{bad", ""], numbers(20, 70))
